@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing, substrings
 
 QUERIES = {
+    "op6_pack_ffd": packing.op6_pack_ffd,
     "op7_mix_systematic": mixing.op7_mix_systematic,
+    "op9_repeats_difference_cover": substrings.op9_repeats_difference_cover,
 }
 ORACLE_SQL = {
     "op7_mix_systematic": mixing.ORACLE_SQL,
