@@ -117,7 +117,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS)
     def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), length)
-        return pdf.assign(sequence_id=(pdf["_group"] << 32) + bins, offset=offsets).drop(columns="_group")
+        return pdf.assign(sequence_id=pdf["_group"] * (1 << 32) + bins, offset=offsets).drop(columns="_group")
 
     packed = left.withColumn("_group", F.pmod(spread, groups) * 2).groupBy("_group").applyInPandas(per_group, ddl)
     # Odd group numbers are those of full pieces: one sequence each, numbered within the task that holds them.
