@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, substrings
+from . import fingerprints, licences, media, mixing, packing, pii, secrets, substrings
 
 QUERIES = {
+    "op2_pii_anchors": pii.op2_pii_anchors,
+    "op3_mpeg_audio": media.op3_mpeg_audio,
+    "op4_licences_automaton": licences.op4_licences_automaton,
+    "op5_scaled_sketch": fingerprints.op5_scaled_sketch,
     "op6_pack_ffd": packing.op6_pack_ffd,
     "op7_mix_systematic": mixing.op7_mix_systematic,
+    "op8_secrets_worklist": secrets.op8_secrets_worklist,
     "op9_repeats_difference_cover": substrings.op9_repeats_difference_cover,
 }
 ORACLE_SQL = {
