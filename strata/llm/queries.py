@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprints, licences, media, mixing, packing, pii, secrets, substrings
+from . import fingerprints, language, licences, media, mixing, near_dedup, packing, pii, secrets, substrings
 
 QUERIES = {
+    "op1_near_dedup_omh": near_dedup.op1_near_dedup_omh,
     "op2_pii_anchors": pii.op2_pii_anchors,
     "op3_mpeg_audio": media.op3_mpeg_audio,
     "op4_licences_automaton": licences.op4_licences_automaton,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_mix_systematic": mixing.op7_mix_systematic,
     "op8_secrets_worklist": secrets.op8_secrets_worklist,
     "op9_repeats_difference_cover": substrings.op9_repeats_difference_cover,
+    "op10_language_crf": language.op10_language_crf,
 }
 ORACLE_SQL = {
     "op7_mix_systematic": mixing.ORACLE_SQL,
