@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Rows handed to Python code at once inside an Arrow batch; bounds the worker's working set.
@@ -91,5 +90,15 @@ def map_texts(docs: DataFrame, row: Callable[[str], tuple], ddl: str, text_col:
     return id_and_text(docs, text_col=text_col).mapInArrow(run, "doc_id long, " + ddl)
 
 
-def text_or_empty(col="text"):
-    return F.coalesce(F.col(col), F.lit(""))
+def map_rows(docs: DataFrame, column: str, change: Callable[[str], str]) -> DataFrame:
+    """All rows and columns of ``docs``, with the texts of one column changed; nulls stay."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(column)
+
+    def run(batches):
+        for b in slices(batches):
+            new = pa.array([None if t is None else change(t) for t in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+

@@ -256,6 +256,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, ddl)
 
 
+def filtered(docs: DataFrame, model: Model, judge) -> DataFrame:
+    """All columns of the rows of ``docs`` for whose texts (null: empty) ``judge(labeller, texts)`` says true."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        labeller = Labeller(shared.value)
+        for b in slices(batches, 128):
+            yield b.filter(pa.array(judge(labeller, [t or "" for t in b.column(at).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
