@@ -1,6 +1,636 @@
-"""Every registered query of the library with its DuckDB equivalent."""
+"""Every registered query of the library with its DuckDB equivalent. Each query applies operators to whole tables.
+
+Roles on the shared tables: orders are entities, lineitem rows their nested children, customers and suppliers members,
+events a stream of captures, pages raw HTML. Key hashes never appear in results.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strata.functions import codes, dates, keys, text
+from strata.operators import flatten, latest, pages, quality, scd, search
+from strata.operators.upsert import merge, upsert
+from strata.plans import serve, staging, star
+from strata.sources.schemas import table
+from strata.sources.sinks import Snapshots, scratch, stored
+from strata.streaming.landing import land, landed
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_extendedprice")
+#: Order codes as this catalogue maps them; P stays unmapped on purpose.
+STATUS = {"passed": ("f",), "in_progress": ("o",)}
+CUT = "1998-01-01"
+
+
+def _micros(at: str) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(at))
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _nested(s, d) -> DataFrame:
+    """o_orderkey, lines: the lines of each order in a total order."""
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), *LINE_ORDER)
+    return flatten.nest(lines, ["o_orderkey"], list(LINE_ORDER), "lines")
+
+
+@query("""
+SELECT l.l_orderkey, CAST(l.l_linenumber AS BIGINT) AS l_linenumber, l.l_quantity, l.l_extendedprice, CAST(o.o_orderdate AS DATE) AS order_date,
+  c.c_name AS member_name, c.c_mktsegment AS segment, p.p_name AS part_name, p.p_brand AS brand, s.s_name AS supplier_name,
+  CASE lower(trim(o.o_orderstatus)) WHEN 'f' THEN 'passed' WHEN 'o' THEN 'in_progress' ELSE 'UNMAPPED' END AS disposition
+FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+LEFT JOIN part p ON l.l_partkey = p.p_partkey LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey""")
+def star_view(s, d):
+    orders = codes.map_codes(table(s, d, "orders"), "o_orderstatus", STATUS, "disposition").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.col("o_orderdate").cast("date").alias("order_date"), "disposition")
+    customer = table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("member_name"), F.col("c_mktsegment").alias("segment"))
+    part = table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("part_name"), F.col("p_brand").alias("brand"))
+    supplier = table(s, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("supplier_name"))
+    facts = table(s, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long"), "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return serve.denormalise(facts, (orders, "l_orderkey"), (customer, "o_custkey"), (part, "l_partkey"), (supplier, "l_suppkey")).drop("o_custkey", "l_partkey", "l_suppkey")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(s, d):
+    parsed = F.from_json("props", "k bigint")
+    return table(s, d, "events").select("event_id", parsed.alias("p")).select("event_id", "p.k")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%-m/%-d/%Y') AS order_raw, CAST(o_orderdate AS DATE) AS order_date, 0::BIGINT AS unread FROM orders")
+def stage_dates(s, d):
+    raw = table(s, d, "orders").select("o_orderkey", dates.format_date("o_orderdate").alias("raw"))
+    both = raw.select("o_orderkey", *dates.raw_and_parsed("raw", "order"))
+    return both.withColumn("unread", (F.col("order_raw").isNotNull() & F.col("order_date").isNull()).cast("long"))
+
+
+@query("""
+SELECT l_orderkey AS o_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, l_extendedprice) - 1 AS line_seq,
+  CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_quantity FROM lineitem""")
+def unnest_pos(s, d):
+    flat = flatten.unnest(_nested(s, d), "lines", "line", "line_seq")
+    return flat.select("o_orderkey", F.col("line_seq").cast("long"), *flatten.fields("line", l_partkey="l_partkey", l_quantity="l_quantity"), F.col("line.l_linenumber").cast("long").alias("l_linenumber"))
+
+
+@query("SELECT o.o_custkey AS c_custkey, l.l_partkey, count(*) AS n FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY 1, 2")
+def unnest_two_level(s, d):
+    orders = table(s, d, "orders").join(_nested(s, d), "o_orderkey")
+    members = flatten.nest(orders, ["o_custkey"], ["o_orderkey", "lines"], "orders")
+    outer = flatten.unnest(members, "orders", "o", "order_seq", keep=[F.col("o_custkey").alias("c_custkey")])
+    return flatten.unnest(outer, "o.lines", "line").groupBy("c_custkey", F.col("line.l_partkey").alias("l_partkey")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o.o_orderkey, count(l.l_orderkey) AS n_lines FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY 1")
+def unnest_outer_counts(s, d):
+    return table(s, d, "orders").select("o_orderkey").join(_nested(s, d), "o_orderkey", "left").select("o_orderkey", text.array_count("lines").cast("long").alias("n_lines"))
+
+
+@query("SELECT o.o_orderkey, CAST(l.l_linenumber AS BIGINT) AS l_linenumber FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey")
+def unnest_outer_rows(s, d):
+    orders = table(s, d, "orders").select("o_orderkey").join(_nested(s, d), "o_orderkey", "left")
+    return flatten.unnest(orders, "lines", "line", outer=True).select("o_orderkey", F.col("line.l_linenumber").cast("long").alias("l_linenumber"))
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_events(s, d):
+    return latest.latest_wins(table(s, d, "events"), ["user_id"], ("ts", "event_id")).select("user_id", "event_id", "event_type", "value")
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_events_narrow(s, d):
+    rows = table(s, d, "events").select("user_id", "ts", "event_id", "event_type")
+    return latest.latest_narrow(rows, ["user_id"], ("ts", "event_id")).select("user_id", "event_id", "event_type")
+
+
+@query("""
+WITH last AS (SELECT o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+SELECT l_orderkey, count(*) AS n_lines, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM last) GROUP BY 1""")
+def latest_orders_children(s, d):
+    last = latest.latest_wins(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ("o_orderdate", "o_orderkey"))
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity")
+    kept = latest.keep_latest_children(lines, last, ["o_orderkey"], version=())
+    return kept.groupBy(F.col("o_orderkey").alias("l_orderkey")).agg(F.count(F.lit(1)).alias("n_lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("""
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_shipdate, l_extendedprice) = 1""")
+def dedup_line_key(s, d):
+    one = latest.dedup_by_key(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], list(LINE_ORDER[1:]))
+    return one.select("l_orderkey", F.col("l_linenumber").cast("long"), "l_partkey", "l_suppkey", "l_quantity")
+
+
+@query("""
+SELECT u.user_id, f.first_error FROM (SELECT DISTINCT user_id FROM events) u
+LEFT JOIN (SELECT user_id, CAST(min(ts) AS DATE) AS first_error FROM events WHERE lower(event_type) LIKE '%error%' GROUP BY 1) f ON u.user_id = f.user_id""")
+def first_error_date(s, d):
+    events = table(s, d, "events")
+    first = events.where(F.lower("event_type").like("%error%")).groupBy("user_id").agg(F.min("ts").cast("date").alias("first_error"))
+    return events.select("user_id").distinct().join(first, "user_id", "left")
+
+
+@query("""
+SELECT p.p_partkey, m.s AS l_suppkey FROM part p
+LEFT JOIN (SELECT l_partkey, min(CAST(l_suppkey AS VARCHAR)) AS s FROM lineitem WHERE l_quantity > 45 GROUP BY 1) m ON p.p_partkey = m.l_partkey""")
+def key_to_min_parent(s, d):
+    links = table(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey")
+    return table(s, d, "part").select("p_partkey").join(latest.lowest_parent(links, "p_partkey", "l_suppkey"), "p_partkey", "left")
+
+
+@query("""
+SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus IS NULL THEN 'in_progress' WHEN lower(trim(o_orderstatus)) = 'f' THEN 'passed'
+  WHEN lower(trim(o_orderstatus)) = 'o' THEN 'in_progress' ELSE 'UNMAPPED' END AS disposition FROM orders""")
+def status_codes(s, d):
+    return table(s, d, "orders").select("o_orderkey", "o_orderstatus", codes.code_map("o_orderstatus", STATUS, if_null="in_progress").alias("disposition"))
+
+
+@query("""
+SELECT CASE WHEN o_orderstatus = 'F' THEN 'passed' WHEN o_orderstatus = 'O' THEN 'in_progress' ELSE 'UNMAPPED' END AS lifecycle, count(*) AS n FROM orders GROUP BY 1""")
+def lifecycle(s, d):
+    mapped = codes.map_codes(table(s, d, "orders"), "o_orderstatus", STATUS, "disposition")
+    return mapped.groupBy(codes.lifecycle("disposition").alias("lifecycle")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT name FROM (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT c_mktsegment FROM customer) WHERE name IS NOT NULL")
+def union_names_dim(s, d):
+    return star.distinct_names((table(s, d, "nation"), "n_name"), (table(s, d, "region"), "r_name"), (table(s, d, "customer"), "c_mktsegment"))
+
+
+@query("""
+WITH urgent AS (SELECT DISTINCT c.c_custkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+  WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01')
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name AS full_name, 'vote' AS id_source FROM urgent
+UNION ALL SELECT CAST(NULL AS VARCHAR), c_name, 'sponsor_only' FROM (SELECT DISTINCT c_name FROM customer WHERE c_name NOT IN (SELECT c_name FROM urgent))""")
+def two_population_dim(s, d):
+    customers = table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    urgent = table(s, d, "orders").where((F.col("o_orderpriority") == "1-URGENT") & dates.in_year("o_orderdate", 1997)).join(customers, "o_custkey")
+    members = urgent.select(F.col("o_custkey").cast("string").alias("c_custkey"), "c_name")
+    return star.two_populations(members, customers.select("c_name"), "c_custkey", "c_name").drop("person_sk")
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, l_extendedprice) - 1 AS pos FROM lineitem)
+SELECT r.l_orderkey, s.s_name AS supplier_name, CASE WHEN min(pos) = 0 THEN 'primary' ELSE 'co' END AS role FROM r LEFT JOIN supplier s ON r.l_suppkey = s.s_suppkey GROUP BY 1, 2""")
+def first_is_primary_bridge(s, d):
+    flat = flatten.unnest(_nested(s, d), "lines", "line", "pos").select(F.col("o_orderkey").alias("l_orderkey"), "pos", F.col("line.l_suppkey").alias("s_suppkey"))
+    named = flat.join(table(s, d, "supplier").select("s_suppkey", F.col("s_name").alias("supplier_name")), "s_suppkey", "left")
+    rows = named.select("l_orderkey", "supplier_name", codes.first_is("pos").alias("role"), "pos")
+    return latest.dedup_by_key(rows, ["l_orderkey", "supplier_name"], ["pos"]).drop("pos")
+
+
+@query("""
+SELECT count(DISTINCT concat_ws('|', l_orderkey, l_linenumber, l_partkey)) AS natural_keys, count(DISTINCT concat_ws('|', l_orderkey, l_linenumber, l_partkey)) AS surrogate_keys,
+  0::BIGINT AS null_keys, count(*) FILTER (WHERE l_quantity > 45) AS strict_nulls FROM lineitem""")
+def sk_properties(s, d):
+    lines = table(s, d, "lineitem").withColumn("q", F.when(F.col("l_quantity") <= 45, F.col("l_suppkey")))
+    natural = F.concat_ws("|", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")))
+    return lines.agg(
+        F.countDistinct(natural).alias("natural_keys"),
+        F.countDistinct(keys.sk("l_orderkey", "l_linenumber", "l_partkey")).alias("surrogate_keys"),
+        F.count_if(keys.sk("l_orderkey", "q").isNull()).alias("null_keys"),
+        F.count_if(keys.sk_strict("l_orderkey", "q").isNull()).alias("strict_nulls"),
+    )
+
+
+@query("""
+WITH k AS (SELECT CASE WHEN l_quantity > 45 THEN concat_ws('|', l_orderkey, l_linenumber) ELSE CAST(l_suppkey AS VARCHAR) END AS k, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem)
+SELECT k AS natural_key, CAST(min(l_shipdate) AS DATE) AS first_date FROM k GROUP BY 1""")
+def fallback_key_fact(s, d):
+    lines = table(s, d, "lineitem").withColumn("history", F.when(F.col("l_quantity") <= 45, F.col("l_suppkey").cast("string")))
+    keyed = lines.withColumns({"_sk": keys.coalesced_key("history", "l_orderkey", "l_linenumber"), "natural_key": F.coalesce("history", F.concat_ws("|", "l_orderkey", "l_linenumber"))})
+    return latest.dedup_by_key(keyed.select("_sk", "natural_key", "l_shipdate"), ["_sk"], ["l_shipdate", "natural_key"]).select("natural_key", F.col("l_shipdate").cast("date").alias("first_date"))
+
+
+@query("""
+SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS aye, count(*) FILTER (WHERE o_orderstatus = 'O') AS nay, count(*) FILTER (WHERE o_orderstatus = 'P') AS excused,
+  count(*) AS total FROM orders GROUP BY 1""")
+def member_tally(s, d):
+    bucket = codes.code_map("o_orderstatus", {"aye": ("f",), "nay": ("o",), "excused": ("p",)}, None)
+    return serve.tally(table(s, d, "orders").withColumn("bucket", bucket), ["o_custkey"], "bucket", ("aye", "nay", "excused"))
+
+
+@query("""
+SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate DESC, o_orderkey) AS latest_orders FROM
+  (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 5) GROUP BY 1""")
+def member_history_topk(s, d):
+    got = serve.history(table(s, d, "orders"), ["o_custkey"], "o_orderdate", ["o_orderkey"], "h", most=5)
+    return got.select("o_custkey", F.array_join(F.transform("h", lambda e: e["o_orderkey"].cast("string")), ",").alias("latest_orders"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS order_date, o_totalprice FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 25")
+def oldest_orders_topk(s, d):
+    return table(s, d, "orders").orderBy("o_orderdate", "o_orderkey").limit(25).select("o_orderkey", F.col("o_orderdate").cast("date").alias("order_date"), "o_totalprice")
+
+
+@query("SELECT o_orderpriority, strftime(min(o_orderdate), '%-m/%-d/%Y') || ' – ' || strftime(max(o_orderdate), '%-m/%-d/%Y') AS bounds FROM orders GROUP BY 1")
+def window_bounds(s, d):
+    return table(s, d, "orders").groupBy("o_orderpriority").agg(serve.date_bounds("o_orderdate").alias("bounds"))
+
+
+@query("""
+SELECT o_orderpriority, count(*) AS n, count(CASE WHEN o_orderstatus = 'F' THEN o_orderdate END) AS n_final_date, count(CASE WHEN o_totalprice > 300000 THEN o_orderdate END) AS n_large_date FROM orders GROUP BY 1""")
+def milestone_fill(s, d):
+    orders = table(s, d, "orders").select("o_orderpriority", F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("final_date"), F.when(F.col("o_totalprice") > 300000, F.col("o_orderdate")).alias("large_date"))
+    return quality.milestone_fill(orders, "o_orderpriority", "final_date", "large_date")
+
+
+@query("""
+SELECT 'final_date' AS "column", count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS filled, count(*) AS total, round(count(CASE WHEN o_orderstatus = 'F' THEN 1 END) / count(*)::DOUBLE, 9) AS rate FROM orders""")
+def fk_fill_rate(s, d):
+    orders = table(s, d, "orders").select(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("final_date"))
+    return quality.fill_rate(orders, "final_date").withColumn("rate", F.round("rate", 9))
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_orderstatus")
+def count_by_code_desc(s, d):
+    return table(s, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "o_orderstatus")
+
+
+def _check_sql(name: str, tab: str, n: str) -> str:
+    return f"SELECT '{name}' AS \"check\", '{tab}' AS \"table\", CAST(n AS BIGINT) AS failing_count, n = 0 AS passed FROM ({n})"
+
+
+@query(_check_sql("orphan_l_suppkey", "lineitem", "SELECT count(*) AS n FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)"))
+def dq_orphans(s, d):
+    return quality.orphans(table(s, d, "lineitem"), "l_suppkey", table(s, d, "supplier").where("s_acctbal > 0"), "s_suppkey", "lineitem")
+
+
+@query(_check_sql("unmapped_disposition", "orders", "SELECT count(*) AS n FROM orders WHERE o_orderstatus NOT IN ('F', 'O')"))
+def dq_unmapped(s, d):
+    return quality.unmapped(codes.map_codes(table(s, d, "orders"), "o_orderstatus", STATUS, "disposition"), "disposition", "orders")
+
+
+@query(_check_sql("collision_p_name", "part", "SELECT count(*) AS n FROM (SELECT p_name FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) > 1)"))
+def dq_collisions(s, d):
+    return quality.collisions(table(s, d, "part"), "p_name", "p_partkey", "part")
+
+
+@query(_check_sql("accepted_o_orderstatus", "orders", "SELECT count(*) AS n FROM orders WHERE o_orderstatus NOT IN ('F', 'O')"))
+def dq_accepted(s, d):
+    return quality.accepted(table(s, d, "orders"), "o_orderstatus", ("F", "O"), "orders")
+
+
+@query(_check_sql("unique_l_orderkey_l_linenumber", "lineitem", "SELECT count(*) AS n FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)"))
+def dq_unique(s, d):
+    return quality.unique(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], "lineitem")
+
+
+@query(_check_sql("parses_raw", "orders", "SELECT count(*) AS n FROM orders WHERE o_orderpriority = '5-LOW'"))
+def dq_parse(s, d):
+    raw = F.when(F.col("o_orderpriority") == "5-LOW", F.lit("soon")).otherwise(dates.format_date("o_orderdate"))
+    orders = table(s, d, "orders").select(raw.alias("raw"))
+    return quality.parses(orders.withColumn("parsed", dates.parse_date("raw")), "raw", "parsed", "orders")
+
+
+@query(_check_sql("not_empty", "events", "SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END AS n FROM events"))
+def dq_nonempty(s, d):
+    return quality.not_empty(table(s, d, "events"), "events")
+
+
+@query(_check_sql("no_fan_out", "star_view", "SELECT 0 AS n"))
+def dq_no_fan_out(s, d):
+    return quality.no_fan_out(star_view(s, d), table(s, d, "lineitem"), "member_name", "star_view")
+
+
+@query(_check_sql("tally_total", "member_tally", "SELECT 0 AS n"))
+def dq_tally(s, d):
+    return quality.tally(member_tally(s, d), "total", ["aye", "nay", "excused"], "member_tally")
+
+
+@query("""
+WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem), b AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity > 49 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity FROM lineitem WHERE l_discount < 0.09)
+SELECT 'lineitem' AS "table", (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_left, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_right""")
+def reconcile_two_way(s, d):
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount")
+    altered = lines.where("l_discount < 0.09").withColumn("l_quantity", F.when(F.col("l_quantity") > 49, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    return quality.reconcile(lines.drop("l_discount"), altered.drop("l_discount"), "lineitem")
+
+
+def _upsert_sides(s, d):
+    orders = table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    target = orders.where(F.col("o_orderdate") < "1998-07-01").drop("o_orderdate")
+    late = orders.where(F.col("o_orderdate") >= "1998-01-01")
+    source = late.withColumn("o_totalprice", F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).drop("o_orderdate")
+    return target, source
+
+
+_UPSERT = """
+WITH t AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1998-07-01'), s AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'O' THEN o_totalprice + 1 ELSE o_totalprice END AS p FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')
+SELECT coalesce(t.o_orderkey, s.o_orderkey) AS o_orderkey, coalesce(t.o_orderstatus, s.o_orderstatus) AS o_orderstatus, {price} AS o_totalprice,
+  CASE WHEN t.o_orderkey IS NULL THEN 'inserted' WHEN {changed} THEN 'updated' ELSE 'unchanged' END AS action FROM t FULL OUTER JOIN s ON t.o_orderkey = s.o_orderkey"""
+
+
+@query(_UPSERT.format(price="coalesce(s.p, t.o_totalprice)", changed="s.p <> t.o_totalprice"))
+def upsert_update(s, d):
+    return merge(*_upsert_sides(s, d), ["o_orderkey"]).withColumnRenamed("_action", "action")
+
+
+@query(_UPSERT.format(price="coalesce(t.o_totalprice, s.p)", changed="FALSE"))
+def upsert_insert_only(s, d):
+    return merge(*_upsert_sides(s, d), ["o_orderkey"], update=False).withColumnRenamed("_action", "action")
+
+
+def _versions(s, d):
+    return scd.build_scd2(table(s, d, "events"), ["user_id"], ["event_type"], "ts", tie=["event_id"])
+
+
+_SCD = """
+WITH c AS (SELECT user_id, event_type, ts, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS was FROM events),
+v AS (SELECT user_id, event_type, ts AS f, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS t FROM c WHERE was IS NULL OR was <> event_type)"""
+
+
+@query(_SCD + "SELECT user_id, event_type, epoch_us(f) AS from_us, epoch_us(t) AS to_us, t IS NULL AS is_current FROM v")
+def scd2_build(s, d):
+    v = _versions(s, d)
+    return v.select("user_id", "event_type", _micros("effective_from").alias("from_us"), _micros("effective_to").alias("to_us"), "is_current")
+
+
+@query(_SCD + "SELECT e.event_id, v.event_type AS valid_type, epoch_us(v.f) AS from_us FROM events e LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.f AND (v.t IS NULL OR e.ts < v.t)")
+def asof_join(s, d):
+    facts = table(s, d, "events").select("event_id", "user_id", "ts")
+    return scd.as_of(facts, _versions(s, d), ["user_id"], "ts").select("event_id", F.col("event_type").alias("valid_type"), _micros("effective_from").alias("from_us"))
+
+
+@query("""
+WITH a AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1), b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1995-07-01' AND o_orderdate < TIMESTAMP '1996-07-01' GROUP BY 1)
+SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN a.o_custkey IS NULL THEN 'added' WHEN b.o_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM a FULL OUTER JOIN b ON a.o_custkey = b.o_custkey WHERE a.n IS NULL OR b.n IS NULL OR a.n <> b.n""")
+def snapshot_diff(s, d):
+    orders, date = table(s, d, "orders"), F.col("o_orderdate")
+    count = lambda df: df.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return scd.snapshot_diff(count(orders.where(date < "1996-01-01")), count(orders.where((date >= "1995-07-01") & (date < "1996-07-01"))), ["o_custkey"], ["n"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'")
+def open_set(s, d):
+    mapped = codes.map_codes(table(s, d, "orders"), "o_orderstatus", STATUS, "disposition")
+    return scd.open_set(mapped, codes.lifecycle("disposition"), ("passed", "terminal_other")).select("o_orderkey")
+
+
+@query("SELECT user_id, event_type, epoch_us(ts) AS at_us FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_status(s, d):
+    return scd.latest_status(table(s, d, "events"), ["user_id"], "event_type", "ts", "event_id").select("user_id", "event_type", _micros("ts").alias("at_us"))
+
+
+@query("""
+SELECT 'both' AS bounds, count(*) AS n FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-02-01' AND DATE '1996-03-31'
+UNION ALL SELECT 'from', count(*) FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1996-02-01' UNION ALL SELECT 'to', count(*) FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '1996-03-31'
+UNION ALL SELECT 'none', count(*) FROM orders""")
+def date_window(s, d):
+    day, a, b = F.col("o_orderdate").cast("date"), "1996-02-01", "1996-03-31"
+    named = {"both": (a, b), "from": (a, None), "to": (None, b), "none": (None, None)}
+    counts = table(s, d, "orders").agg(*(F.count_if(dates.in_window(day, *w)).alias(k) for k, w in named.items()))
+    return counts.unpivot([], list(named), "bounds", "n")
+
+
+@query("""
+WITH b AS (SELECT CAST(min(o_orderdate) AS DATE) AS s, CAST(max(o_orderdate) AS DATE) AS e FROM orders),
+w AS (SELECT CAST(o_orderdate AS DATE) AS d, s, e FROM orders, b)
+SELECT s + CAST(floor((d - s) / 7) * 7 AS INTEGER) AS slice_start, least(s + CAST(floor((d - s) / 7) * 7 AS INTEGER) + 6, e) AS slice_end, count(*) AS n FROM w GROUP BY 1, 2""")
+def weekly_slices(s, d):
+    days = table(s, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    weeks = dates.weekly_slices(days.agg(F.min("day").alias("start"), F.max("day").alias("end")))
+    each = weeks.select("slice_start", "slice_end", F.explode(F.sequence("slice_start", "slice_end")).alias("day"))
+    return each.join(days, "day").groupBy("slice_start", "slice_end").agg(F.sum("n").alias("n"))
+
+
+@query("""
+SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS valid_from, CASE WHEN CAST(max(o_orderdate) AS DATE) <= DATE '2001-01-01' THEN CAST(max(o_orderdate) AS DATE) END AS valid_to,
+  CAST(max(o_orderdate) AS DATE) > DATE '2001-01-01' AS is_current FROM orders GROUP BY 1""")
+def tenure_open_end(s, d):
+    spans = table(s, d, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").alias("start"), F.max("o_orderdate").cast("date").alias("end"))
+    return scd.tenures(spans, "start", "end", "2001-01-01").drop("start", "end")
+
+
+@query("""
+SELECT p_partkey, trim(split_part(p_name, ' ', 1)) || '|' || p_type || '|' || p_brand AS names, 3::BIGINT AS n FROM part""")
+def split_names(s, d):
+    raw = F.concat(F.split("p_name", " ")[0], F.lit("; "), F.col("p_type"), F.lit(", , and "), F.col("p_brand"), F.lit(";"))
+    got = table(s, d, "part").select("p_partkey", text.split_names(raw).alias("x"))
+    return got.select("p_partkey", F.array_join("x", "|").alias("names"), F.size("x").cast("long").alias("n"))
+
+
+@query("SELECT s_suppkey, s_name AS location, CASE s_suppkey % 3 WHEN 0 THEN 'Recessed' WHEN 1 THEN 'Closed Session' END AS subtype FROM supplier")
+def suffix_split(s, d):
+    ending = F.element_at(F.array(F.lit(", RECESSED Meeting"), F.lit("  closed session meeting "), F.lit("")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    place, kind = text.split_suffix(F.concat("s_name", ending))
+    return table(s, d, "supplier").select("s_suppkey", place.alias("location"), kind.alias("subtype"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 40 THEN NULL ELSE p_name END AS name FROM part")
+def text_norm(s, d):
+    raw = F.when(F.col("p_size") > 40, F.lit("  \n ")).otherwise(F.concat(F.lit(" \t"), F.replace("p_name", F.lit(" "), F.lit("   \n")), F.lit(" ")))
+    return table(s, d, "part").select("p_partkey", text.normalised(raw).alias("name"))
+
+
+@query("SELECT event_id, CAST(event_id % 50 + 1 AS BIGINT) AS pages, CASE WHEN event_id % 50 = 0 THEN NULL ELSE user_id * 1000 END AS items FROM events")
+def pager_numbers(s, d):
+    n = F.col("event_id") % 50
+    label = F.when(n == 0, F.lit("no pager")).otherwise(F.concat(F.lit("Page 1 of "), (n + 1).cast("string"), F.lit(", items 1 to 100 of "), F.format_number(F.col("user_id") * 1000, 0), F.lit(".")))
+    total, items = text.pager(label)
+    return table(s, d, "events").select("event_id", total.cast("long").alias("pages"), items.cast("long").alias("items"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_extract(url, '[?&]page=([0-9]+)', 1) = '' THEN NULL ELSE regexp_extract(url, '[?&]page=([0-9]+)', 1) END AS id FROM pages")
+def url_id(s, d):
+    return table(s, d, "pages").select("page_id", keys.url_id("url", "page").alias("id"))
+
+
+@query("SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, min(page_id) AS page_id FROM pages GROUP BY 1")
+def url_first_seen(s, d):
+    hosts = table(s, d, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), "page_id")
+    return latest.first_seen(hosts, "host", ["page_id"], keep_order=False)
+
+
+@query("SELECT page_id, url FROM pages WHERE regexp_extract(url, '/([0-9]+)', 1) NOT IN (SELECT regexp_extract(url, '/([0-9]+)', 1) FROM pages WHERE url LIKE 'https:%')")
+def resume_anti(s, d):
+    found = table(s, d, "pages").select("page_id", "url", F.regexp_extract("url", "/([0-9]+)", 1).alias("id"))
+    return latest.not_landed(found, found.where(F.col("url").startswith("https:")), "id").select("page_id", "url")
+
+
+_VISIBLE = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g'), '(?is)<!--.*?-->', '', 'g')"
+
+
+@query(f"""SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, a[i] AS href FROM (SELECT page_id, regexp_extract_all({_VISIBLE}, '<a [^>]*href="([^"]*)"', 1) AS a FROM pages) t, (SELECT unnest(range(1, 400)) AS i) r WHERE i <= len(a)""")
+def page_links(s, d):
+    return pages.anchors(table(s, d, "pages")).select("page_id", F.col("pos").cast("long"), "href")
+
+
+@query(f"SELECT page_id, regexp_extract({_VISIBLE}, '(?s)<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all({_VISIBLE}, '<h[1-6]>')) AS BIGINT) AS n_headings FROM pages")
+def page_headings(s, d):
+    h = pages.visible("html")
+    return table(s, d, "pages").select("page_id", F.regexp_extract(h, r"(?s)<title>([^<]*)</title>", 1).alias("title"), F.regexp_count(h, F.lit("<h[1-6]>")).cast("long").alias("n_headings"))
+
+
+@query(rf"""
+SELECT page_id, regexp_extract({_VISIBLE}, '<html lang="([^"]*)"', 1) AS lang, CAST(len(regexp_extract_all({_VISIBLE}, '(?s)<li>(.*?)</li>', 1)) AS BIGINT) AS n_items,
+  regexp_replace(regexp_extract({_VISIBLE}, '(?s)<li>(.*?)</li>', 1), '<[^>]*>', '', 'g') AS first_item FROM pages""")
+def page_sections(s, d):
+    spec = pages.RecordSpec({"lang": '<html lang="([^"]*)"'})
+    got = pages.extract_records(table(s, d, "pages"), spec)
+    return got.select("page_id", F.col("header.lang").alias("lang"), F.size("items").cast("long").alias("n_items"), F.try_element_at("items", F.lit(1)).alias("first_item"))
+
+
+_TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+
+
+@query(f"""
+SELECT doc_id, 'function' AS tag FROM documents WHERE list_contains({_TOKENS}, 'the') OR list_contains({_TOKENS}, 'les')
+UNION ALL SELECT doc_id, 'insult' FROM documents WHERE list_contains({_TOKENS}, 'idiot') OR list_contains({_TOKENS}, 'loser') OR list_contains({_TOKENS}, 'worthless')""")
+def keyword_tags(s, d):
+    return search.keyword_tags(table(s, d, "documents"), "doc_id", "text", {"function": ("the", "les"), "insult": ("idiot", "loser", "worthless")})
+
+
+@query(f"""
+SELECT doc_id, CAST(len(list_filter({_TOKENS}, lambda x: x = 'license' OR x = 'licensed')) AS BIGINT) AS score FROM documents
+WHERE len(list_filter({_TOKENS}, lambda x: x = 'license' OR x = 'licensed')) > 0 ORDER BY score DESC, doc_id LIMIT 25""")
+def keyword_search(s, d):
+    return search.keyword_search(table(s, d, "documents"), "doc_id", "text", ["license", "licensed"], 25)
+
+
+@query("SELECT doc_id, sha256(text) <> sha256(CASE WHEN lang = 'fr' THEN text || ' ' ELSE text END) AS changed FROM documents")
+def text_change(s, d):
+    docs = table(s, d, "documents").select("doc_id", "text", "lang")
+    new = docs.withColumn("text", F.when(F.col("lang") == "fr", F.concat("text", F.lit(" "))).otherwise(F.col("text")))
+    return scd.text_changes(docs.drop("lang"), new.drop("lang"), "doc_id", "text")
+
+
+@query("SELECT c_custkey, coalesce(CASE WHEN s.s_acctbal > 5000 THEN s.s_name END, c_name) AS name FROM customer LEFT JOIN supplier s ON c_custkey = s_suppkey")
+def precedence_fill(s, d):
+    header = table(s, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.when(F.col("s_acctbal") > 5000, F.col("s_name")).otherwise(F.lit(" ")).alias("header"))
+    return table(s, d, "customer").join(header, "c_custkey", "left").select("c_custkey", text.first_filled("header", "c_name").alias("name"))
+
+
+@query("""
+SELECT n.n_name, count(*) AS n FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_name IN ('ASIA', 'EUROPE') GROUP BY 1""")
+def membership_filter(s, d):
+    members = table(s, d, "nation").join(table(s, d, "region").where(F.col("r_name").isin("ASIA", "EUROPE")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return table(s, d, "customer").join(members, "c_nationkey").groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT o.o_orderkey, min(e.event_id) AS event_id FROM orders o JOIN events e ON o.o_custkey = e.user_id AND CAST(e.props->>'k' AS BIGINT) = o.o_orderkey % 100 GROUP BY 1""")
+def cross_slice_link(s, d):
+    events = table(s, d, "events").select(F.col("user_id").alias("o_custkey"), "event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    orders = table(s, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 100).alias("k"))
+    return orders.join(events, ["o_custkey", "k"]).groupBy("o_orderkey").agg(F.min("event_id").alias("event_id"))
+
+
+def _matters(s, d) -> DataFrame:
+    """Bronze records out of orders: an early capture without actions, and for three quarters of them a later one with."""
+    us = lambda c: dates.format_date(c)
+    lines = table(s, d, "lineitem").join(table(s, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey", "left")
+    vote = F.when(F.col("l_returnflag") == "R", "No").when(F.col("l_returnflag") == "A", "Aye").otherwise("Absent")
+    votes = F.array(F.struct(F.col("l_suppkey").cast("string").alias("person_id"), F.col("s_name").alias("person_name"), vote.alias("vote_value")))
+    lines = lines.select("l_orderkey", *LINE_ORDER, us("l_shipdate").alias("date"), F.concat(F.lit("Committee "), "l_returnflag").alias("body"), F.col("l_linestatus").alias("action"), votes.alias("votes"))
+    fields = ["date", "body", "action", "votes", "l_quantity"]
+    nested = flatten.nest(lines, ["l_orderkey"], fields, "lines", order=list(LINE_ORDER)).withColumnRenamed("l_orderkey", "o_orderkey")
+    orders = table(s, d, "orders").join(table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left").join(nested, "o_orderkey", "left")
+
+    def action(line, i):
+        history = F.when(line["l_quantity"] <= 45, F.concat_ws("-", "o_orderkey", i))
+        return F.struct(line["date"].alias("date"), line["body"].alias("body"), line["action"].alias("action"), F.lit("Pass").alias("result"), history.alias("history_id"), F.lit(None).cast("string").alias("history_url"), line["votes"].alias("votes"))
+
+    status = F.when(F.col("o_orderstatus") == "F", " Passed").when(F.col("o_orderstatus") == "O", "30 Day Rule").otherwise("Odd")
+    base = [F.col("o_orderkey").cast("string").alias("file_number"), F.concat(F.lit("https://records.example/Detail.aspx?ID="), "o_orderkey").alias("detail_url"), F.concat(F.lit("Order "), "o_orderkey").alias("name"), F.lit("t").alias("title"), F.col("o_orderpriority").alias("type")]
+    rest = [us("o_orderdate").alias("introduced"), *(F.lit(None).cast("string").alias(c) for c in ("on_agenda", "final_action", "enactment_date", "enactment_number")), F.lit("Board").alias("in_control"), F.array("c_name", F.lit("Mayor")).alias("sponsors"), F.array().cast("array<string>").alias("related_files"), F.array(F.struct(F.lit("Leg Ver1").alias("name"), F.concat(F.lit("https://records.example/View.ashx?ID="), F.col("o_orderkey") % 100).alias("url"))).alias("attachments")]
+    actions = F.transform("lines", action)
+    lineage = lambda day: [F.lit(f"{day}.json").alias("source_file"), F.lit(day).cast("date").alias("ingest_date"), F.lit(day).cast("timestamp_ntz").alias("loaded_at")]
+    early = orders.select(*base, F.lit("New Business").alias("status"), *rest, F.lit(None).cast("array<struct<date:string,body:string,action:string,result:string,history_id:string,history_url:string,votes:array<struct<person_id:string,person_name:string,vote_value:string>>>>").alias("actions"), *lineage("2024-01-01"))
+    late = orders.where("o_orderkey % 4 != 0").select(*base, status.alias("status"), *rest, actions.alias("actions"), *lineage("2024-01-08"))
+    return early.unionByName(late)
+
+
+def _meetings(s, d) -> DataFrame:
+    """Bronze meetings out of sign-up events: each links the first action of the order that has its number."""
+    events = table(s, d, "events").where("event_type = 'signup'")
+    none = F.lit(None).cast("string")
+    item = F.struct(F.lit(0).cast("long").alias("item_seq"), F.col("event_id").cast("string").alias("matter_file"), none.alias("matter_url"), *(none.alias(c) for c in ("agenda_number", "matter_name", "matter_type", "matter_status", "title", "action_raw", "action_result")), F.concat(F.col("event_id").cast("string"), F.lit("-0")).alias("history_id"), none.alias("history_url"))
+    documents = F.array().cast("array<struct<document_source:string,document_title:string,document_url:string,body_text:string>>")
+    day = "2024-01-08"
+    return events.select(F.col("event_id").cast("string").alias("meeting_id"), none.alias("event_guid"), F.lit("Committee R").alias("body_name"), dates.format_date("ts").alias("meeting_date"), *(none.alias(c) for c in ("meeting_time", "location", "meeting_subtype", "agenda_status", "minutes_status", "agenda_url", "minutes_url", "video_clip_id")), documents.alias("documents"), F.array(item).alias("agenda_items"), F.lit(f"{day}.json").alias("source_file"), F.lit(day).cast("date").alias("ingest_date"), F.lit(day).cast("timestamp_ntz").alias("loaded_at"))
+
+
+def _gold(s, d):
+    """Bronze and the latest captures are written once: each of them is read by several models."""
+    root = scratch(s, "medallion")
+    bronze = {"matters": stored(_matters(s, d), f"{root}/matters"), "meetings": stored(_meetings(s, d), f"{root}/meetings")}
+    latest_ones = star.latest_captures({name: build(bronze[source]) for name, (source, build) in staging.SILVER.items()})
+    latest_ones.pop("int_meeting_documents")
+    return star.build_gold({name: stored(df, f"{root}/{name}") for name, df in latest_ones.items()})
+
+
+_RECORDS = """
+WITH line AS (SELECT l_orderkey, l_suppkey, l_returnflag, l_linestatus, l_quantity, CAST(l_shipdate AS DATE) AS day,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, l_extendedprice) - 1 AS seq FROM lineitem WHERE l_orderkey % 4 <> 0),
+act AS (SELECT *, CAST(l_orderkey AS VARCHAR) AS matter_file, CASE WHEN l_quantity <= 45 THEN l_orderkey || '-' || seq END AS history_id, 'Committee ' || l_returnflag AS body FROM line),
+meet AS (SELECT event_id || '-0' AS history_id, CAST(ts AS DATE) AS meeting_date FROM events WHERE event_type = 'signup'),
+vote AS (SELECT act.*, CASE l_returnflag WHEN 'R' THEN 'No' WHEN 'A' THEN 'Aye' ELSE 'Absent' END AS vote_value FROM act
+  QUALIFY row_number() OVER (PARTITION BY concat_ws('|', history_id, l_suppkey) ORDER BY day, matter_file, seq, l_returnflag) = 1),
+state AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 4 = 0 THEN 'New Business' WHEN o_orderstatus = 'F' THEN ' Passed' WHEN o_orderstatus = 'O' THEN '30 Day Rule' ELSE 'Odd' END AS status FROM orders)
+"""
+
+
+@query(_RECORDS + """
+SELECT v.day AS vote_date, v.vote_value, CAST(v.l_suppkey AS VARCHAR) AS person_id, s.s_name AS member_name, v.matter_file, 'Order ' || v.matter_file AS matter_name, 't' AS matter_title, o.o_orderpriority AS matter_type,
+  o.status AS matter_status, CASE o.status WHEN ' Passed' THEN 'passed' WHEN 'Odd' THEN 'UNMAPPED' ELSE 'in_progress' END AS lifecycle,
+  CASE o.status WHEN ' Passed' THEN 'passed' WHEN 'Odd' THEN 'UNMAPPED' ELSE 'in_progress' END AS final_disposition, v.body AS committee_name, m.meeting_date
+FROM vote v LEFT JOIN supplier s ON v.l_suppkey = s.s_suppkey LEFT JOIN state o ON v.l_orderkey = o.o_orderkey LEFT JOIN meet m ON v.history_id = m.history_id""")
+def medallion_vote_record(s, d):
+    return serve.member_vote_record(_gold(s, d)).drop("vote_sk", "matter_sk", "person_sk", "committee_sk", "meeting_sk")
+
+
+@query(_RECORDS + """
+SELECT 'dim_matter' AS name, count(*) AS n FROM orders UNION ALL SELECT 'dim_committee', count(*) FROM (SELECT DISTINCT body FROM act UNION SELECT 'Committee R' FROM meet UNION SELECT 'Board' FROM orders)
+UNION ALL SELECT 'dim_person', (SELECT count(DISTINCT l_suppkey) FROM act) + (SELECT count(DISTINCT c_name) FROM orders JOIN customer ON o_custkey = c_custkey) + 1
+UNION ALL SELECT 'dim_document', count(DISTINCT o_orderkey % 100) FROM orders UNION ALL SELECT 'dim_meeting', count(*) FROM meet
+UNION ALL SELECT 'fact_matter_action', count(DISTINCT coalesce(history_id, concat_ws('|', matter_file, day, l_linestatus))) FROM act
+UNION ALL SELECT 'fact_vote', count(*) FROM vote UNION ALL SELECT 'bridge_matter_sponsor', 2 * count(*) FROM orders UNION ALL SELECT 'bridge_matter_document', count(*) FROM orders""")
+def medallion_gold_counts(s, d):
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in _gold(s, d).items()]
+    return quality.report(*counts)
+
+
+@query(_RECORDS + """
+SELECT CAST(v.l_suppkey AS VARCHAR) AS id, CAST(v.l_suppkey AS BIGINT) AS district, count(*) FILTER (WHERE vote_value = 'Aye') AS aye, count(*) FILTER (WHERE vote_value = 'No') AS nay,
+  count(*) FILTER (WHERE vote_value = 'Absent') AS absent, count(*) AS total, count(*) AS n_votes, strftime(max(day), '%-m/%-d/%Y') AS latest
+FROM vote v WHERE l_suppkey < 11 AND day >= DATE '1997-01-01' AND day < DATE '1998-01-01' GROUP BY 1, 2""")
+def rep_tally(s, d):
+    """The dashboard's document, read back and counted."""
+    payload = serve.rep_payload(serve.member_vote_record(_gold(s, d)), {str(i): i for i in range(11)}, 1997, "2024-01-08")
+    reps = F.from_json("payload", "reps array<struct<id:string,district:bigint,aye:bigint,nay:bigint,absent:bigint,total:bigint,votes:array<struct<date:string>>>>")
+    rep = payload.select(F.explode(reps["reps"]).alias("r")).select("r.*")
+    return rep.select("id", "district", "aye", "nay", "absent", "total", F.size("votes").cast("long").alias("n_votes"), F.col("votes")[0]["date"].alias("latest"))
+
+
+@query("SELECT CAST(ts AS DATE) AS ingest_date, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def stream_land_counts(s, d):
+    """Events as files of a landing zone, drained by the stream twice: the second time brings nothing more."""
+    root = scratch(s, "landing")
+    events = table(s, d, "events").withColumn("ingest_date", F.col("ts").cast("date"))
+    events.select("event_id", "value", "ingest_date").write.partitionBy("ingest_date").json(f"{root}/raw")
+    for _ in range(2):
+        land(s, f"{root}/raw", "event_id long, value double", "event_id", f"{root}/bronze", f"{root}/checkpoint", multi_line=False)
+    return landed(s, f"{root}/bronze", "event_id long, value double").groupBy("ingest_date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1998-07-01' AND o_orderdate < TIMESTAMP '1998-01-01' UNION ALL SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'O' THEN o_totalprice + 1 ELSE o_totalprice END FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'")
+def upsert_snapshots(s, d):
+    """The same merge through the table writer, run twice; the second run changes nothing."""
+    target, source = _upsert_sides(s, d)
+    snapshots = Snapshots(s, scratch(s, "snapshots"))
+    snapshots.write(target)
+    for _ in range(2):
+        upsert(snapshots, source, ["o_orderkey"])
+    return snapshots.read()
