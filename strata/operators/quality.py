@@ -30,7 +30,7 @@ def unresolved(df: DataFrame, column: str, table: str) -> DataFrame:
 
 def collisions(df: DataFrame, name: str, identity: str, table: str) -> DataFrame:
     """Names that more than one identity owns."""
-    return _result(df.groupBy(name).agg(F.countDistinct(identity).alias("n")).where("n > 1"), f"collision_{name}", table)
+    return _result(df.groupBy(name).agg(F.countDistinct(identity).alias("_owners")).where("_owners > 1"), f"collision_{name}", table)
 
 
 def fill_rate(df: DataFrame, *columns: str) -> DataFrame:
@@ -51,7 +51,7 @@ def accepted(df: DataFrame, column: str, values: tuple[str, ...], table: str) ->
 
 def unique(df: DataFrame, keys: list[str], table: str) -> DataFrame:
     """Keys that occur more than once."""
-    return _result(df.groupBy(*keys).count().where("count > 1"), f"unique_{'_'.join(keys)}", table)
+    return _result(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1"), f"unique_{'_'.join(keys)}", table)
 
 
 def parses(df: DataFrame, raw: str, parsed: str, table: str) -> DataFrame:
