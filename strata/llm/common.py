@@ -9,7 +9,8 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Rows handed to Python code at once inside an Arrow batch; bounds the worker's working set.
@@ -102,3 +103,8 @@ def map_rows(docs: DataFrame, column: str, change: Callable[[str], str]) -> Data
 
     return docs.mapInArrow(run, docs.schema)
 
+
+
+def count_kind(spans: str, kind: str) -> Column:
+    """How many of the spans (kind:start:end) are of a kind."""
+    return F.size(F.filter(spans, lambda s: s.startswith(f"{kind}:"))).cast("long")

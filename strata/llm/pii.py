@@ -20,7 +20,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts
+from .common import count_kind, documents, map_texts
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login", "ssn", "iban", "account")
@@ -174,6 +174,6 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 def op2_pii_anchors(spark, sf_dir):
     found = pii_spans(documents(spark, sf_dir))
-    count = {f"n_{k}": F.size(F.filter("found", lambda s, k=k: s.startswith(f"{k}:"))).cast("long") for k in BASE}
+    count = [count_kind("found", k).alias(f"n_{k}") for k in BASE]
     base = F.filter("found", lambda s: F.substring_index(s, ":", 1).isin(*BASE))
-    return found.select("doc_id", *(c.alias(k) for k, c in count.items()), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join("found", ",").alias("spans"))
+    return found.select("doc_id", *count, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join("found", ",").alias("spans"))

@@ -25,7 +25,7 @@ from urllib.parse import unquote_to_bytes
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts
+from .common import count_kind, documents, map_texts
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, *(f"decoded_{k}" for k in BASE))
@@ -34,8 +34,9 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PERCENT = re.compile(r"[A-Za-z0-9._~+/=:&?-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9._~+/=:&?-]*)+")
-_ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4}[\x20-\x5B\x5D-\x7E]?)+")
+# A match starts where its run of characters starts, so long runs are walked once.
+_PERCENT = re.compile(r"(?<![A-Za-z0-9._~+/=:&?-])[A-Za-z0-9._~+/=:&?-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9._~+/=:&?-]*)+")
+_ESCAPED = re.compile(r"(?<![!-\[\]-~])[!-\[\]-~]*(?:\\u[0-9A-Fa-f]{4}[!-\[\]-~]*)+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _CONTROL = re.compile(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F�]")
@@ -135,6 +136,6 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 def op8_secrets_worklist(spark, sf_dir):
     found = secret_spans(documents(spark, sf_dir))
-    count = [F.size(F.filter("found", lambda s, k=k: s.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in BASE]
+    count = [count_kind("found", k).alias(f"n_{k}") for k in BASE]
     base = F.filter("found", lambda s: F.substring_index(s, ":", 1).isin(*BASE))
     return found.select("doc_id", *count, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join("found", ",").alias("spans"))
