@@ -51,17 +51,20 @@ def grid(html: Column, marker: str = "rgMasterTable") -> Column:
 
 
 def rows(fragment: Column) -> Column:
+    """Array of structs (markup, cells) of a grid's rows. Cells are split here once; what follows only picks from them."""
     body = F.coalesce(found(fragment, r"(?s)<tbody\b[^>]*>(.*?)</tbody>"), fragment)
-    return F.coalesce(F.regexp_extract_all(body, F.lit(r"(?s)<tr\b[^>]*>(.*?)</tr>"), 1), F.array().cast("array<string>"))
+    each = F.regexp_extract_all(body, F.lit(r"(?s)<tr\b[^>]*>(.*?)</tr>"), 1)
+    split = F.transform(each, lambda r: F.struct(r.alias("markup"), F.regexp_extract_all(r, F.lit(r"(?s)<td\b[^>]*>(.*?)</td>"), 1).alias("cells")))
+    return F.coalesce(split, F.array().cast("array<struct<markup:string,cells:array<string>>>"))
 
 
-def cells(row: Column) -> Column:
-    return F.regexp_extract_all(row, F.lit(r"(?s)<td\b[^>]*>(.*?)</td>"), 1)
+def n_cells(row: Column) -> Column:
+    return F.size(row["cells"])
 
 
 def cell(row: Column, i: int) -> Column:
     """Markup of the i-th cell, from 0; negative counts from the end."""
-    return F.try_element_at(cells(row), F.lit(i + 1 if i >= 0 else i))
+    return F.try_element_at(row["cells"], F.lit(i + 1 if i >= 0 else i))
 
 
 def text_cell(row: Column, i: int) -> Column:
@@ -83,7 +86,7 @@ def clip(fragment: Column) -> Column:
 
 def calendar_rows(pages: DataFrame, base: str, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """One row per meeting of a calendar grid. Rows with too few cells or without a detail link that has id and guid are skipped."""
-    row = F.explode(F.filter(rows(grid(visible(html))), lambda r: F.size(cells(r)) >= MIN_CELLS)).alias("row")
+    row = F.explode(F.filter(rows(grid(visible(html))), lambda r: n_cells(r) >= MIN_CELLS)).alias("row")
     each = pages.select(*keep, row)
     r = F.col("row")
     detail = href(cell(r, 5), r"MeetingDetail\.aspx")
@@ -121,7 +124,7 @@ def meeting_pages(pages: DataFrame, base: str, html: str = "html", keep: tuple[s
     link = lambda name: absolute_url(link_of(h, name), base)
 
     def item(r: Column, i: Column) -> Column:
-        target = opened(r)
+        target = opened(r["markup"])
         return F.struct(
             i.cast("long").alias("item_seq"),
             text_cell(r, 0).alias("matter_file"),
@@ -135,7 +138,7 @@ def meeting_pages(pages: DataFrame, base: str, html: str = "html", keep: tuple[s
             text_cell(r, 8).alias("action_result"),
             url_id(target).alias("history_id"),
             absolute_url(target, base).alias("history_url"),
-            F.size(cells(r)).alias("n_cells"),
+            n_cells(r).alias("n_cells"),
         )
 
     items = F.filter(F.transform(rows(grid(h)), item), lambda x: x["n_cells"] >= MIN_CELLS)
@@ -178,7 +181,7 @@ def roll_call(html: Column) -> Column:
 
     def vote(r: Column) -> Column:
         person, value, linked = text_cell(r, 0), text_cell(r, -1), href(cell(r, 0), r"PersonDetail\.aspx")
-        counts = (F.size(cells(r)) >= 2) & value.isNotNull() & (linked.isNotNull() | (person.isNotNull() & value.isin(*VOTE_LITERALS)))
+        counts = (n_cells(r) >= 2) & value.isNotNull() & (linked.isNotNull() | (person.isNotNull() & value.isin(*VOTE_LITERALS)))
         return F.when(counts, F.struct(url_id(linked).alias("person_id"), F.coalesce(person, F.lit("")).alias("person_name"), value.alias("vote_value"), value.isin(*VOTE_LITERALS).alias("known")))
 
     return F.array_compact(F.transform(rows(grid(html)), vote))
@@ -201,11 +204,11 @@ def entity_pages(pages: DataFrame, base: str, html: str = "html", url: str = "ur
     history = grid(h, "gridLegislation")
 
     def action(r: Column) -> Column:
-        target = opened(r)
+        target = opened(r["markup"])
         texts = {"date": 0, "body": 2, "action": 3, "result": 4}
         return F.struct(*(F.coalesce(text_cell(r, i), F.lit("")).alias(k) for k, i in texts.items()), url_id(target).alias("history_id"), absolute_url(target, base).alias("history_url"))
 
-    actions = F.transform(F.filter(rows(history), lambda r: F.size(cells(r)) >= 5), action)
+    actions = F.transform(F.filter(rows(history), lambda r: n_cells(r) >= 5), action)
     return pages.select(
         F.col(url).alias("detail_url"),
         *(labelled(h, name).alias(column) for column, name in label.items()),

@@ -15,8 +15,9 @@ from strata.functions import codes, dates, keys, text
 from strata.operators import flatten, latest, pages, quality, scd, search
 from strata.operators.upsert import merge, upsert
 from strata.plans import serve, staging, star
+from strata.sources.ingest import read_documents, split_broken
 from strata.sources.schemas import table
-from strata.sources.sinks import Snapshots, scratch, stored
+from strata.sources.sinks import Snapshots, entity_files, overwrite, payload, scratch, stored
 from strata.streaming.landing import land, landed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -566,9 +567,8 @@ def _gold(s, d):
     """Bronze and the latest captures are written once: each of them is read by several models."""
     root = scratch(s, "medallion")
     bronze = {"matters": stored(_matters(s, d), f"{root}/matters"), "meetings": stored(_meetings(s, d), f"{root}/meetings")}
-    latest_ones = star.latest_captures({name: build(bronze[source]) for name, (source, build) in staging.SILVER.items()})
-    latest_ones.pop("int_meeting_documents")
-    return star.build_gold({name: stored(df, f"{root}/{name}") for name, df in latest_ones.items()})
+    silver = {name: build(bronze[source]) for name, (source, build) in staging.SILVER.items()}
+    return star.build_gold(star.latest_captures(silver, lambda name, df: stored(df, f"{root}/{name}")))
 
 
 _RECORDS = """
@@ -634,3 +634,137 @@ def upsert_snapshots(s, d):
     for _ in range(2):
         upsert(snapshots, source, ["o_orderkey"])
     return snapshots.read()
+
+
+@query("""
+SELECT event_id, event_type, CASE event_type WHEN 'view' THEN 'READ' WHEN 'click' THEN 'READ' WHEN 'purchase' THEN 'BUY' ELSE 'OTHER' END AS action_code,
+  CASE event_type WHEN 'view' THEN 'visit' WHEN 'click' THEN 'visit' WHEN 'purchase' THEN 'sale' END AS category FROM events""")
+def canonical_actions(s, d):
+    labels = s.createDataFrame([("VIEW", "READ", "visit"), (" click", "READ", "visit"), ("Purchase", "BUY", "sale")], "label string, action_code string, category string")
+    return codes.canonical_action(table(s, d, "events").select("event_id", "event_type"), "event_type", labels)
+
+
+@query("""
+SELECT l_orderkey, CASE l_returnflag WHEN 'N' THEN 'Nay' ELSE l_returnflag END AS vote, CASE WHEN l_linestatus = 'O' THEN 'committee' ELSE 'board' END AS scope, count(*) AS n FROM lineitem GROUP BY 1, 2, 3""")
+def vote_spelling_and_scope(s, d):
+    raw = F.when(F.col("l_returnflag") == "N", F.lit("no")).otherwise(F.col("l_returnflag"))
+    body = F.concat(F.col("l_linestatus"), F.when(F.col("l_linestatus") == "O", F.lit(" Rules COMMITTEE")).otherwise(F.lit(" Board")))
+    rows = table(s, d, "lineitem").select("l_orderkey", codes.canonical_vote(raw).alias("vote"), codes.body_scope(body).alias("scope"))
+    return rows.groupBy("l_orderkey", "vote", "scope").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT e.event_id, m.meeting_sk FROM (SELECT event_id, 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS c, CAST(ts AS DATE) - 9000 AS d FROM events) e
+LEFT JOIN (SELECT c_name AS c, CAST(o_orderdate AS DATE) AS d, min(o_orderkey) AS meeting_sk FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) m ON e.c = m.c AND e.d = m.d""")
+def meeting_by_committee_and_date(s, d):
+    customers = table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("body_name"))
+    meetings = table(s, d, "orders").join(customers, "o_custkey").select("body_name", F.col("o_orderdate").cast("date").alias("meeting_date"), F.col("o_orderkey").alias("meeting_sk"))
+    facts = table(s, d, "events").select("event_id", F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("c"), F.date_sub(F.col("ts").cast("date"), 9000).alias("d"))
+    return star.meeting_resolver(facts, meetings, "c", "d").select("event_id", "meeting_sk")
+
+
+@query("""
+SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS document_url, max(url) AS document_title, CAST(NULL AS VARCHAR) AS document_id FROM pages GROUP BY 1""")
+def document_dim(s, d):
+    files = table(s, d, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("attachment_url"), F.col("url").alias("attachment_name"))
+    return star.dim_document(files.where("attachment_name LIKE 'http:%'"), files.where("attachment_name NOT LIKE 'http:%'").select(F.col("attachment_url").alias("document_url"), F.col("attachment_name").alias("document_title"))).drop("document_sk")
+
+
+@query("SELECT 'pages' AS \"table\", 'no file number' AS error, count(*) AS n_pages FROM pages")
+def page_drift_signal(s, d):
+    return pages.drift_signal(pages.entity_pages(table(s, d, "pages"), "https://records.example"), "pages")
+
+
+def _grid(rows_html) -> Column:
+    return F.concat(F.lit("<html><script>'<table>'</script><table class='a rgMasterTable'><tbody>"), rows_html, F.lit("</tbody></table></html>"))
+
+
+def _cells(*values) -> Column:
+    """A grid row of eleven cells."""
+    texts = [v if isinstance(v, Column) else F.lit(v) for v in values] + [F.lit("")] * (11 - len(values))
+    return F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td> "), t, F.lit("</td>")) for t in texts), F.lit("</tr>"))
+
+
+_LINES = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, l_extendedprice) - 1 AS seq FROM lineitem"
+
+
+@query("""
+SELECT CAST(l_orderkey AS VARCHAR) AS history_id, CAST(l_suppkey AS VARCHAR) AS person_id, CASE l_returnflag WHEN 'N' THEN 'No' WHEN 'A' THEN 'Aye' ELSE 'Recused' END AS vote_value, l_returnflag <> 'R' AS known, count(*) AS n
+FROM lineitem GROUP BY 1, 2, 3, 4""")
+def roll_call_votes(s, d):
+    """Orders as roll-call pages, read back; one row of each page has no link and no known value, so it is no vote."""
+
+    def row(line):
+        value = F.when(line["flag"] == "N", "No").when(line["flag"] == "A", "Aye").otherwise("Recused")
+        return F.concat(F.lit("<tr><td><a href='#' href=\"PersonDetail.aspx?ID="), line["l_suppkey"].cast("string"), F.lit("\">Member</a></td><td></td><td><b>"), value, F.lit("</b></td></tr>"))
+
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", F.col("l_returnflag").alias("flag"))
+    nested = flatten.nest(lines, ["o_orderkey"], ["l_suppkey", "flag"], "lines")
+    html = _grid(F.concat(F.array_join(F.transform("lines", row), ""), F.lit("<tr><td>Total</td><td>9</td></tr>")))
+    calls = pages.roll_call_pages(nested.select(F.concat(F.lit("HistoryDetail.aspx?ID="), F.col("o_orderkey").cast("string")).alias("url"), html.alias("html")))
+    votes = flatten.unnest(calls, "votes", "v").select("history_id", *flatten.fields("v", person_id="person_id", vote_value="vote_value", known="known"))
+    return votes.groupBy("history_id", "person_id", "vote_value", "known").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+SELECT l_orderkey AS page_id, 'Board & ' || l_orderkey AS body_name, seq + 1 AS item_seq, CAST(l_partkey AS VARCHAR) AS matter_file, CAST(l_suppkey AS VARCHAR) AS history_id FROM ({_LINES})""")
+def meeting_page_items(s, d):
+    """Orders as meeting pages, read back; the first row of each grid is too short and only counts for the sequence."""
+    nested = _nested(s, d)
+
+    def row(line):
+        popup = F.concat(F.lit("<a onclick=\"radopen('HistoryDetail.aspx?ID="), line["l_suppkey"].cast("string"), F.lit("&amp;GUID=A-1', 'x')\">d</a>"))
+        return _cells(line["l_partkey"].cast("string"), "", "1", "n", "t", "s", "title", "", popup)
+
+    items = F.concat(F.lit("<tr><td>short</td></tr>"), F.array_join(F.transform("lines", row), ""))
+    label = F.concat(F.lit('<span id="x_hypName">Board &amp; '), F.col("o_orderkey").cast("string"), F.lit("</span>"))
+    got = pages.meeting_pages(nested.select(F.col("o_orderkey").alias("page_id"), F.concat(label, _grid(items)).alias("html")), "https://records.example")
+    return flatten.unnest(got, "agenda_items", "i").select("page_id", "body_name", *flatten.fields("i", item_seq="item_seq", matter_file="matter_file", history_id="history_id"))
+
+
+@query("""
+SELECT CAST(event_id AS VARCHAR) AS meeting_id, 'AB-' || event_id AS event_guid, event_type AS body_name, 'Room ' || user_id AS location, 'Special' AS meeting_subtype, event_type = 'view' AS has_minutes
+FROM events WHERE event_type <> 'error'""")
+def calendar_page_rows(s, d):
+    """Days as calendar pages, read back; error events have no detail link, so they are no meetings."""
+    link = F.when(F.col("event_type") != "error", F.concat(F.lit('<a href="MeetingDetail.aspx?ID='), F.col("event_id").cast("string"), F.lit("&amp;GUID=ab-"), F.col("event_id").cast("string"), F.lit('">d</a>'))).otherwise(F.lit("none"))
+    minutes = F.when(F.col("event_type") == "view", F.lit('<a href="View.ashx?M=M">Minutes</a>')).otherwise(F.lit("Not&nbsp;available"))
+    rows = table(s, d, "events").select(F.col("ts").cast("date").alias("day"), _cells(F.col("event_type"), "1/1/2024", "", "", F.concat(F.lit("Room "), F.col("user_id").cast("string"), F.lit(" special  Meeting")), link, "", minutes).alias("r"))
+    sheets = rows.groupBy(F.col("day").alias("page_id")).agg(_grid(F.array_join(F.collect_list("r"), "")).alias("html"))
+    return pages.calendar_rows(sheets, "https://records.example").select("meeting_id", "event_guid", "body_name", "location", "meeting_subtype", "has_minutes")
+
+
+@query("SELECT o.o_orderkey, coalesce(n, 0) AS total, coalesce(n, 0) AS n_found FROM orders o LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) l ON o.o_orderkey = l.l_orderkey")
+def completeness(s, d):
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    reported = table(s, d, "orders").select("o_orderkey").join(lines.groupBy("o_orderkey").agg(F.countDistinct("l_partkey").alias("total")), "o_orderkey", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    return pages.assert_complete(lines, reported, ["o_orderkey"], "l_partkey", "total")
+
+
+@query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS ingest_date, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
+def entity_file_roundtrip(s, d):
+    """Orders as entity files, those without key left out, read back with lineage from their paths."""
+    root = scratch(s, "entities")
+    orders = table(s, d, "orders").select(F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey")).alias("k"), "o_totalprice", F.trunc("o_orderdate", "month").alias("ingest_date"))
+    entity_files(orders.repartition("ingest_date"), root, "k")
+    back = read_documents(s, root, "k long, o_totalprice double", multi_line=False)
+    return split_broken(back, "k")[0].groupBy("ingest_date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT o_orderpriority, count(*) AS n, CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS BIGINT) AS replaced FROM orders GROUP BY 1")
+def partition_overwrite(s, d):
+    """One partition is replaced, the others stay."""
+    root = scratch(s, "partitions")
+    orders = table(s, d, "orders").select("o_orderkey", "o_orderpriority", F.lit(0).cast("long").alias("version"))
+    overwrite(orders, root, ("o_orderpriority",))
+    overwrite(orders.where("o_orderpriority = '1-URGENT'").withColumn("version", F.lit(1).cast("long")), root, ("o_orderpriority",))
+    return s.read.parquet(root).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("version").alias("replaced"))
+
+
+@query("SELECT r_name, string_agg(n_name, ',' ORDER BY n_name) AS nations, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def payload_roundtrip(s, d):
+    """Nations as one JSON document, read back."""
+    named = table(s, d, "nation").join(table(s, d, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey").select("n_name", "r_name")
+    document = payload(named, "items", generated=F.lit("now"))
+    items = document.select(F.explode(F.from_json("payload", "items array<struct<n_name:string,r_name:string>>")["items"]).alias("i")).select("i.*")
+    return items.groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("nations"), F.count(F.lit(1)).alias("n"))

@@ -40,7 +40,7 @@ class Run:
         layers = Layers(self.spark, self.prefix)
         bronze = {n: landed(self.spark, f"{self.work}/bronze/{n}", d) for n, d in (("matters", MATTER), ("meetings", MEETING))}
         silver = {name: layers.materialise(build(bronze[source]), "silver", name, ("ingest_date",)) for name, (source, build) in SILVER.items()}
-        latest = {name: layers.materialise(df, "silver", name) for name, df in latest_captures(silver).items()}
+        latest = latest_captures(silver, lambda name, df: layers.materialise(df, "silver", name))
         gold = {name: layers.materialise(df, "gold", name) for name, df in build_gold(latest, self.compat).items()}
         gold["member_vote_record"] = as_view(member_vote_record(gold), "member_vote_record")
         return {**silver, **latest, **gold}

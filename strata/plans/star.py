@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,15 +14,19 @@ from strata.operators.latest import conform, dedup_by_key, keep_latest_children,
 
 Tables = dict[str, DataFrame]
 _MATTER_CHILDREN = ("actions", "votes", "sponsors", "attachments")
+_MEETING_CHILDREN = ("agenda_items", "meeting_documents")
 
 
-def latest_captures(silver: Tables) -> Tables:
-    """int_*: the latest capture of each matter and meeting, and the child rows of exactly those captures."""
-    out = {"int_matters": latest_wins(silver["stg_matters"], ["matter_file"]), "int_meetings": latest_wins(silver["stg_meetings"], ["meeting_id"])}
-    for child in _MATTER_CHILDREN:
-        out[f"int_{child}"] = keep_latest_children(silver[f"stg_{child}"], out["int_matters"], ["matter_file"])
-    for child in ("agenda_items", "meeting_documents"):
-        out[f"int_{child}"] = keep_latest_children(silver[f"stg_{child}"], out["int_meetings"], ["meeting_id"])
+def latest_captures(silver: Tables, store: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Tables:
+    """int_*: the latest capture of each matter and meeting, and the child rows of exactly those captures.
+
+    ``store(name, df)`` may write a table and return it as read back; the entities are stored before their children join them.
+    """
+    out: Tables = {}
+    for entity, key, children in (("matters", "matter_file", _MATTER_CHILDREN), ("meetings", "meeting_id", _MEETING_CHILDREN)):
+        entities = out[f"int_{entity}"] = store(f"int_{entity}", latest_wins(silver[f"stg_{entity}"], [key]))
+        for child in children:
+            out[f"int_{child}"] = store(f"int_{child}", keep_latest_children(silver[f"stg_{child}"], entities, [key]))
     return out
 
 

@@ -18,11 +18,11 @@ def lineage(df: DataFrame) -> DataFrame:
     return df.select("*", path.alias("source_file"), F.try_to_timestamp(date, F.lit("yyyy-MM-dd")).cast("date").alias("ingest_date"), F.current_timestamp().alias("loaded_at"))
 
 
-def read_documents(spark: SparkSession, path: str, ddl: str, pattern: str = "*.json") -> DataFrame:
-    """One row per file below ``path`` (partition folders included). Files whose name starts with '_' aren't records; a
+def read_documents(spark: SparkSession, path: str, ddl: str, pattern: str = "*.json", multi_line: bool = True) -> DataFrame:
+    """One row per file (with ``multi_line`` off, per line) below ``path`` (partition folders included). Files whose name starts with '_' aren't records; a
     file that doesn't parse is a row with its text in ``_corrupt_record``.
     """
-    reader = spark.read.schema(_without_partition(schema(ddl, corrupt=True))).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT)
+    reader = spark.read.schema(_without_partition(schema(ddl, corrupt=True))).option("multiLine", multi_line).option("columnNameOfCorruptRecord", CORRUPT)
     return lineage(reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).json(path))
 
 
