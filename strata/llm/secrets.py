@@ -2,8 +2,8 @@
 
 The whole text is the first layer. A layer is scanned for secrets; then every part of it that looks percent-encoded,
 backslash-u-encoded or base64 (of text, or of zlib or gzip data, which is inflated) is decoded and becomes a layer
-itself. A layer whose text was seen before isn't taken up again, so cycles end. A finding in a decoded layer is
-mapped to the part of the original text that the layer came from.
+itself. A layer is taken up once, however often it occurs, so cycles end; the kinds found in it are passed on to all layers
+that it was decoded from, so every part of the original text that leads to a finding is reported with its kind.
 
 Base kinds are looked for in the original text: assign, access, hex. Findings in decoded layers have the kinds
 decoded_assign, decoded_access and decoded_hex. Spans are counted in code points, ends exclusive.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import re
 import zlib
 from urllib.parse import unquote_to_bytes
@@ -106,17 +107,31 @@ def encoded_parts(text: str):
 def find_secrets(text: str) -> list[tuple[int, int, str]]:
     """start, end, kind of all findings, by start, then kind as in KINDS."""
     found = set(scan(text))
-    seen, work = {text}, [(text, None)]
+    kinds: dict[bytes, set[str]] = {}  # of each layer, by digest
+    around: dict[bytes, set[bytes]] = {}  # the layers that a layer was decoded from
+    spans, stack = [], [(None, encoded_parts(text))]
+    while stack:
+        outer, parts = stack[-1]
+        for a, b, plain in parts:
+            layer = hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            if outer is None:
+                spans.append((a, b, layer))
+            else:
+                around.setdefault(layer, set()).add(outer)
+            if layer not in kinds:
+                kinds[layer] = {kind for _, _, kind in scan(plain)}
+                stack.append((layer, encoded_parts(plain)))
+                break
+        else:
+            stack.pop()
+    work = [layer for layer, own in kinds.items() if own]
     while work:
-        layer, origin = work.pop()
-        if origin is not None:
-            found.update((*origin, f"decoded_{kind}") for _, _, kind in scan(layer))
-        for a, b, plain in encoded_parts(layer):
-            if plain not in seen:
-                seen.add(plain)
-                work.append((plain, origin or (a, b)))
-            elif origin is None and scan(plain):
-                work.append((plain, (a, b)))  # the same content elsewhere in the text is reported there too
+        layer = work.pop()
+        for outer in around.get(layer, ()):
+            if not kinds[layer] <= kinds[outer]:
+                kinds[outer] |= kinds[layer]
+                work.append(outer)
+    found.update((a, b, f"decoded_{kind}") for a, b, layer in spans for kind in kinds[layer])
     return sorted(found, key=lambda f: (f[0], KINDS.index(f[2]), f[1]))
 
 

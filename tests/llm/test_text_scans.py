@@ -75,6 +75,15 @@ def test_wrapped_secrets_are_mapped_to_their_part(wrap):
     assert secrets.redact(x) == "é before [SECRET] after"
 
 
+def test_secrets_in_layers_that_occur_twice():
+    b64 = lambda x: base64.b64encode(x.encode()).decode()
+    secret = b64("password=hunter2hunter2")
+    for first, second in [(b64(secret),) * 2, (b64("id=1 " + secret), b64("id=2 " + secret)), (b64(b64(secret)), secret)]:
+        x = f"{first} or {second}"
+        assert secrets.find_secrets(x) == [(0, len(first), "decoded_assign"), (len(x) - len(second), len(x), "decoded_assign")]
+        assert secrets.redact(x) == "[SECRET] or [SECRET]"
+
+
 def test_cycles_and_bombs_end():
     part = base64.b64encode(zlib.compress(b"zy " * 2_000_000)).decode()
     assert secrets.find_secrets(part) == []
