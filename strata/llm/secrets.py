@@ -8,17 +8,21 @@ that it was decoded from, so every part of the original text that leads to a fin
 Base kinds are looked for in the original text: assign, access, hex. Findings in decoded layers have the kinds
 decoded_assign, decoded_access and decoded_hex. Spans are counted in code points, ends exclusive.
 
-Inflated data is read up to ``MOST_INFLATED`` bytes a part, which bounds the memory of a task against bombs.
+Base64 is tried at all four alignments, so it may follow on other characters of its alphabet; runs of it that go on from line to
+line are also read joined. Packed data is found wherever it starts in decoded bytes, and inflated to its end, all gzip members
+after each other, in windows of about ``WINDOW`` bytes that are scanned as they come, which bounds the memory of a task against
+bombs. ``OVERLAP`` bytes stand in both of two windows: only a finding or an encoded part longer than that can be cut.
+Bytes that aren't UTF-8 are replaced.
 
 Defined cases: a null text is empty and has no spans; an empty table gives no rows; repeated rows give equal rows; parts
-that don't decode to text are left alone.
+without readable characters are left alone.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
+import itertools
 import re
 import zlib
 from urllib.parse import unquote_to_bytes
@@ -30,7 +34,9 @@ from .common import count_kind, documents, map_texts
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, *(f"decoded_{k}" for k in BASE))
-MOST_INFLATED = 64_000_000
+WINDOW = 1 << 24
+OVERLAP = 1 << 20
+FED = 1 << 14
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -40,7 +46,10 @@ _PERCENT = re.compile(r"(?<![A-Za-z0-9._~+/=:&?-])[A-Za-z0-9._~+/=:&?-]*(?:%[0-9
 _ESCAPED = re.compile(r"(?<![!-\[\]-~])[!-\[\]-~]*(?:\\u[0-9A-Fa-f]{4}[!-\[\]-~]*)+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_CONTROL = re.compile(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F�]")
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}+(?:[\x20\t]*\r?\n[\x20\t>]*[A-Za-z0-9+/_-]{16,}+)*+(?:[\x20\t]*\r?\n[\x20\t>]*[A-Za-z0-9+/_-]++)?={0,2}")
+_BREAK = re.compile(r"[\x20\t\r\n>]+")
+_READABLE = re.compile(rb"[\t\n\r\x20-\x7E]{12}")  # the shortest finding is token=abcdef, and whatever encodes one is longer
+_PACKED = re.compile(rb"\x1F\x8B\x08|\x78[\x01\x5E\x9C\xDA]")
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -56,51 +65,77 @@ def scan(text: str) -> list[tuple[int, int, str]]:
 
 
 def _as_text(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and not _CONTROL.search(text) else None
-
-
-def _inflated(data: bytes) -> bytes | None:
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 1 and int.from_bytes(data[:2], "big") % 31 == 0:
-        try:
-            return zlib.decompressobj(47).decompress(data, MOST_INFLATED)
-        except zlib.error:
-            return None
-    return None
-
-
-def _base64_text(part: str) -> str | None:
-    body = part.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
-    inflated = _inflated(data)
-    return _as_text(data if inflated is None else inflated)
-
-
-def _unescaped(part: str) -> str | None:
+    """The text of decoded bytes, what isn't UTF-8 replaced; None if nowhere enough readable characters for a secret follow each other."""
+    return data.decode(errors="replace") if _READABLE.search(data) else None
+
+
+def _members(data: bytes, at: int):
+    """(next place, inflated bytes) piece by piece of the zlib stream or the gzip members that start at a place."""
+    while _PACKED.match(data, at):
+        z = zlib.decompressobj(47)
+        while not z.eof:
+            fed = data[at : at + FED]
+            try:
+                out = z.decompress(fed, WINDOW)
+            except zlib.error:
+                return
+            if not fed and not out and not z.eof:
+                return  # cut short
+            at += len(fed) - len(z.unconsumed_tail) - len(z.unused_data)
+            yield at, out
+        while data[at : at + 1] == b"\0":
+            at += 1
+
+
+def _inflated(data: bytes):
+    """Windows, OVERLAP bytes of which stand in the next one too, of what the packed streams in some bytes inflate to."""
+    at = 0
+    while m := _PACKED.search(data, at):
+        at, window = m.start() + 1, b""
+        for at, out in _members(data, m.start()):
+            window += out
+            if len(window) >= WINDOW:
+                yield window
+                window = window[-OVERLAP:]
+        at = max(at, m.start() + 1)
+        if window:
+            yield window
+
+
+def _texts(data: bytes):
+    for layer in itertools.chain((data,), _inflated(data)):
+        if (plain := _as_text(layer)) is not None:
+            yield plain
+
+
+def _base64_texts(run: str):
+    """The texts of a run at each of the four places where its groups of four may start."""
+    body = run.replace("-", "+").replace("_", "/")
+    for shift in range(4):
+        part = body[shift:]
+        part = part[:-1] if len(part) % 4 == 1 else part
+        yield from _texts(base64.b64decode(part + "=" * (-len(part) % 4)))
+
+
+def _unescaped(part: str) -> str:
     units = _ESCAPE.sub(lambda m: chr(int(m[1], 16)), part)
-    return _as_text(units.encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode())
+    return units.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def encoded_parts(text: str):
-    """start, end, decoded text of the parts of a layer."""
+    """start, end, decoded text of the parts of a layer; a part may have several texts."""
     if "%" in text:
         for m in _PERCENT.finditer(text):
-            if (plain := _as_text(unquote_to_bytes(m[0]))) is not None:
+            for plain in _texts(unquote_to_bytes(m[0])):
                 yield m.start(), m.end(), plain
     if "\\u" in text:
         for m in _ESCAPED.finditer(text):
-            if (plain := _unescaped(m[0])) is not None:
-                yield m.start(), m.end(), plain
+            yield m.start(), m.end(), _unescaped(m[0])
     for m in _BASE64.finditer(text):
-        if (plain := _base64_text(m[0])) is not None:
+        for plain in _base64_texts(m[0].rstrip("=")):
+            yield m.start(), m.end(), plain
+    for m in _WRAPPED.finditer(text) if "\n" in text else ():
+        for plain in _base64_texts(_BREAK.sub("", m[0]).rstrip("=")) if "\n" in m[0] else ():
             yield m.start(), m.end(), plain
 
 

@@ -84,6 +84,37 @@ def test_secrets_in_layers_that_occur_twice():
         assert secrets.redact(x) == "[SECRET] or [SECRET]"
 
 
+NOISE = bytes(random.Random(5).choices(b"ghijklmnopqrstuvwxyz ", k=3000))
+SECRET = b"password=hunter2hunter2"
+
+
+def wrapped(data, width=76):
+    x = base64.b64encode(data).decode()
+    return "\n".join(x[i : i + width] for i in range(0, len(x), width))
+
+
+@pytest.mark.parametrize("part", [
+    wrapped(b"x" * 45 + SECRET),
+    wrapped(gzip.compress(NOISE + SECRET)).replace("\n", "\r\n  "),
+    base64.b64encode(gzip.compress(b"first member") + gzip.compress(b"second " + SECRET)).decode(),
+    base64.b64encode(gzip.compress(b"split pass") + gzip.compress(SECRET[4:])).decode(),
+    base64.b64encode(gzip.compress(b"zy " * 22_000_000 + SECRET)).decode(),
+    *(f"/{'v' * n}/" + base64.b64encode(data).decode() for n in range(1, 5) for data in (SECRET, gzip.compress(SECRET))),
+    "a-b_c+" + base64.b64encode(SECRET).decode(),
+    "%E9t%E9%20" + "".join(f"%{c:02x}" for c in SECRET),
+    base64.b64encode(b"\xe9t\xe9 \x00\x01" + SECRET + b"\xff").decode(),
+])
+def test_whole_parts_are_decoded(part):
+    x = f"before: {part} after"
+    assert (8, 8 + len(part), "decoded_assign") in secrets.find_secrets(x)
+    assert secrets.redact(x) == "before: [SECRET] after"
+
+
+def test_clean_encoded_data_has_no_findings():
+    r = random.Random(6)
+    assert secrets.find_secrets(" ".join([base64.b64encode(r.randbytes(20_000)).decode(), wrapped(gzip.compress(NOISE)), "/usr/share/implementations\nof"])) == []
+
+
 def test_cycles_and_bombs_end():
     part = base64.b64encode(zlib.compress(b"zy " * 2_000_000)).decode()
     assert secrets.find_secrets(part) == []
