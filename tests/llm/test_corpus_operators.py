@@ -337,6 +337,19 @@ def test_classes_against_all_pairs(spark):
     assert collections.Counter(x.class_id for x in got if x.keeper) == collections.Counter(set(plain_classes(rows).values()))
 
 
+def test_texts_alike_to_no_centre_of_their_group(spark, monkeypatch):
+    """Every text has the same one sketch, so pairs of alike texts meet in no smaller group."""
+    signatures = near_dedup.signatures
+    monkeypatch.setattr(near_dedup, "signatures", lambda docs: signatures(docs).withColumn("sketches", F.when(F.col("key").isNotNull(), F.array(F.lit(1).cast("long")))))
+    r = random.Random(9)
+    rows = []
+    for _ in range(8):
+        base = [f"w{r.randrange(10**6)}" for _ in range(40)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[:35] + ["x"] * 5))]
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.class_id for x in got} == plain_classes(rows) == {i: i // 2 * 2 for i in range(16)}
+
+
 def test_whole_table_classes(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert {r.doc_id: r.class_id for r in near_dedup.op1_near_dedup_omh(spark, sf_dir).collect()} == plain_classes(rows)
