@@ -337,6 +337,19 @@ def test_classes_against_all_pairs(spark):
     assert collections.Counter(x.class_id for x in got if x.keeper) == collections.Counter(set(plain_classes(rows).values()))
 
 
+def test_isolated_pairs_with_many_edits(spark):
+    r = random.Random(12)
+    rows = []
+    for k in range(160):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(150, 300))]
+        w = base[:]
+        for i in r.sample(range(len(w)), int(len(w) * (0.05, 0.1, 0.15, 0.2)[k % 4])):
+            w[i] = f"x{r.randrange(10**6)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(w))]
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.class_id for x in got} == {i: i // 2 * 2 for i, _ in rows}
+
+
 def test_texts_alike_to_no_centre_of_their_group(spark, monkeypatch):
     """Every text has the same one sketch, so pairs of alike texts meet in no smaller group."""
     signatures = near_dedup.signatures
