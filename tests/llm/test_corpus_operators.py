@@ -350,7 +350,7 @@ def test_isolated_pairs_with_many_edits(spark):
     assert {x.doc_id: x.class_id for x in got} == {i: i // 2 * 2 for i, _ in rows}
 
 
-def test_texts_alike_to_no_centre_of_their_group(spark, monkeypatch):
+def test_texts_far_apart_in_a_large_group(spark, monkeypatch):
     """Every text has the same one sketch, so pairs of alike texts meet in no smaller group."""
     signatures = near_dedup.signatures
     monkeypatch.setattr(near_dedup, "signatures", lambda docs: signatures(docs).withColumn("sketches", F.when(F.col("key").isNotNull(), F.array(F.lit(1).cast("long")))))
@@ -359,8 +359,31 @@ def test_texts_alike_to_no_centre_of_their_group(spark, monkeypatch):
     for _ in range(8):
         base = [f"w{r.randrange(10**6)}" for _ in range(40)]
         rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[:35] + ["x"] * 5))]
+    for i in range(150):
+        rows.append((len(rows), " ".join(f"y{r.randrange(10**6)}" for _ in range(40))))
     got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {x.doc_id: x.class_id for x in got} == plain_classes(rows) == {i: i // 2 * 2 for i in range(16)}
+    assert {x.doc_id: x.class_id for x in got} == plain_classes(rows) == {i: i // 2 * 2 if i < 16 else i for i in range(len(rows))}
+    assert {x.links for x in got if x.doc_id < 16} == {1} and {x.links for x in got if x.doc_id >= 16} == {0}
+
+
+def test_repeated_rows_leave_one(spark):
+    rows = [(1, "t u v"), (1, "t u v"), (None, "x"), (None, "x"), (2, None), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_classes(docs).collect()
+    assert collections.Counter((x.doc_id, x.class_id, x.keeper) for x in got) == {(1, 1, True): 1, (1, 1, False): 1, (None, None, True): 1, (None, None, False): 1, (2, 2, True): 2}
+    assert sorted(near_dedup.deduplicated(docs).collect(), key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
+
+
+def test_many_distinct_words_need_little_memory():
+    import tracemalloc
+
+    x = [f"w{i}" for i in range(20_000)]
+    y = [w if i % 9 else f"z{i}" for i, w in enumerate(x)]
+    tracemalloc.start()
+    assert near_dedup.banded_distance(x, y, 4000) == len(range(0, 20_000, 9))
+    assert tracemalloc.get_traced_memory()[1] < 8e6
+    tracemalloc.stop()
+    assert near_dedup.banded_distance(["a"] * 3000, ["a"] * 2000 + ["b"] * 900, 1000) == 1000
 
 
 def test_whole_table_classes(spark, sf_dir):
