@@ -7,7 +7,8 @@ every document has the same expected number of copies, target / source size. Doc
 is taken once per integer crossed. Ordering by size makes the words taken follow the target closely.
 
 The running sum never needs a source in one task: rows are ranked inside small cells (source, size class, hash bin) and
-the cells' counts, at most ``bins`` times the number of size classes per source, are summed on the side.
+the cells' counts, at most ``bins`` times the number of size classes per source, are summed on the side. The number of bins
+follows the number of rows, so a cell doesn't grow even where a whole table is of one source and size.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; an empty table gives no rows;
 a repeated row is another document; a source without words has target 0; ties of the order are between equal ids.
@@ -23,6 +24,8 @@ from .common import cut
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BINS = 64
+#: One bin for so many rows of the table, so a cell (source, size class, bin) has at most about this number.
+BIN_ROWS = 1_000_000
 SEED = "strata-mix-1"
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -65,8 +68,11 @@ def source_targets(cells: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     return per.select("_key", "source_size", F.least(F.col("_most").cast("double"), F.col("_level") * F.col("_w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, bins: int = BINS) -> DataFrame:
-    """All columns of ``docs`` with _size, _source_size, _target and _copies (0 to ``cap``)."""
+def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, bins: int | None = None) -> DataFrame:
+    """All columns of ``docs`` with _size, _source_size, _target and _copies (0 to ``cap``). Without ``bins`` there are one for each
+    BIN_ROWS rows of the table, but at least BINS.
+    """
+    bins = bins or max(BINS, -(-docs.count() // BIN_ROWS))
     rows = _cells(docs.withColumn("_size", word_count(F.col("text"))), bins)
     cells = cut(rows.groupBy("_key", "_class", "_bin").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_words"), F.min("source").alias("source")))
     targets = source_targets(cells, weights, cap)
@@ -104,7 +110,7 @@ targets AS (SELECT k, source_size, least(CAST(3 * source_size AS DOUBLE), (SELEC
 ranked AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, t.k,
          row_number() OVER (PARTITION BY s.k ORDER BY CAST(floor(log2(s.size + 1) * 32) AS BIGINT),
-                            CAST('0x' || substr(s.h, 1, 8) AS BIGINT) % 64, s.h, s.doc_id) AS r
+                            CAST('0x' || substr(s.h, 1, 8) AS BIGINT) % (SELECT greatest(64, (count(*) + 999999) // 1000000) FROM documents), s.h, s.doc_id) AS r
   FROM sized s JOIN targets t ON s.k = t.k),
 placed AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS c,
