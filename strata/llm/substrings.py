@@ -112,11 +112,12 @@ class Chunk:
         return starts[seen[starts + PERIOD] > seen[starts]]
 
 
-def _dealt(hashes: np.ndarray, buckets: int) -> list[np.ndarray]:
-    """Item numbers by bucket, in order."""
+def _dealt(hashes: np.ndarray, buckets: int) -> dict[int, np.ndarray]:
+    """Item numbers by bucket, in order, of the buckets that have any: the work depends on the hashes, not on the buckets."""
     b = (hashes >> np.uint64(20)) % np.uint64(buckets)
     order = np.argsort(b, kind="stable")
-    return np.split(order, np.searchsorted(b[order], np.arange(1, buckets)))
+    own, first = np.unique(b[order], return_index=True)
+    return dict(zip(own.tolist(), np.split(order, first[1:])))
 
 
 def _ask_anchors(chunks: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -129,7 +130,7 @@ def _ask_anchors(chunks: DataFrame, window: int, buckets: int) -> DataFrame:
             for chunk, blob in zip(b.column(0).to_pylist(), b.column(2)):
                 c = Chunk(blob.as_py())
                 h = np.unique(c.hash64(c.anchors(window), window - PERIOD + 1))
-                rows = [(chunk, k, h[at].tobytes()) for k, at in enumerate(_dealt(h, buckets)) if len(at)]
+                rows = [(chunk, k, h[at].tobytes()) for k, at in _dealt(h, buckets).items()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -171,10 +172,9 @@ def _ask_windows(chunks: pd.DataFrame, masks: pd.DataFrame, window: int, buckets
         later = _later(h, doc_id, start, at)
         rows.append((chunk, -1 - int(chunk) % buckets, b"", at[later].astype("<i8").tobytes()))
         h, place = h[~later], np.stack([doc_id, start, at])[:, ~later]
-        for k, own in enumerate(_dealt(h[:, 0], buckets)):
-            if len(own):
-                delta = np.diff(place[:, own], axis=1, prepend=0).astype("<i8").tobytes()
-                rows.append((chunk, k, h[own].tobytes(), zstandard.ZstdCompressor(level=1).compress(delta)))
+        for k, own in _dealt(h[:, 0], buckets).items():
+            delta = np.diff(place[:, own], axis=1, prepend=0).astype("<i8").tobytes()
+            rows.append((chunk, k, h[own].tobytes(), zstandard.ZstdCompressor(level=1).compress(delta)))
     return pd.DataFrame(rows, columns=["chunk", "bucket", "hashes", "places"])
 
 
