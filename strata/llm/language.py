@@ -8,10 +8,12 @@ is its prediction, the share its score. In code-switched text the words keep lab
 
 A chain is at most ``CHAIN`` consecutive words; longer texts are several chains, all of which count.
 
-Training: documents with a language, from a bounded sample: the ``SAMPLE_ROWS`` with the smallest hash of their id. They
-fit on the driver (a few MB), every word of theirs labelled with its document's language. Weights start at the log-odds
-of features and are then trained by gradient steps on the chains' likelihood. The weights are broadcast: their size is fixed
-by ``BUCKETS``, whatever the corpus.
+Training: a bounded sample of the documents with a language. The languages come from all of them, the ``MOST_LANGUAGES`` most
+frequent ones; each gives an equal part of ``SAMPLE_ROWS`` different documents (``LEAST_ROWS`` at least, if it has them), those
+with the smallest hash of id and text, and of each its first ``SAMPLE_CHARS`` characters. They fit on the driver (a few MB),
+every word of theirs labelled with its document's language. Further chains are spliced from documents of two languages, so
+that transitions between languages are learned too. Weights start at the log-odds of features and are then trained by gradient
+steps on the chains' likelihood. The weights are broadcast: their size is fixed by ``BUCKETS``, whatever the corpus.
 
 Defined cases: a text that is null or has no letter is 'und' with score 0; languages are those of the sample; a sample
 without any language predicts 'und' everywhere; an empty table gives no rows; repeated rows give equal rows.
@@ -30,6 +32,9 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, documents, id_and_text, ship, slices
 
 SAMPLE_ROWS = 600
+LEAST_ROWS = 40
+SAMPLE_CHARS = 8192
+MOST_LANGUAGES = 100
 BUCKETS = 1 << 16
 LEXICON = 2000
 CHAIN = 64
@@ -43,7 +48,11 @@ _ORDERS = (2, 3, 4)
 
 
 def split_words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters. The pattern also takes numbers such as ½, ² and Ⅷ, which aren't letters."""
+    words = _WORD.findall(text.lower())
+    if "".join(words).isalpha():
+        return words
+    return [part for w in words for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -124,12 +133,32 @@ def chains(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(starts, np.int64), np.array(sizes, np.int64)
 
 
+def spliced(docs: list[tuple[list[str], list[int]]], many: int) -> list[tuple[list[str], list[int]]]:
+    """``many`` chains of runs of 3 to 20 words, in turn from two documents of different languages."""
+    rng, out = np.random.default_rng(11), []
+    by: dict[int, list] = {}
+    for words, labels in docs:
+        by.setdefault(labels[0], []).append(words)
+    while len(by) > 1 and len(out) < many:
+        pair = rng.choice(sorted(by), 2, replace=False).tolist()
+        texts = [by[y][rng.integers(len(by[y]))] for y in pair]
+        words, labels, turn = [], [], 0
+        while len(words) < CHAIN:
+            n, own = int(rng.integers(3, 21)), texts[turn % 2]
+            at = int(rng.integers(max(1, len(own) - n + 1)))
+            words += own[at : at + n]
+            labels += [pair[turn % 2]] * len(own[at : at + n])
+            turn += 1
+        out.append((words[:CHAIN], labels[:CHAIN]))
+    return out
+
+
 def fit(rows: list[tuple[str, str]], epochs: int = EPOCHS) -> Model:
     """rows: (text, language). Deterministic."""
     model = Model(sorted({lang for _, lang in rows}))
     k = len(model.languages)
-    docs = [(split_words(text), model.languages.index(lang)) for text, lang in rows]
-    docs = [d for d in docs if d[0]]
+    docs = [(words, [model.languages.index(lang)] * len(words)) for text, lang in rows if (words := split_words(text))]
+    docs += spliced(docs, len(docs))
     if not docs or k < 1:
         return model
     stream = [w for words, _ in docs for w in words]
@@ -139,7 +168,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = EPOCHS) -> Model:
     order = np.argsort(owners, kind="stable")
     numbers, first = numbers[order], np.searchsorted(owners[order], np.arange(len(vocabulary) + 1))
     ids = np.array([unique[w] for w in stream])
-    labels = np.repeat([y for _, y in docs], [len(w) for w, _ in docs])
+    labels = np.array([y for _, own in docs for y in own])
     # Log-odds of each feature as the start; then the chains' own gradient.
     seen = np.zeros((BUCKETS, k))
     for y in range(k):
@@ -224,24 +253,38 @@ class Labeller:
             found.append((UNKNOWN, 0.0) if share is None else (self.model.languages[int(share.argmax())], min(1.0, float(share.max()))))
         return found
 
+    def certainty(self, texts: list[str]) -> list[float]:
+        """The mean probability of the words' best labels, in one language or several; 0 for a text without words."""
+        if not self.model.languages:
+            return [0.0] * len(texts)
+        return [float(post.max(1).mean()) if len(post) else 0.0 for post in self.marginals(texts)]
+
     def word_labels(self, text: str) -> list[tuple[str, str]]:
         post = self.marginals([text])[0]
         return [(w, self.model.languages[int(y)]) for w, y in zip(split_words(text), post.argmax(1))] if len(post) else []
 
 
 def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """The bounded sample: at most ``rows`` labelled documents, those with the smallest hash of their id.
+    """The bounded sample: (text, language) of different documents of each language, those with the smallest hash of id and text.
 
-    The count of labelled rows gives the share of the hash range where about a third more than ``rows`` lie; only those
-    leave their tasks, so what reaches the driver doesn't grow with the number of tasks.
+    The number of different hashes of a language gives the share of the hash range where about a third more than its part
+    lie; only those leave their tasks, and copies of one document are one, so what reaches the driver is bounded.
     """
-    known = docs.where(F.col("lang").isNotNull())
-    n = known.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 40))
-    near = known.where(place <= int(min(1.0, (rows * 4 / 3 + 20) / max(1, n)) * (1 << 40))).where(F.col("text").isNotNull())
-    picked = near.select("text", "lang", place.alias("_place"), "doc_id").collect()
-    picked.sort(key=lambda r: (r["_place"], r["doc_id"] is None, r["doc_id"], r["text"]))
-    return [(r["text"], r["lang"]) for r in picked[:rows]]
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(11)), F.lit(1 << 40))
+    known = known.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), place.alias("place"))
+    found = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("place").alias("different"))
+    languages = found.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    if not languages:
+        return []
+    each = max(LEAST_ROWS, rows // len(languages))
+    most = {r["lang"]: int(min(1.0, (each * 4 / 3 + 20) / max(1, r["different"])) * (1 << 40)) for r in languages}
+    limit = F.create_map(*(F.lit(x) for pair in most.items() for x in pair))[F.col("lang")]
+    near = known.where(F.col("place") <= limit).groupBy("lang", "place").agg(F.min("text").alias("text"))
+    by: dict[str, list] = {}
+    for r in near.collect():
+        by.setdefault(r["lang"], []).append((r["place"], r["text"]))
+    return [(text, lang) for lang in sorted(by) for _, text in sorted(by[lang])[:each]]
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
