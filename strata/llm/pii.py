@@ -24,14 +24,37 @@ from .common import count_kind, documents, map_texts
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login", "ssn", "iban", "account")
-#: Words that announce an identifier.
-CUES = {"ssn": ("ssn", "SSN", "social security", "Social Security"), "iban": ("iban", "IBAN", "Iban"), "account": ("account", "Account", "ACCOUNT", "acct", "Acct")}
+#: Words that announce an identifier; they count in lower, upper and title case.
+CUES = {"ssn": ("ssn", "social security"), "iban": ("iban",), "account": ("account", "acct")}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _PHONE_TAIL = re.compile(r"[ ().0-9-]*[0-9]")
 _LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+")
 _SSN = re.compile(r"[\s:#=]{0,3}(?:no|number)?[\s.:#=]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
-_IBAN = re.compile(r"[\s:#=]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+_IBAN = re.compile(r"[\s:#=]{0,3}([A-Z]{2}[0-9]{2})")
+_IBAN_TAIL = re.compile(r"(?: ?[A-Z0-9])*")
+#: Number of characters of an account number in the format of the IBAN registry, by country.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ DZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+_IBAN_LENGTH = {country: n for n, countries in IBAN_LENGTHS.items() for country in countries.split()}
 _ACCOUNT = re.compile(r"\s?(?:no|nr|number)?[\s.:#=]{0,3}([0-9]{8,17})(?![0-9])")
 _automaton = None
 
@@ -43,7 +66,7 @@ def automaton():
         for c in "0123456789":
             a.add_word(c, "digit")
         for kind, words in {"email": "@", "phone": "+", "login": ("://",), **CUES}.items():
-            for w in words:
+            for w in {cased for w in words for cased in (w, w.upper(), w.title(), w.capitalize())}:
                 a.add_word(w, kind)
         a.make_automaton()
         _automaton = a
@@ -120,6 +143,20 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def iban_end(text: str, start: int) -> int | None:
+    """Where the account number ends that starts there: its country says how long it is, no letter or digit may follow directly,
+    and its check digits must be right.
+    """
+    left, at = _IBAN_LENGTH.get(text[start : start + 2], 0), start
+    end = _IBAN_TAIL.match(text, start).end()
+    while left and at < end:
+        left -= text[at] != " "
+        at += 1
+    if left or at == start or text[at : at + 1].isalnum() or not mod97(text[start:at].replace(" ", "")):
+        return None
+    return at
+
+
 def behind_cue(text: str, kind: str, ends: list[int]):
     """Findings of the method's own kinds; ends are where the cue ends."""
     pattern, group = {"login": (_LOGIN, 0), "ssn": (_SSN, 1), "iban": (_IBAN, 1), "account": (_ACCOUNT, 1)}[kind]
@@ -130,9 +167,8 @@ def behind_cue(text: str, kind: str, ends: list[int]):
             if kind == "ssn" and (text[a : a + 3] in ("000", "666") or text[a] == "9"):
                 continue
             if kind == "iban":
-                while b > a and not mod97(text[a:b].replace(" ", "")):  # words may follow; the check digits say where it ends
-                    b -= 1
-                if b - a < 15:
+                b = iban_end(text, a)
+                if b is None:
                     continue
             done = b
             yield a, b
