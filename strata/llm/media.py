@@ -1,8 +1,10 @@
 """MPEG audio columns: write bytes as a layer III stream and read such streams frame by frame.
 
-Reading: tags are skipped (ID3v2 in front, ID3v1 at the end), frame headers are resynchronised (a header counts if the
-frame after it, or the end of the stream, confirms it), the 16-bit checksum over header and side information is verified, a
-table of a variable bitrate (Xing or Info) is parsed, and durations and frame offsets are exact: samples from the headers,
+Reading: tags are skipped (ID3v2 in front, ID3v1 at the end), frame headers are resynchronised (at the start and after every
+gap a header counts only if a frame of its kind after it, a tag or the end of the stream confirms it; one that isn't confirmed
+elsewhere counts if it is of the same kind, with the right checksum, and no confirmed frame starts inside it), the 16-bit checksum over
+header and side information of layer III is verified, a table of a variable bitrate (Xing, Info or VBRI) is parsed with its seek
+points, and durations and frame offsets are exact: samples from the headers,
 offsets from the bytes, both in whole numbers.
 
 Writing: MPEG-1 layer III, mono, 48 kHz, with checksums. Every frame has empty granules (silence), so the rest of the frame
@@ -138,27 +140,65 @@ def _tags(data: bytes) -> tuple[int, int, dict[str, str], list[str]]:
     return start, end, fields, found
 
 
+def _confirmed(data: bytes, at: int, stop: int, end: int) -> bool:
+    """Whether a frame is followed by the header of one with the same version, layer and rate, by a tag, or by the end."""
+    if stop + 4 > end:
+        return stop == end
+    alike = data[stop] == 0xFF and (data[stop + 1] ^ data[at + 1]) & 0xFE == 0 and (data[stop + 2] ^ data[at + 2]) & 0x0C == 0
+    return alike and Header(data[stop : stop + 4]).ok or data[stop : stop + 3] in (b"TAG", b"ID3")
+
+
+def _likely(data: bytes, at: int, h: Header, last: Header, end: int) -> bool:
+    """Whether an unconfirmed header right after a frame starts one: it is of the same kind, its checksum is right where it has
+    one, and no confirmed frame starts inside what it claims.
+    """
+    stop = at + h.size
+    if (h.version, h.layer, h.rate) != (last.version, last.layer, last.rate):
+        return False
+    if h.checked and h.layer == 3 and crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big"):
+        return False
+    p = data.find(b"\xff", at + 1, stop)
+    while p >= 0:
+        inner = Header(data[p : p + 4])
+        if inner.ok and p + inner.size <= end and _confirmed(data, p, p + inner.size, end):
+            return False
+        p = data.find(b"\xff", p + 1, stop)
+    return True
+
+
 def parse(data: bytes) -> dict:
     """Frames, offsets, checks, table, tags and, where the stream carries one, the payload."""
     start, end, fields, tags = _tags(data)
-    at, offsets, body = start, [], []
-    out = {"samples": 0, "rate": 0, "good": 0, "bad": 0, "skipped": 0, "table_frames": None, "table_bytes": None, "kbps": [0, 0], "layer": 0, "version": 0}
+    at, offsets, body, lost, last = start, [], [], True, None
+    out = {"samples": 0, "rate": 0, "good": 0, "bad": 0, "skipped": 0, "table_frames": None, "table_bytes": None, "seek": [], "seek_frames": 0, "kbps": [0, 0], "layer": 0, "version": 0}
     checks: dict[bytes, bool] = {}
     while at + 4 <= end:
         h = Header(data[at : at + 4])
         stop = at + h.size if h.ok else 0
-        if not h.ok or stop > end or stop + 4 <= end and not Header(data[stop : stop + 4]).ok and not offsets:
+        if not h.ok or stop > end or not _confirmed(data, at, stop, end) and (lost or not _likely(data, at, h, last, end)):
+            lost = True
             again = data.find(b"\xff", at + 1, end)
             again = end if again < 0 else again
             out["skipped"] += again - at
             at = again
             continue
+        lost, last = False, h
         xing = at + 4 + h.side
         if h.layer == 3 and not offsets and out["table_frames"] is None and data[xing : xing + 4] in (b"Xing", b"Info"):
             flags, p = int.from_bytes(data[xing + 4 : xing + 8], "big"), xing + 8
             for bit, key in ((1, "table_frames"), (2, "table_bytes")):
                 if flags & bit:
                     out[key], p = int.from_bytes(data[p : p + 4], "big"), p + 4
+            if flags & 4:
+                # 256 parts of the stream's bytes, for each hundredth of its time.
+                out["seek"] = [x * (out["table_bytes"] or end - at) // 256 + at for x in data[p : p + 100]]
+            at = stop
+            continue
+        if h.layer == 3 and not offsets and out["table_frames"] is None and data[at + 36 : at + 40] == b"VBRI":
+            out["table_bytes"], out["table_frames"], n, scale, size, step = struct.unpack(">IIHHHH", data[at + 46 : at + 62])
+            sizes = [int.from_bytes(data[p : p + size], "big") * scale for p in range(at + 62, min(at + 62 + n * size, stop), size)] if size else []
+            out["seek"] = [stop + sum(sizes[:i]) for i in range(len(sizes))]
+            out["seek_frames"] = step
             at = stop
             continue
         if h.checked and h.layer == 3:
@@ -219,14 +259,19 @@ DIGEST_COLUMNS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """parse_media with digests in place of the bytes, so that these needn't travel back."""
+    """parse_media with digests in place of the bytes, so that these needn't travel back. What can't be read of a damaged stream
+    (payload, first and last frame) is null or a dash.
+    """
 
     def row(doc_id, n, data):
+        data = data or b""
         p = parse(data)
         got = p["payload"]
+        own = (None, None, None) if got is None else (len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-UNIT:]))
+        first, last = (p["offsets"][0], p["offsets"][-1]) if p["offsets"] else ("-", "-")
         table = "none" if p["table_frames"] is None else f"vbr{p['table_frames']}"
-        feature = f"mpeg{p['version']}.{p['layer']};{p['rate']}Hz;{p['kbps'][0]}-{p['kbps'][1]}kbps;frames={len(p['offsets'])};samples={p['samples']};us={p['duration_us']};crc={p['good']}/{p['bad']};skipped={p['skipped']};{table};{'+'.join(p['tags'])};first={p['offsets'][0]};last={p['offsets'][-1]}"
-        return doc_id, n, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature, p["duration_us"], p["offsets"]
+        feature = f"mpeg{p['version']}.{p['layer']};{p['rate']}Hz;{p['kbps'][0]}-{p['kbps'][1]}kbps;frames={len(p['offsets'])};samples={p['samples']};us={p['duration_us']};crc={p['good']}/{p['bad']};skipped={p['skipped']};{table};{'+'.join(p['tags'])};first={first};last={last}"
+        return doc_id, n, *own, len(data), hashlib.sha256(data).hexdigest(), feature, p["duration_us"], p["offsets"]
 
     return _map(media.select("doc_id", "n_bytes", "media"), row, DIGEST_COLUMNS)
 
