@@ -40,6 +40,38 @@ def test_resynchronises_over_junk():
     assert len(front["offsets"]) == len(clean["offsets"]) and front["payload"] is None
 
 
+def test_chance_headers_are_no_frames():
+    data = media.encode(b"y" * 5000)
+    clean = media.parse(data)
+    at = clean["offsets"][2]
+    for head in (data[at : at + 4], bytes.fromhex("fffb9064"), bytes.fromhex("fff38064")):
+        p = media.parse(data[:at] + head + b"j" * 400 + data[at:])
+        assert len(p["offsets"]) == len(clean["offsets"]) and p["skipped"] == 404 and p["payload"] == clean["payload"]
+
+
+def test_seek_tables():
+    data = media.encode(bytes(range(1, 250)) * 400)
+    p = media.parse(data)
+    assert len(p["seek"]) == 100
+    for percent, place in enumerate(p["seek"]):  # a point is a 256th of the stream before the frame at that share of the time, at most
+        real = p["offsets"][percent * len(p["offsets"]) // 100]
+        assert 0 <= real - place <= p["table_bytes"] / 256 + 1
+    frames = data[p["offsets"][0] :]
+    head = data[p["offsets"][0] : p["offsets"][0] + 4]
+    sizes = [b - a for a, b in zip(p["offsets"], [*p["offsets"][1:], len(data)])]
+    table = b"VBRI" + bytes(6) + len(frames).to_bytes(4, "big") + len(sizes).to_bytes(4, "big") + b"".join(n.to_bytes(2, "big") for n in (len(sizes), 1, 2, 1)) + b"".join(n.to_bytes(2, "big") for n in sizes)
+    first = (head + bytes(32) + table).ljust(media.Header(head).size, b"\0")
+    q = media.parse(first + frames)
+    assert (q["table_frames"], q["table_bytes"], q["seek_frames"]) == (len(sizes), len(frames), 1) and q["seek"] == q["offsets"]
+
+
+def test_digests_of_damaged_streams(spark):
+    good = media.encode(b"q" * 64)
+    rows = [(1, 5, None), (2, 5, bytearray(b"no frame")), (3, 5, bytearray(good[:-30])), (4, 5, bytearray(good))]
+    got = {r.doc_id: r for r in media.media_digests(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert [got[i].payload_sha256 is None for i in (1, 2, 3, 4)] == [True, True, True, False] and got[2].feature.endswith("first=-;last=-")
+
+
 def test_checksums_catch_damage():
     data = bytearray(media.encode(b"z" * 4000))
     at = media.parse(bytes(data))["offsets"][1]

@@ -56,6 +56,16 @@ def test_secrets_base(parts):
 def test_pii_own_kinds():
     x = "ssn: 123-45-6789, IBAN GB82 WEST 1234 5698 7654 32 and ftp://bob:pw@host.example account no. 12345678; ssn 000-12-3456"
     assert [s.split(":")[0] for s in pii.find_spans(x)] == ["email", "login", "ssn", "iban", "account"]
+
+
+def test_account_numbers_end_where_their_country_says():
+    for true, tail in (("GB82 WEST 1234 5698 7654 32", " AND more"), ("DE89370400440532013000", "."), ("NO9386011117947", " x")):
+        x = f"Iban: {true}{tail}"
+        assert [s for s in pii.find_spans(x) if s.startswith("iban")] == [f"iban:6:{6 + len(true)}"]
+    r = random.Random(5)
+    wrong = ["iban " + "".join(r.choice("0123456789") for _ in range(34)) for _ in range(300)] + [f"iban GB{r.randrange(10**20):020d}" for _ in range(1000)]
+    assert sum("iban:" in ",".join(pii.find_spans(x)) for x in wrong) <= 25
+    assert "iban:" not in ",".join(pii.find_spans("iban DE893704004405320130001"))
     assert pii.find_spans("IBAN GB82 WEST 1234 5698 7654 33") == []
 
 
