@@ -32,8 +32,6 @@ PRODUCER_BUCKETS = {
         "for immediate adoption", "special order", "assigned", "continued", "pending board action",
     ),
 }
-#: Above so many codes a broadcast lookup replaces the chain of conditions.
-MOST_LITERALS = 50
 
 
 def code_map(value: str | Column, groups: dict[str, tuple[str, ...]], default: str | None = UNMAPPED, if_null: str | None = None) -> Column:
@@ -46,11 +44,12 @@ def code_map(value: str | Column, groups: dict[str, tuple[str, ...]], default: s
 
 
 def map_codes(df: DataFrame, column: str, groups: dict[str, tuple[str, ...]], name: str, default: str | None = UNMAPPED, if_null: str | None = None) -> DataFrame:
-    """code_map for tables of any size: long ones are joined, and the literal table is as small as the code that states it."""
+    """code_map for tables of any size, as a join. A code must belong to one group only."""
     pairs = [(code, group) for group, codes in groups.items() for code in codes]
-    if len(pairs) <= MOST_LITERALS:
-        return df.withColumn(name, code_map(column, groups, default, if_null))
-    lookup = F.broadcast(df.sparkSession.createDataFrame(pairs, "_code string, _group string"))
+    twice = sorted({code for code, _ in pairs if sum(c == code for c, _ in pairs) > 1})
+    if twice:
+        raise ValueError(f"codes of several groups: {', '.join(twice)}")
+    lookup = df.sparkSession.createDataFrame(pairs, "_code string, _group string")
     joined = df.join(lookup, F.lower(F.trim(F.col(column))) == F.col("_code"), "left")
     value = F.when(F.col(column).isNull(), F.lit(if_null)).otherwise(F.coalesce("_group", F.lit(default)))
     return joined.withColumn(name, value).drop("_code", "_group")

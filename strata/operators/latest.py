@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,12 @@ def first_seen(df: DataFrame, key: str, order: list[str], keep_order: bool = Tru
     return first.orderBy(*order) if keep_order else first
 
 
+def target_union(*feeds: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The targets of several feeds in one: feeds in turn, inside a feed by ``order``, each target where it first occurs."""
+    numbered = reduce(DataFrame.unionByName, (f.select(key, *order).withColumn("feed", F.lit(i)) for i, f in enumerate(feeds)))
+    return first_seen(numbered, key, ["feed", *order], keep_order=False)
+
+
 def not_landed(candidates: DataFrame, landed: DataFrame, key: str) -> DataFrame:
     """Candidates whose id isn't landed yet; those without id count as new."""
     return candidates.join(landed.select(key).distinct(), key, "left_anti")

@@ -74,6 +74,26 @@ def tally(df: DataFrame, total: str, parts: list[str], table: str) -> DataFrame:
     return _result(F.count_if(reduce(lambda a, b: a + b, map(F.col, parts)) != F.col(total)), f"tally_{total}", table, df)
 
 
+def merged(rows: DataFrame, keys: list[str | Column], table: str, name: str | None = None) -> DataFrame:
+    """Rows that share their key with an earlier one, so a table by that key has so many rows less. Null parts count as values."""
+    parts = [c if isinstance(c, Column) else F.col(c) for c in keys]
+    groups = rows.groupBy(*(c.alias(f"_k{i}") for i, c in enumerate(parts))).agg(F.count(F.lit(1)).alias("_rows"))
+    return _result(F.sum(F.col("_rows") - 1), f"merged_{name or '_'.join(map(str, keys))}", table, groups)
+
+
+def list_length(df: DataFrame, total: str, items: str, table: str) -> DataFrame:
+    """Rows whose list hasn't as many items as the total says; a missing list has none."""
+    return _result(F.count_if(F.coalesce(F.size(items), F.lit(0)) != F.col(total)), f"list_length_{items}", table, df)
+
+
+def same_set(df: DataFrame, column: str, expected: list, table: str) -> DataFrame:
+    """Values that only one of the column and the stated set has."""
+    stated = df.sparkSession.createDataFrame([(v,) for v in expected], df.select(column).schema).withColumn("_side", F.lit(1))
+    both = df.select(column).withColumn("_side", F.lit(2)).unionByName(stated).where(F.col(column).isNotNull())
+    sides = both.groupBy(column).agg(F.sum_distinct("_side").alias("_sides"))
+    return _result(sides.where("_sides != 3"), f"same_set_{column}", table)
+
+
 def reconcile(left: DataFrame, right: DataFrame, table: str, leave_out: tuple[str, ...] = ("source_file", "ingest_date", "loaded_at")) -> DataFrame:
     """Rows, duplicates counted, that only one side has. One aggregation over both, not two EXCEPT ALL."""
     columns = [c for c in left.columns if c not in leave_out]

@@ -16,12 +16,14 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], update: bool |
     """The target's columns and _action: 'inserted', 'updated' or 'unchanged'.
 
     The source is reduced to one row a key first (by ``order``, default all columns). A matched row is updated only if one
-    of the columns to update differs: all of them, the listed ones, or none (insert-only). Null keys never match.
+    of the columns to update differs: all of them, the listed ones, or none (insert-only). Null keys never match, so source
+    rows with one aren't taken: they would be inserted again by every run.
     """
     columns = target.columns
     values = [c for c in columns if c not in keys]
     changing = values if update is True else [] if update is False else list(update)
-    one = dedup_by_key(source.select(*columns), keys, order or [F.col(c) for c in columns])
+    keyed = source.select(*columns).where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
+    one = dedup_by_key(keyed, keys, order or [F.col(c) for c in columns])
     t = target.select(*(F.col(c).alias(f"_t_{c}") for c in columns), F.lit(True).alias("_in_t"))
     s = one.select(*(F.col(c).alias(f"_s_{c}") for c in columns), F.lit(True).alias("_in_s"))
     both = t.join(s, [F.col(f"_t_{k}") == F.col(f"_s_{k}") for k in keys], "full_outer")

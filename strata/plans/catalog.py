@@ -6,6 +6,7 @@ events a stream of captures, pages raw HTML. Key hashes never appear in results.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,8 @@ from strata.operators.upsert import merge, upsert
 from strata.plans import serve, staging, star
 from strata.sources.ingest import read_documents, split_broken
 from strata.sources.schemas import table
-from strata.sources.sinks import Snapshots, entity_files, overwrite, payload, scratch, stored
-from strata.streaming.landing import land, landed
+from strata.sources.sinks import Layers, Snapshots, as_view, entity_files, overwrite, payload, scratch, stored
+from strata.streaming.landing import land, land_all, landed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -299,14 +300,43 @@ def dq_nonempty(s, d):
     return quality.not_empty(table(s, d, "events"), "events")
 
 
-@query(_check_sql("no_fan_out", "star_view", "SELECT 0 AS n"))
+@query(_check_sql("no_fan_out", "order_lines", """
+  SELECT abs(count(*) - (SELECT count(*) FROM orders)) + count(*) FILTER (WHERE l_orderkey IS NULL) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey"""))
 def dq_no_fan_out(s, d):
-    return quality.no_fan_out(star_view(s, d), table(s, d, "lineitem"), "member_name", "star_view")
+    """A view that does fan out: orders by their lines, some of which have none."""
+    orders, lines = table(s, d, "orders"), table(s, d, "lineitem").select(F.col("l_orderkey").alias("member"))
+    return quality.no_fan_out(orders.join(lines, F.col("o_orderkey") == F.col("member"), "left"), orders, "member", "order_lines")
 
 
-@query(_check_sql("tally_total", "member_tally", "SELECT 0 AS n"))
+@query(_check_sql("tally_total", "member_tally", "SELECT count(DISTINCT o_custkey) AS n FROM orders WHERE o_orderstatus = 'P'"))
 def dq_tally(s, d):
-    return quality.tally(member_tally(s, d), "total", ["aye", "nay", "excused"], "member_tally")
+    """One bucket is left out of the parts, so members with such votes fail."""
+    return quality.tally(member_tally(s, d), "total", ["aye", "nay"], "member_tally")
+
+
+@query(_check_sql("list_length_h", "member_history", "SELECT count(*) AS n FROM (SELECT 1 FROM orders GROUP BY o_custkey HAVING count(*) > 5)"))
+def dq_list_length(s, d):
+    """Histories cut at five entries beside the whole number of orders."""
+    orders = table(s, d, "orders")
+    cut = serve.history(orders, ["o_custkey"], "o_orderdate", ["o_orderkey"], "h", most=5)
+    return quality.list_length(cut.join(orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("total")), "o_custkey"), "total", "h", "member_history")
+
+
+@query(_check_sql("same_set_n_regionkey", "nation", "SELECT count(*) AS n FROM (SELECT DISTINCT n_regionkey AS k FROM nation WHERE n_regionkey NOT IN (1, 2, 3, 77) UNION ALL SELECT k FROM (VALUES (1), (2), (3), (77)) v(k) WHERE k NOT IN (SELECT n_regionkey FROM nation))"))
+def dq_same_set(s, d):
+    return quality.same_set(table(s, d, "nation"), "n_regionkey", [1, 2, 3, 77], "nation")
+
+
+@query(_check_sql("merged_l_orderkey_l_linenumber", "lineitem", "SELECT (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS n"))
+def dq_merged_keys(s, d):
+    return quality.merged(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], "lineitem")
+
+
+@query(_check_sql("unresolved_s_suppkey", "lineitem", "SELECT count(*) AS n FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0 WHERE s_suppkey IS NULL"))
+def dq_unresolved(s, d):
+    some = table(s, d, "supplier").where("s_acctbal > 0").select("s_suppkey", F.col("s_suppkey").cast("string").alias("full_name"))
+    lines = table(s, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("sponsor"))
+    return quality.unresolved(latest.conform(lines, "sponsor", some, "full_name", "s_suppkey"), "s_suppkey", "lineitem")
 
 
 @query("""
@@ -558,7 +588,8 @@ def _meetings(s, d) -> DataFrame:
     events = table(s, d, "events").where("event_type = 'signup'")
     none = F.lit(None).cast("string")
     item = F.struct(F.lit(0).cast("long").alias("item_seq"), F.col("event_id").cast("string").alias("matter_file"), none.alias("matter_url"), *(none.alias(c) for c in ("agenda_number", "matter_name", "matter_type", "matter_status", "title", "action_raw", "action_result")), F.concat(F.col("event_id").cast("string"), F.lit("-0")).alias("history_id"), none.alias("history_url"))
-    documents = F.array().cast("array<struct<document_source:string,document_title:string,document_url:string,body_text:string>>")
+    document = F.struct(F.lit("meeting_agenda").alias("document_source"), F.lit("Agenda").alias("document_title"), F.concat(F.lit("https://records.example/View.ashx?ID="), F.col("event_id") % 150).alias("document_url"), none.alias("body_text"))
+    documents = F.array(document)
     day = "2024-01-08"
     return events.select(F.col("event_id").cast("string").alias("meeting_id"), none.alias("event_guid"), F.lit("Committee R").alias("body_name"), dates.format_date("ts").alias("meeting_date"), *(none.alias(c) for c in ("meeting_time", "location", "meeting_subtype", "agenda_status", "minutes_status", "agenda_url", "minutes_url", "video_clip_id")), documents.alias("documents"), F.array(item).alias("agenda_items"), F.lit(f"{day}.json").alias("source_file"), F.lit(day).cast("date").alias("ingest_date"), F.lit(day).cast("timestamp_ntz").alias("loaded_at"))
 
@@ -594,9 +625,9 @@ def medallion_vote_record(s, d):
 @query(_RECORDS + """
 SELECT 'dim_matter' AS name, count(*) AS n FROM orders UNION ALL SELECT 'dim_committee', count(*) FROM (SELECT DISTINCT body FROM act UNION SELECT 'Committee R' FROM meet UNION SELECT 'Board' FROM orders)
 UNION ALL SELECT 'dim_person', (SELECT count(DISTINCT l_suppkey) FROM act) + (SELECT count(DISTINCT c_name) FROM orders JOIN customer ON o_custkey = c_custkey) + 1
-UNION ALL SELECT 'dim_document', count(DISTINCT o_orderkey % 100) FROM orders UNION ALL SELECT 'dim_meeting', count(*) FROM meet
+UNION ALL SELECT 'dim_document', count(*) FROM (SELECT o_orderkey % 100 FROM orders UNION SELECT event_id % 150 FROM events WHERE event_type = 'signup') UNION ALL SELECT 'dim_meeting', count(*) FROM meet
 UNION ALL SELECT 'fact_matter_action', count(DISTINCT coalesce(history_id, concat_ws('|', matter_file, day, l_linestatus))) FROM act
-UNION ALL SELECT 'fact_vote', count(*) FROM vote UNION ALL SELECT 'bridge_matter_sponsor', 2 * count(*) FROM orders UNION ALL SELECT 'bridge_matter_document', count(*) FROM orders""")
+UNION ALL SELECT 'fact_vote', count(*) FROM vote UNION ALL SELECT 'bridge_matter_sponsor', 2 * count(*) FROM orders UNION ALL SELECT 'bridge_matter_document', count(*) FROM orders UNION ALL SELECT 'bridge_meeting_document', count(*) FROM meet""")
 def medallion_gold_counts(s, d):
     counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in _gold(s, d).items()]
     return quality.report(*counts)
@@ -670,9 +701,21 @@ def document_dim(s, d):
     return star.dim_document(files.where("attachment_name LIKE 'http:%'"), files.where("attachment_name NOT LIKE 'http:%'").select(F.col("attachment_url").alias("document_url"), F.col("attachment_name").alias("document_title"))).drop("document_sk")
 
 
-@query("SELECT 'pages' AS \"table\", 'no file number' AS error, count(*) AS n_pages FROM pages")
-def page_drift_signal(s, d):
-    return pages.drift_signal(pages.entity_pages(table(s, d, "pages"), "https://records.example"), "pages")
+@query("""
+SELECT CAST(e.event_id AS VARCHAR) AS meeting_id, e.event_id % 150 AS document, x.source FROM events e,
+  (SELECT unnest(['meeting_agenda', 'meeting_minutes', 'transcript']) AS source) x
+WHERE (x.source = 'meeting_agenda' AND event_type <> 'error') OR (x.source = 'meeting_minutes' AND event_type = 'view') OR (x.source = 'transcript' AND user_id % 2 = 0)""")
+def document_bridge(s, d):
+    """Events as meetings with up to three documents, through silver into the bridge."""
+    url = F.concat(F.lit("https://records.example/"), (F.col("event_id") % 150).cast("string"))
+    meetings = table(s, d, "events").select(
+        F.col("event_id").cast("string").alias("meeting_id"), "event_id", F.when(F.col("event_type") != "error", url).alias("agenda_url"), F.when(F.col("event_type") == "view", url).alias("minutes_url"),
+        F.when(F.col("user_id") % 2 == 0, (F.col("event_id") % 150).cast("string")).alias("video_clip_id"), F.lit("f").alias("source_file"), F.lit("2024-01-08").cast("date").alias("ingest_date"), F.col("ts").alias("loaded_at"),
+    )
+    silver = staging.stg_meeting_documents(pages.meeting_documents(meetings, "https://records.example"))
+    bridge = star.bridge_meeting_document(silver).select("document_sk", "meeting_sk", F.col("document_source").alias("source"))
+    numbers = silver.select(keys.sk("meeting_id").alias("meeting_sk"), keys.sk("document_url").alias("document_sk"), "meeting_id", F.regexp_extract("document_url", "[0-9]+", 0).cast("long").alias("document")).distinct()
+    return bridge.join(numbers, ["meeting_sk", "document_sk"]).select("meeting_id", "document", "source")
 
 
 def _grid(rows_html) -> Column:
@@ -768,3 +811,126 @@ def payload_roundtrip(s, d):
     document = payload(named, "items", generated=F.lit("now"))
     items = document.select(F.explode(F.from_json("payload", "items array<struct<n_name:string,r_name:string>>")["items"]).alias("i")).select("i.*")
     return items.groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("nations"), F.count(F.lit(1)).alias("n"))
+
+
+def _detail_pages(s, d) -> DataFrame:
+    """Orders as detail pages with their lines as history: those with status P carry no file number, those without lines no grid."""
+    nested = table(s, d, "orders").join(_nested(s, d), "o_orderkey", "left")
+
+    def row(line):
+        link = F.concat(F.lit("<a onclick=\"radopen('HistoryDetail.aspx?ID="), F.col("o_orderkey").cast("string"), F.lit("-"), line["l_suppkey"].cast("string"), F.lit("', 'x')\">Details</a>"))
+        return F.concat(F.lit("<tr><td>1/2/2024</td><td>1</td><td>Board &amp; "), line["l_partkey"].cast("string"), F.lit("</td><td>"), line["l_linenumber"].cast("string"), F.lit("</td><td>Pass</td><td>"), link, F.lit("</td></tr>"))
+
+    number = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit('<span id="c_lblFile2">'), F.col("o_orderkey").cast("string"), F.lit("</span>"))).otherwise(F.lit(""))
+    files = F.concat(F.lit('<span id="c_lblSponsors2">Ann, Bob and Cy</span><a href="View.ashx?M=F&amp;ID='), F.col("o_orderkey").cast("string"), F.lit('">Leg Ver1</a>'))
+    history = F.when(F.size("lines") > 0, F.concat(F.lit('<table id="c_gridLegislation_ctl00"><tbody><tr><td>short</td></tr>'), F.array_join(F.transform("lines", row), ""), F.lit("</tbody></table>"))).otherwise(F.lit(""))
+    url = F.concat(F.lit("https://records.example/LegislationDetail.aspx?ID="), F.col("o_orderkey").cast("string"))
+    return nested.select("o_orderkey", url.alias("url"), F.concat(F.lit("<html>"), number, files, history, F.lit("</html>")).alias("html"))
+
+
+@query(f"""
+WITH line AS ({_LINES})
+SELECT CAST(o.o_orderkey AS VARCHAR) AS file_number, 3::BIGINT AS n_sponsors, 'https://records.example/View.ashx?M=F&ID=' || o.o_orderkey AS attachment, count(l.l_orderkey) AS n_actions,
+  coalesce(string_agg('Board & ' || l.l_partkey || '/' || l.l_linenumber || '/' || CASE WHEN l.l_suppkey % 2 = 0 THEN 2 ELSE 0 END, ',' ORDER BY l.seq), '') AS actions
+FROM orders o LEFT JOIN line l ON o.o_orderkey = l.l_orderkey WHERE o.o_orderstatus <> 'P' GROUP BY o.o_orderkey""")
+def entity_page_records(s, d):
+    """Detail pages read back, with the votes of the roll calls that exist (even suppliers) put into their actions."""
+    records, _ = pages.isolate_errors(pages.entity_pages(_detail_pages(s, d), "https://records.example"))
+    # The pages' history ids are numbers with a dash here, so they are read from the links again.
+    with_ids = records.withColumn("actions", F.transform("actions", lambda a: a.withField("history_id", F.regexp_extract(a["history_url"], "ID=([0-9-]+)", 1))))
+    calls = table(s, d, "lineitem").where("l_suppkey % 2 = 0").select(F.concat_ws("-", "l_orderkey", "l_suppkey").alias("history_id")).distinct()
+    vote = lambda p: F.struct(F.lit(p).alias("person_id"), F.lit(p).alias("person_name"), F.lit("Aye").alias("vote_value"), F.lit(True).alias("known"))
+    whole = pages.attach_votes(with_ids, calls.withColumn("votes", F.array(vote("a"), vote("b"))))
+    action = lambda a: F.concat(a["body"], F.lit("/"), a["action"], F.lit("/"), F.size(a["votes"]).cast("string"))
+    return whole.select("file_number", F.size("sponsors").cast("long").alias("n_sponsors"), F.col("attachments")[0]["url"].alias("attachment"), F.size("actions").cast("long").alias("n_actions"), F.array_join(F.transform("actions", action), ",").alias("actions"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS has_lines FROM orders)
+SELECT 'orders' AS "table", CASE WHEN o_orderstatus = 'P' THEN 'no file number' ELSE 'no history grid' END AS error, count(*) AS n_pages FROM o WHERE o_orderstatus = 'P' OR NOT has_lines GROUP BY 1, 2""")
+def page_drift_signal(s, d):
+    return pages.drift_signal(pages.entity_pages(_detail_pages(s, d), "https://records.example"), "orders")
+
+
+@query("SELECT 'https://records.example/LegislationDetail.aspx?ID=' || o_orderkey AS detail_url, 'no file number' AS error FROM orders WHERE o_orderstatus = 'P'")
+def page_quarantine(s, d):
+    return pages.isolate_errors(pages.entity_pages(_detail_pages(s, d), "https://records.example"))[1].select("detail_url", "error")
+
+
+@query("""
+SELECT user_id, event_id AS meeting, 'Final' AS minutes_status FROM events e WHERE event_type <> 'error'
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def draft_then_final(s, d):
+    """Captures of a user's meeting: drafts (errors) give way to the latest final one, drafts alone leave nothing."""
+    status = F.when(F.col("event_type") == "error", F.lit(" DRAFT ")).otherwise(F.lit("Final"))
+    captures = table(s, d, "events").select("user_id", F.col("event_id").alias("meeting"), "ts", "event_id", status.alias("minutes_status"))
+    return latest.latest_wins(pages.without_drafts(captures), ["user_id"], ("ts", "event_id")).select("user_id", "meeting", "minutes_status")
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('view', 'click')")
+def completed_only(s, d):
+    """Completed meetings: those whose minutes are said to be there."""
+    rows = table(s, d, "events").select("event_id", F.when(F.col("event_type").isin("view", "click"), True).when(F.col("event_type") == "error", False).alias("has_minutes"))
+    return pages.completed(rows).select("event_id")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'passed' WHEN o_orderstatus = 'O' THEN 'in_works' ELSE 'other' END AS bucket FROM orders""")
+def producer_bucket(s, d):
+    raw = F.when(F.col("o_orderstatus") == "F", F.lit(" Finally PASSED ")).when(F.col("o_orderstatus") == "O", F.lit("In Committee")).when(F.col("o_custkey") % 2 == 0, F.lit("Filed"))
+    return table(s, d, "orders").select("o_orderkey", codes.producer_bucket(raw).alias("bucket"))
+
+
+@query("""
+SELECT c.o_custkey, u.o_orderkey AS order_key FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority <> '2-HIGH') c
+LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1) u ON c.o_custkey = u.o_custkey""")
+def first_urgent_order(s, d):
+    """The first element of each customer's orders whose priority starts with '1-u', whatever its case."""
+    orders = table(s, d, "orders").where("o_orderpriority <> '2-HIGH'")
+    nested = flatten.nest(orders, ["o_custkey"], ["o_orderkey", "o_orderpriority"], "orders", order=["o_orderdate", "o_orderkey"])
+    return nested.select("o_custkey", text.first_matching("orders", "1-U", "o_orderpriority")["o_orderkey"].alias("order_key"))
+
+
+@query("""
+SELECT url, min(feed) AS feed FROM (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS url, 0 AS feed FROM pages WHERE url LIKE 'https:%' UNION ALL SELECT regexp_extract(url, '^https?://([^/]+)', 1), 1 FROM pages) WHERE url <> '' GROUP BY 1""")
+def target_union(s, d):
+    """Hosts of two feeds, each with the feed that names it first."""
+    hosts = table(s, d, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), "url", "page_id")
+    found = latest.target_union(hosts.where(F.col("url").startswith("https:")).drop("url"), hosts.drop("url"), key="host", order=["page_id"])
+    return found.select(F.col("host").alias("url"), "feed")
+
+
+@query("SELECT event_type <> 'error' AS good, count(*) AS n FROM events GROUP BY 1")
+def tolerant_reread(s, d):
+    """Events as record files in which errors don't parse, read back: nothing stops, broken records are apart."""
+    root = scratch(s, "tolerant")
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"))).otherwise(F.to_json(F.struct("event_id", "value")))
+    table(s, d, "events").select(line.alias("line")).write.text(f"{root}/ingest_date=2024-01-08")
+    good, broken = split_broken(read_documents(s, root, "event_id long, value double", "*.txt", multi_line=False), "event_id")
+    return quality.report(*(df.agg(F.lit(ok).alias("good"), F.count(F.lit(1)).alias("n")) for ok, df in ((True, good), (False, broken))))
+
+
+@query("SELECT event_type <> 'view' AS late, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")
+def streams_in_turn(s, d):
+    """Two landing zones drained one after the other; the second zone's new checkpoint on a target that holds data adds to it."""
+    root, ddl = scratch(s, "streams"), "event_id long, late boolean"
+    for kind, late in (("view", False), ("click", True)):
+        table(s, d, "events").where(F.col("event_type") == kind).select("event_id", F.lit(late).alias("late"), F.lit("2024-01-08").alias("ingest_date")).write.partitionBy("ingest_date").json(f"{root}/{kind}")
+    streams = {k: {"source": f"{root}/{k}", "ddl": ddl, "key": "event_id", "target": f"{root}/bronze", "checkpoint": f"{root}/c-{k}", "multi_line": False} for k in ("view", "click")}
+    land_all(s, streams)
+    return landed(s, f"{root}/bronze", ddl).groupBy("late").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'nation' AS name, (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'region', (SELECT count(*) FROM region) UNION ALL SELECT 'whole', (SELECT count(*) FROM supplier) UNION ALL SELECT 'view', (SELECT count(*) FROM nation WHERE n_regionkey = 1)")
+def layer_tables(s, d):
+    """Tables of a layer written twice, inspected, seen through a view and dropped with their layer; a path replaced as a whole."""
+    root, layers = scratch(s, "layers"), Layers(s, f"strata_{uuid.uuid4().hex[:12]}_")
+    for _ in range(2):
+        nation = layers.materialise(table(s, d, "nation"), "gold", "nation", ("n_regionkey",))
+        layers.materialise(table(s, d, "region"), "gold", "region")
+    for rows in (table(s, d, "customer").select(F.col("c_custkey").alias("k")), table(s, d, "supplier").select(F.col("s_suppkey").alias("k"))):
+        overwrite(rows.withColumn("part", F.pmod("k", F.lit(3))), root, ("part",), whole=True)
+    found = layers.inspect("gold")
+    found.append(("view", as_view(nation.where("n_regionkey = 1"), f"strata_{uuid.uuid4().hex}").count()))
+    layers.reset("gold")
+    return s.createDataFrame([*found, ("whole", s.read.parquet(root).count())], "name string, n long")

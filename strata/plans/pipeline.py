@@ -13,7 +13,7 @@ from strata.streaming.landing import Landed, land_all, landed
 
 from .serve import member_vote_record
 from .staging import SILVER
-from .star import build_gold, latest_captures
+from .star import build_gold, latest_captures, merged_rows
 
 
 @dataclass
@@ -56,7 +56,9 @@ class Run:
             quality.unmapped(t["dim_matter"], "lifecycle", "dim_matter"),
             quality.unresolved(t["bridge_matter_sponsor"], "person_sk", "bridge_matter_sponsor"),
             quality.collisions(t["dim_person"].where("person_id IS NOT NULL"), "full_name", "person_id", "dim_person"),
+            quality.orphans(t["bridge_meeting_document"], "document_sk", t["dim_document"], "document_sk", "bridge_meeting_document"),
             quality.unique(t["fact_vote"], ["vote_sk"], "fact_vote"),
+            merged_rows(t),
             quality.no_fan_out(t["member_vote_record"], t["fact_vote"], "member_name", "member_vote_record"),
         )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.codes import VOTES
@@ -45,11 +45,16 @@ def tally(rows: DataFrame, keys: list[str], bucket: str, buckets: tuple[str, ...
 
 
 def history(rows: DataFrame, keys: list[str], date: str, entry: list[str | Column], name: str, most: int | None = None) -> DataFrame:
-    """Each key's rows as an array, latest first, unknown dates last; ``most`` keeps only so many, which is then the report."""
+    """Each key's rows as an array, latest first, unknown dates last; ``most`` keeps only so many, which is then the report: the rest
+    is left out before the rows of a key come together.
+    """
     age = F.when(F.col(date).isNull(), F.lit(1)).otherwise(0)
     sort = F.struct(age.alias("unknown"), (-F.unix_date(F.col(date).cast("date"))).alias("age"), F.struct(*entry).alias("entry"))
-    all_rows = F.transform(F.array_sort(F.collect_list(sort)), lambda s: s["entry"])
-    return rows.groupBy(*keys).agg((F.slice(all_rows, 1, most) if most else all_rows).alias(name))
+    sorted_rows = rows.select(*keys, sort.alias("_sort"))
+    if most:
+        latest = Window.partitionBy(*keys).orderBy("_sort")
+        sorted_rows = sorted_rows.withColumn("_rn", F.row_number().over(latest)).where(F.col("_rn") <= most)
+    return sorted_rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("_sort")), lambda s: s["entry"]).alias(name))
 
 
 def date_bounds(date: str) -> Column:

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from strata.functions.codes import disposition, first_is, lifecycle
 from strata.functions.keys import coalesced_key, sk, url_id
 from strata.operators.latest import conform, dedup_by_key, keep_latest_children, latest_wins, lowest_parent
+from strata.operators.quality import merged, report
 
 Tables = dict[str, DataFrame]
+#: Where a person's key comes from, and how the key of one without id begins.
+FROM_VOTES, FROM_SPONSORS, NAME_KEY = "vote", "sponsor_only", "NAME:"
 _MATTER_CHILDREN = ("actions", "votes", "sponsors", "attachments")
 _MEETING_CHILDREN = ("agenda_items", "meeting_documents")
 
@@ -73,8 +76,8 @@ def two_populations(identified: DataFrame, named: DataFrame, id_col: str, name:
     order = [F.col("action_date").desc_nulls_last()] if "action_date" in known.columns else []
     one = known.select(id_col, "full_name").distinct() if compat else dedup_by_key(known, [id_col], [*order, F.col("full_name").desc_nulls_last()]).select(id_col, "full_name")
     only = named.select(F.col(named.columns[0]).alias("full_name")).distinct().join(known.select("full_name").distinct(), "full_name", "left_anti")
-    first = one.select(sk(id_col).alias("person_sk"), id_col, "full_name", F.lit("vote").alias("id_source"))
-    second = only.select(F.xxhash64(F.concat(F.lit("NAME:"), "full_name")).alias("person_sk"), F.lit(None).cast("string").alias(id_col), "full_name", F.lit("sponsor_only").alias("id_source"))
+    first = one.select(sk(id_col).alias("person_sk"), id_col, "full_name", F.lit(FROM_VOTES).alias("id_source"))
+    second = only.select(F.xxhash64(F.concat(F.lit(NAME_KEY), "full_name")).alias("person_sk"), F.lit(None).cast("string").alias(id_col), "full_name", F.lit(FROM_SPONSORS).alias("id_source"))
     return first.unionByName(second)
 
 
@@ -111,6 +114,13 @@ def fact_matter_action(actions: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
+def merged_rows(latest: Tables) -> DataFrame:
+    """How many rows each fact's key leaves out: an action with a history id is known by that alone."""
+    votes, actions = latest["int_votes"], latest["int_actions"]
+    rest = [F.when(F.col("history_id").isNull(), F.col(c)) for c in ("matter_file", "action_date", "action_type")]
+    return report(merged(votes, ["history_id", "person_id"], "fact_vote", "vote_sk"), merged(actions, ["history_id", *rest], "fact_matter_action", "matter_action_sk"))
+
+
 def fact_vote(votes: DataFrame, actions: DataFrame, history: DataFrame) -> DataFrame:
     """One row per history id and person; the vote's body is its action's."""
     keyed = votes.withColumn("vote_sk", sk("history_id", "person_id"))
@@ -162,10 +172,11 @@ def build_gold(latest: Tables, compat: bool = False) -> Tables:
         "dim_matter": dim_matter(t["int_matters"], t["int_actions"], compat),
         "dim_committee": dim_committee(t["int_actions"], t["int_meetings"], t["int_matters"]),
         "dim_person": person,
-        "dim_document": dim_document(t["int_attachments"], compat=compat),
+        "dim_document": dim_document(t["int_attachments"], None if compat else t["int_meeting_documents"], compat),
         "dim_meeting": dim_meeting(t["int_meetings"]),
         "fact_matter_action": fact_matter_action(t["int_actions"], history),
         "fact_vote": fact_vote(t["int_votes"], t["int_actions"], history),
         "bridge_matter_sponsor": bridge_matter_sponsor(t["int_sponsors"], person, compat),
         "bridge_matter_document": bridge_matter_document(t["int_attachments"]),
+        "bridge_meeting_document": bridge_meeting_document(t["int_meeting_documents"]),
     }

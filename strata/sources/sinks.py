@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared space that the cluster names; in the system's temporary space only where none is set."""
+    """A new folder in the shared space that the cluster names. Without one, a local session gets one in the temporary space; on a
+    cluster that would be another folder on every machine, so it is an error.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.getCheckpointDir() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}/spark-strata"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

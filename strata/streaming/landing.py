@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-from strata.sources.ingest import lineage, split_broken
+from strata.sources.ingest import is_broken, lineage, split_broken
 from strata.sources.schemas import CORRUPT, schema
 
 
@@ -20,10 +22,13 @@ class Landed:
 def land(spark: SparkSession, source: str, ddl: str, key: str, target: str, checkpoint: str, files_per_batch: int = 10_000, quarantine: str | None = None, multi_line: bool = True) -> Landed:
     """Appends the records of files not seen before to ``target``, by ingest_date, and stops when none is left.
 
-    A batch writes below its own ``batch_id`` folder and overwrites it, so a batch that is run again after a failure
-    lands once. Broken records go to ``quarantine`` if that is given, else they are only counted.
+    A batch writes below a folder of its own, named by the query (which the checkpoint identifies) and its number, and overwrites
+    it, so a batch that is run again after a failure lands once. A new checkpoint is a new query: it overwrites nothing, and
+    files that other queries have landed are left out. Broken records go to ``quarantine`` if that is given, else they are
+    only counted. A batch is parsed once, and once more only where broken records are to be kept.
     """
     out = Landed()
+    query_id: list[str] = []
     stream = (
         spark.readStream.schema(schema(ddl, corrupt=True))
         .option("multiLine", multi_line)
@@ -35,16 +40,20 @@ def land(spark: SparkSession, source: str, ddl: str, key: str, target: str, chec
     )
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        good, broken = split_broken(df, key)
-        part = f"{target}/batch_id={batch_id}"
-        good.write.mode("overwrite").partitionBy("ingest_date").parquet(part)
-        out.rows += spark.read.parquet(part).count() if _has_files(spark, part) else 0
+        if not query_id:
+            query_id.append(json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"])
+        name = f"batch={query_id[0]}-{batch_id}"
+        others = [f"{target}/{n}" for n in _folders(spark, target) if n.startswith("batch=") and not n.startswith(f"batch={query_id[0]}-")]
+        if others:
+            df = df.join(df.sparkSession.read.schema("source_file string").parquet(*others), "source_file", "left_anti").select(*df.columns)
+        seen = Observation()  # counts come from the write itself
+        counted = df.observe(seen, F.count_if(~is_broken(key)).alias("good"), F.count_if(is_broken(key)).alias("broken"))
+        split_broken(counted, key)[0].write.mode("overwrite").partitionBy("ingest_date").parquet(f"{target}/{name}")
+        out.rows += seen.get["good"]
+        out.quarantined += seen.get["broken"]
         out.batches += 1
-        if quarantine:
-            broken.write.mode("overwrite").json(f"{quarantine}/batch_id={batch_id}")
-            out.quarantined += spark.read.text(f"{quarantine}/batch_id={batch_id}").count()
-        else:
-            out.quarantined += broken.count()
+        if quarantine and seen.get["broken"]:
+            split_broken(df, key)[1].write.mode("overwrite").json(f"{quarantine}/{name}")
 
     # Lineage is stamped on the stream itself, where the file's metadata is at hand.
     query = lineage(stream).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -52,16 +61,16 @@ def land(spark: SparkSession, source: str, ddl: str, key: str, target: str, chec
     return out
 
 
-def _has_files(spark: SparkSession, path: str) -> bool:
+def _folders(spark: SparkSession, path: str) -> list[str]:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p) and any(s.isDirectory() for s in fs.listStatus(p))
+    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
 
 
 def landed(spark: SparkSession, target: str, ddl: str) -> DataFrame:
     """The landed table: records with lineage, without the batch column."""
-    full = schema(ddl).add("source_file", "string").add("loaded_at", "timestamp").add("ingest_date", "date").add("batch_id", "long")
-    return spark.read.schema(full).parquet(target).drop("batch_id")
+    full = schema(ddl).add("source_file", "string").add("loaded_at", "timestamp").add("ingest_date", "date").add("batch", "string")
+    return spark.read.schema(full).parquet(target).drop("batch")
 
 
 def land_all(spark: SparkSession, streams: dict[str, dict]) -> dict[str, Landed]:

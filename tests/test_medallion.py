@@ -96,6 +96,7 @@ def test_run_lands_latest_and_serves(spark, run):
     # votes without history of one person collapse to one
     assert t["fact_vote"].where("history_id IS NULL").count() == 1
     report = {(r["check"], r["table"]): r.failing_count for r in run.check(t).collect()}
+    assert report["merged_vote_sk", "fact_vote"] == 1 and report["merged_matter_action_sk", "fact_matter_action"] == 0
     assert report["no_fan_out", "member_vote_record"] == 0 and report["unmapped_lifecycle", "dim_matter"] == 1
     with pytest.raises(quality.QualityError, match="unmapped"):
         quality.fail_on(run.check(t), "unmapped_lifecycle")
@@ -131,6 +132,14 @@ def test_batch_written_twice_lands_once(spark, run, tmp_path):
     assert landed(spark, f"{tmp_path}/b", MATTER).count() == 3
 
 
+def test_new_checkpoint_overwrites_nothing(spark, run, tmp_path):
+    """The landing zone holds other files by the time a new checkpoint starts to count its batches from 0."""
+    land(spark, f"{run.raw}/matters", MATTER, "file_number", f"{tmp_path}/b", f"{tmp_path}/c1")
+    write(f"{tmp_path}/other", "matters", SECOND, "9", matter("9", "Passed"))
+    found = land(spark, f"{tmp_path}/other/matters", MATTER, "file_number", f"{tmp_path}/b", f"{tmp_path}/c2")
+    assert found.rows == 1 and rows(landed(spark, f"{tmp_path}/b", MATTER), "file_number") == [("1",), ("2",), ("3",), ("9",)]
+
+
 def test_tie_in_one_partition_keeps_one_childs_set(spark):
     lineage = "ingest_date string, source_file string, loaded_at string"
     parents = spark.createDataFrame([("1", "2026-06-01", "a", "t"), ("1", "2026-06-01", "b", "t")], f"matter_file string, {lineage}")

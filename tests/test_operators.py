@@ -66,7 +66,7 @@ def test_merge_and_snapshots(spark, tmp_path):
     target = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (3, None, 3)], "k int, v string, w int")
     source = spark.createDataFrame([(2, "B", 9), (2, "C", 9), (3, None, 3), (4, "d", 4), (None, "n", 0)], "k int, v string, w int")
     got = {r.k: (r.v, r.w, r._action) for r in merge(target, source, ["k"]).collect()}
-    assert got == {1: ("a", 1, "unchanged"), 2: ("B", 9, "updated"), 3: (None, 3, "unchanged"), 4: ("d", 4, "inserted"), None: ("n", 0, "inserted")}
+    assert got == {1: ("a", 1, "unchanged"), 2: ("B", 9, "updated"), 3: (None, 3, "unchanged"), 4: ("d", 4, "inserted")}  # no row without a key: every run would insert it again
     only_w = {r.k: (r.v, r.w, r._action) for r in merge(target, source, ["k"], update=["w"]).collect()}
     assert only_w[2] == ("b", 9, "updated")
     assert {r.k: r._action for r in merge(target, source, ["k"], update=False).collect()}[2] == "unchanged"
