@@ -46,6 +46,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not base:
         base = getattr(spark.sparkContext, "_strata_checkpoints", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             base = spark.sparkContext._strata_checkpoints = tempfile.mkdtemp(prefix="spark-strata-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
