@@ -152,7 +152,7 @@ def test_licence_places(words):
 def test_matching_statistics_against_all_runs():
     """The longest run ending at each word, by brute force; kept runs are those that the next word doesn't lengthen."""
     r = random.Random(2)
-    known = {tuple(t.split()[i:j]) for t in [*licences.TEMPLATES.values(), *licences.PHRASES] for i in range(len(t.split())) for j in range(i + 1, len(t.split()) + 1)}
+    known = {tuple(t.split()[i:j]) for t in [*licences.TEMPLATES.values(), *(t for own in licences.NOTICES.values() for t in own), *licences.PHRASES] for i in range(len(t.split())) for j in range(i + 1, len(t.split()) + 1)}
     for _ in range(200):
         w = []
         for _ in range(5):
@@ -172,6 +172,19 @@ def test_chain_covers_a_template_with_changes():
     assert licences.chain(licences.walk(licences.split_words("permission is hereby granted to leave"))[1]) == []
 
 
+def test_versions_and_repeated_runs_of_licences():
+    labels = lambda x: [k for k, *_ in licences.chain(licences.walk(licences.split_words(x))[1])]
+    assert labels("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007") == ["lgpl-3"]
+    assert labels("GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991 Copyright") == ["gpl-2"] and labels("general public license version 3") == []
+    mpl = 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at x'
+    assert labels(mpl) == ["mpl-1.1"]
+    whole = licences.NOTICES["bsd"][0].split()  # "including but not limited to the ..." and others stand in it twice
+    found = licences.chain(licences.walk(licences.split_words(" ".join(["x"] * 3 + whole + ["y"] * 3)))[1])
+    assert found == [("bsd", 3, 3 + len(whole), 1.0)]
+    torn = whole[:40] + ["changed"] * 3 + whole[43:90] + ["added"] * 4 + whole[90:]
+    assert [(k, a, b) for k, a, b, _ in licences.chain(licences.walk(licences.split_words(" ".join(torn)))[1])] == [("bsd", 0, len(torn))]
+
+
 ROWS = [(1, None, "x"), (2, "", "x"), (2, "", "x"), (None, "mail a@b.co token=abcdef under the MIT license", None), (3, "wört " * 50_000 + "a@b.co", "x")]
 
 
