@@ -27,6 +27,8 @@ LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdat
 #: Order codes as this catalogue maps them; P stays unmapped on purpose.
 STATUS = {"passed": ("f",), "in_progress": ("o",)}
 CUT = "1998-01-01"
+#: Days of capture, and the priority of the orders that are captured on the first of them only.
+EARLY, LATE, ONCE = "2024-01-01", "2024-01-08", "4-NOT SPECIFIED"
 
 
 def _micros(at: str) -> Column:
@@ -558,40 +560,53 @@ def cross_slice_link(s, d):
     return orders.join(events, ["o_custkey", "k"]).groupBy("o_orderkey").agg(F.min("event_id").alias("event_id"))
 
 
+def _captured(day: str) -> list[Column]:
+    return [F.lit(f"{day}.json").alias("source_file"), F.lit(day).cast("date").alias("ingest_date"), F.lit(day).cast("timestamp_ntz").alias("loaded_at")]
+
+
 def _matters(s, d) -> DataFrame:
-    """Bronze records out of orders: an early capture without actions, and for three quarters of them a later one with."""
+    """Bronze records out of orders and all their lines: an early capture, and a later one for all but those of one priority. The early
+    ones have a body and votes of their own, so children of a capture that lost would show.
+    """
     us = lambda c: dates.format_date(c)
-    lines = table(s, d, "lineitem").where("l_orderkey % 4 != 0").join(table(s, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey", "left")
+    lines = table(s, d, "lineitem").join(table(s, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey", "left")
     vote = F.when(F.col("l_returnflag") == "R", "No").when(F.col("l_returnflag") == "A", "Aye").otherwise("Absent")
-    votes = F.array(F.struct(F.col("l_suppkey").cast("string").alias("person_id"), F.col("s_name").alias("person_name"), vote.alias("vote_value")))
-    lines = lines.select("l_orderkey", *LINE_ORDER, us("l_shipdate").alias("date"), F.concat(F.lit("Committee "), "l_returnflag").alias("body"), F.col("l_linestatus").alias("action"), votes.alias("votes"))
-    fields = ["date", "body", "action", "votes", "l_quantity"]
+    lines = lines.select("l_orderkey", *LINE_ORDER, us("l_shipdate").alias("date"), F.concat(F.lit("Committee "), "l_returnflag").alias("body"), F.col("l_linestatus").alias("action"), "s_name", vote.alias("vote"))
+    fields = ["date", "body", "action", "l_suppkey", "s_name", "vote", "l_quantity"]
     nested = flatten.nest(lines, ["l_orderkey"], fields, "lines", order=list(LINE_ORDER)).withColumnRenamed("l_orderkey", "o_orderkey")
-    orders = table(s, d, "orders").join(table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left")
+    orders = table(s, d, "orders").join(table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left").join(nested, "o_orderkey", "left")
+
+    def action(early):
+        def one(line, i):
+            history = F.when(line["l_quantity"] <= 45, F.concat_ws("-", "o_orderkey", i))
+            value = F.lit("Excused") if early else line["vote"]
+            votes = F.array(F.struct(line["l_suppkey"].cast("string").alias("person_id"), line["s_name"].alias("person_name"), value.alias("vote_value")))
+            body = F.lit("Early Committee") if early else line["body"]
+            return F.struct(line["date"].alias("date"), body.alias("body"), line["action"].alias("action"), F.lit("Pass").alias("result"), history.alias("history_id"), F.lit(None).cast("string").alias("history_url"), votes.alias("votes"))
 
-    def action(line, i):
-        history = F.when(line["l_quantity"] <= 45, F.concat_ws("-", "o_orderkey", i))
-        return F.struct(line["date"].alias("date"), line["body"].alias("body"), line["action"].alias("action"), F.lit("Pass").alias("result"), history.alias("history_id"), F.lit(None).cast("string").alias("history_url"), line["votes"].alias("votes"))
+        return F.transform("lines", one).alias("actions")
 
     status = F.when(F.col("o_orderstatus") == "F", " Passed").when(F.col("o_orderstatus") == "O", "30 Day Rule").otherwise("Odd")
     base = [F.col("o_orderkey").cast("string").alias("file_number"), F.concat(F.lit("https://records.example/Detail.aspx?ID="), "o_orderkey").alias("detail_url"), F.concat(F.lit("Order "), "o_orderkey").alias("name"), F.lit("t").alias("title"), F.col("o_orderpriority").alias("type")]
     rest = [us("o_orderdate").alias("introduced"), *(F.lit(None).cast("string").alias(c) for c in ("on_agenda", "final_action", "enactment_date", "enactment_number")), F.lit("Board").alias("in_control"), F.array("c_name", F.lit("Mayor")).alias("sponsors"), F.array().cast("array<string>").alias("related_files"), F.array(F.struct(F.lit("Leg Ver1").alias("name"), F.concat(F.lit("https://records.example/View.ashx?ID="), F.col("o_orderkey") % 100).alias("url"))).alias("attachments")]
-    actions = F.transform("lines", action)
-    lineage = lambda day: [F.lit(f"{day}.json").alias("source_file"), F.lit(day).cast("date").alias("ingest_date"), F.lit(day).cast("timestamp_ntz").alias("loaded_at")]
-    early = orders.select(*base, F.lit("New Business").alias("status"), *rest, F.lit(None).cast("array<struct<date:string,body:string,action:string,result:string,history_id:string,history_url:string,votes:array<struct<person_id:string,person_name:string,vote_value:string>>>>").alias("actions"), *lineage("2024-01-01"))
-    late = orders.where("o_orderkey % 4 != 0").join(nested, "o_orderkey", "left").select(*base, status.alias("status"), *rest, actions.alias("actions"), *lineage("2024-01-08"))
+    early = orders.select(*base, F.lit("New Business").alias("status"), *rest, action(True), *_captured(EARLY))
+    late = orders.where(F.col("o_orderpriority") != ONCE).select(*base, status.alias("status"), *rest, action(False), *_captured(LATE))
     return early.unionByName(late)
 
 
 def _meetings(s, d) -> DataFrame:
-    """Bronze meetings out of sign-up events: each links the first action of the order that has its number."""
-    events = table(s, d, "events").where("event_type = 'signup'")
+    """Bronze meetings out of all events: an early capture that links the second action of the order that has the event's number, and
+    for all but errors a later one that links the first. Each has a document.
+    """
+    events = table(s, d, "events")
     none = F.lit(None).cast("string")
-    item = F.struct(F.lit(0).cast("long").alias("item_seq"), F.col("event_id").cast("string").alias("matter_file"), none.alias("matter_url"), *(none.alias(c) for c in ("agenda_number", "matter_name", "matter_type", "matter_status", "title", "action_raw", "action_result")), F.concat(F.col("event_id").cast("string"), F.lit("-0")).alias("history_id"), none.alias("history_url"))
-    document = F.struct(F.lit("meeting_agenda").alias("document_source"), F.lit("Agenda").alias("document_title"), F.concat(F.lit("https://records.example/View.ashx?ID="), F.col("event_id") % 150).alias("document_url"), none.alias("body_text"))
-    documents = F.array(document)
-    day = "2024-01-08"
-    return events.select(F.col("event_id").cast("string").alias("meeting_id"), none.alias("event_guid"), F.lit("Committee R").alias("body_name"), dates.format_date("ts").alias("meeting_date"), *(none.alias(c) for c in ("meeting_time", "location", "meeting_subtype", "agenda_status", "minutes_status", "agenda_url", "minutes_url", "video_clip_id")), documents.alias("documents"), F.array(item).alias("agenda_items"), F.lit(f"{day}.json").alias("source_file"), F.lit(day).cast("date").alias("ingest_date"), F.lit(day).cast("timestamp_ntz").alias("loaded_at"))
+
+    def capture(rows, day, seq, file):
+        item = F.struct(F.lit(0).cast("long").alias("item_seq"), F.col("event_id").cast("string").alias("matter_file"), none.alias("matter_url"), *(none.alias(c) for c in ("agenda_number", "matter_name", "matter_type", "matter_status", "title", "action_raw", "action_result")), F.concat(F.col("event_id").cast("string"), F.lit(f"-{seq}")).alias("history_id"), none.alias("history_url"))
+        document = F.struct(F.lit("meeting_agenda").alias("document_source"), F.lit("Agenda").alias("document_title"), F.concat(F.lit("https://records.example/View.ashx?ID="), F.col("event_id") % 150 + file).alias("document_url"), none.alias("body_text"))
+        return rows.select(F.col("event_id").cast("string").alias("meeting_id"), none.alias("event_guid"), F.lit("Committee R").alias("body_name"), dates.format_date("ts").alias("meeting_date"), *(none.alias(c) for c in ("meeting_time", "location", "meeting_subtype", "agenda_status", "minutes_status", "agenda_url", "minutes_url", "video_clip_id")), F.array(document).alias("documents"), F.array(item).alias("agenda_items"), *_captured(day))
+
+    return capture(events, EARLY, 1, 200).unionByName(capture(events.where("event_type <> 'error'"), LATE, 0, 0))
 
 
 def _gold(s, d):
@@ -603,29 +618,43 @@ def _gold(s, d):
 
 
 _RECORDS = """
-WITH line AS (SELECT l_orderkey, l_suppkey, l_returnflag, l_linestatus, l_quantity, CAST(l_shipdate AS DATE) AS day,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, l_extendedprice) - 1 AS seq FROM lineitem WHERE l_orderkey % 4 <> 0),
-act AS (SELECT *, CAST(l_orderkey AS VARCHAR) AS matter_file, CASE WHEN l_quantity <= 45 THEN l_orderkey || '-' || seq END AS history_id, 'Committee ' || l_returnflag AS body FROM line),
-meet AS (SELECT event_id || '-0' AS history_id, CAST(ts AS DATE) AS meeting_date FROM events WHERE event_type = 'signup'),
-vote AS (SELECT act.*, CASE l_returnflag WHEN 'R' THEN 'No' WHEN 'A' THEN 'Aye' ELSE 'Absent' END AS vote_value FROM act
-  QUALIFY row_number() OVER (PARTITION BY concat_ws('|', history_id, l_suppkey) ORDER BY day, matter_file, seq, l_returnflag) = 1),
-state AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 4 = 0 THEN 'New Business' WHEN o_orderstatus = 'F' THEN ' Passed' WHEN o_orderstatus = 'O' THEN '30 Day Rule' ELSE 'Odd' END AS status FROM orders)
+WITH act AS (SELECT l_orderkey, l_suppkey, l_linestatus, CAST(l_shipdate AS DATE) AS day, l_quantity, o_orderpriority = '4-NOT SPECIFIED' AS early, l_returnflag,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, l_extendedprice) - 1 AS seq,
+    CAST(l_orderkey AS VARCHAR) AS matter_file, CASE WHEN l_quantity <= 45 THEN l_orderkey || '-' || seq END AS history_id, CASE WHEN early THEN 'Early Committee' ELSE 'Committee ' || l_returnflag END AS body,
+    CASE WHEN early THEN 'Excused' WHEN l_returnflag = 'R' THEN 'No' WHEN l_returnflag = 'A' THEN 'Aye' ELSE 'Absent' END AS vote_value FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+meet AS (SELECT event_id || CASE WHEN event_type = 'error' THEN '-1' ELSE '-0' END AS history_id, CAST(ts AS DATE) AS meeting_date, event_id % 150 + CASE WHEN event_type = 'error' THEN 200 ELSE 0 END AS document FROM events),
+vote AS (SELECT * FROM act QUALIFY row_number() OVER (PARTITION BY concat_ws('|', history_id, l_suppkey) ORDER BY day, matter_file, seq) = 1),
+state AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'New Business' WHEN o_orderstatus = 'F' THEN ' Passed' WHEN o_orderstatus = 'O' THEN '30 Day Rule' ELSE 'Odd' END AS status FROM orders)
 """
 
 
-@query(_RECORDS + """
+_VOTE_RECORD = _RECORDS + """
 SELECT v.day AS vote_date, v.vote_value, CAST(v.l_suppkey AS VARCHAR) AS person_id, s.s_name AS member_name, v.matter_file, 'Order ' || v.matter_file AS matter_name, 't' AS matter_title, o.o_orderpriority AS matter_type,
   o.status AS matter_status, CASE o.status WHEN ' Passed' THEN 'passed' WHEN 'Odd' THEN 'UNMAPPED' ELSE 'in_progress' END AS lifecycle,
   CASE o.status WHEN ' Passed' THEN 'passed' WHEN 'Odd' THEN 'UNMAPPED' ELSE 'in_progress' END AS final_disposition, v.body AS committee_name, m.meeting_date
-FROM vote v LEFT JOIN supplier s ON v.l_suppkey = s.s_suppkey LEFT JOIN state o ON v.l_orderkey = o.o_orderkey LEFT JOIN meet m ON v.history_id = m.history_id""")
+FROM vote v LEFT JOIN supplier s ON v.l_suppkey = s.s_suppkey LEFT JOIN state o ON v.l_orderkey = o.o_orderkey LEFT JOIN meet m ON v.history_id = m.history_id"""
+
+
+@query(_VOTE_RECORD)
 def medallion_vote_record(s, d):
     return serve.member_vote_record(_gold(s, d)).drop("vote_sk", "matter_sk", "person_sk", "committee_sk", "meeting_sk")
 
 
+@query(_VOTE_RECORD)
+def incremental_vote_record(s, d):
+    """The star after two weeks, each of which reads its own records and the latest captures of the week before."""
+    root = scratch(s, "weeks")
+    bronze, latest_rows = {"matters": _matters(s, d), "meetings": _meetings(s, d)}, {}
+    for week in (EARLY, LATE):
+        silver = {name: build(bronze[source].where(F.col("ingest_date") == week)) for name, (source, build) in staging.SILVER.items()}
+        latest_rows = star.advance(latest_rows, silver, lambda name, df: stored(df, f"{root}/{week}/{name}"))  # noqa: B023
+    return serve.member_vote_record(star.build_gold(latest_rows)).drop("vote_sk", "matter_sk", "person_sk", "committee_sk", "meeting_sk")
+
+
 @query(_RECORDS + """
 SELECT 'dim_matter' AS name, count(*) AS n FROM orders UNION ALL SELECT 'dim_committee', count(*) FROM (SELECT DISTINCT body FROM act UNION SELECT 'Committee R' FROM meet UNION SELECT 'Board' FROM orders)
 UNION ALL SELECT 'dim_person', (SELECT count(DISTINCT l_suppkey) FROM act) + (SELECT count(DISTINCT c_name) FROM orders JOIN customer ON o_custkey = c_custkey) + 1
-UNION ALL SELECT 'dim_document', count(*) FROM (SELECT o_orderkey % 100 FROM orders UNION SELECT event_id % 150 FROM events WHERE event_type = 'signup') UNION ALL SELECT 'dim_meeting', count(*) FROM meet
+UNION ALL SELECT 'dim_document', count(*) FROM (SELECT o_orderkey % 100 FROM orders UNION SELECT document FROM meet) UNION ALL SELECT 'dim_meeting', count(*) FROM meet
 UNION ALL SELECT 'fact_matter_action', count(DISTINCT coalesce(history_id, concat_ws('|', matter_file, day, l_linestatus))) FROM act
 UNION ALL SELECT 'fact_vote', count(*) FROM vote UNION ALL SELECT 'bridge_matter_sponsor', 2 * count(*) FROM orders UNION ALL SELECT 'bridge_matter_document', count(*) FROM orders UNION ALL SELECT 'bridge_meeting_document', count(*) FROM meet""")
 def medallion_gold_counts(s, d):
@@ -831,14 +860,14 @@ def _detail_pages(s, d) -> DataFrame:
 @query(f"""
 WITH line AS ({_LINES})
 SELECT CAST(o.o_orderkey AS VARCHAR) AS file_number, 3::BIGINT AS n_sponsors, 'https://records.example/View.ashx?M=F&ID=' || o.o_orderkey AS attachment, count(l.l_orderkey) AS n_actions,
-  coalesce(string_agg('Board & ' || l.l_partkey || '/' || l.l_linenumber || '/' || CASE WHEN l.l_suppkey % 2 = 0 THEN 2 ELSE 0 END, ',' ORDER BY l.seq), '') AS actions
+  coalesce(string_agg('Board & ' || l.l_partkey || '/' || l.l_linenumber || '/' || CASE WHEN l.l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) THEN 2 ELSE 0 END, ',' ORDER BY l.seq), '') AS actions
 FROM orders o LEFT JOIN line l ON o.o_orderkey = l.l_orderkey WHERE o.o_orderstatus <> 'P' GROUP BY o.o_orderkey""")
 def entity_page_records(s, d):
-    """Detail pages read back, with the votes of the roll calls that exist (even suppliers) put into their actions."""
+    """Detail pages read back, with the votes of the roll calls that exist (suppliers in credit) put into their actions."""
     records, _ = pages.isolate_errors(pages.entity_pages(_detail_pages(s, d), "https://records.example"))
     # The pages' history ids are numbers with a dash here, so they are read from the links again.
     with_ids = records.withColumn("actions", F.transform("actions", lambda a: a.withField("history_id", F.regexp_extract(a["history_url"], "ID=([0-9-]+)", 1))))
-    calls = table(s, d, "lineitem").where("l_suppkey % 2 = 0").select(F.concat_ws("-", "l_orderkey", "l_suppkey").alias("history_id")).distinct()
+    calls = table(s, d, "lineitem").join(table(s, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey", "left_semi").select(F.concat_ws("-", "l_orderkey", "l_suppkey").alias("history_id")).distinct()
     vote = lambda p: F.struct(F.lit(p).alias("person_id"), F.lit(p).alias("person_name"), F.lit("Aye").alias("vote_value"), F.lit(True).alias("known"))
     whole = pages.attach_votes(with_ids, calls.withColumn("votes", F.array(vote("a"), vote("b"))))
     action = lambda a: F.concat(a["body"], F.lit("/"), a["action"], F.lit("/"), F.size(a["votes"]).cast("string"))

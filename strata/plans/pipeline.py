@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.operators import quality
 from strata.sources.schemas import MATTER, MEETING
-from strata.sources.sinks import Layers, as_view
-from strata.streaming.landing import Landed, land_all, landed
+from strata.sources.sinks import Layers, Snapshots, as_view, remove
+from strata.streaming.landing import Landed, batches, land_all, landed
 
 from .serve import member_vote_record
 from .staging import SILVER
-from .star import build_gold, latest_captures, merged_rows
+from .star import Tables, advance, build_gold, latest_captures, merged_rows
+
+ZONES = {"matters": MATTER, "meetings": MEETING}
 
 
 @dataclass
@@ -38,12 +41,59 @@ class Run:
     def transform(self) -> dict[str, DataFrame]:
         """Silver and the latest captures are tables, so each is computed once however many models read it."""
         layers = Layers(self.spark, self.prefix)
-        bronze = {n: landed(self.spark, f"{self.work}/bronze/{n}", d) for n, d in (("matters", MATTER), ("meetings", MEETING))}
+        bronze = {n: landed(self.spark, f"{self.work}/bronze/{n}", d) for n, d in ZONES.items()}
         silver = {name: layers.materialise(build(bronze[source]), "silver", name, ("ingest_date",)) for name, (source, build) in SILVER.items()}
         latest = latest_captures(silver, lambda name, df: layers.materialise(df, "silver", name))
+        return {**silver, **latest, **self._gold(latest)}
+
+    def _gold(self, latest: Tables) -> Tables:
+        layers = Layers(self.spark, self.prefix)
         gold = {name: layers.materialise(df, "gold", name) for name, df in build_gold(latest, self.compat).items()}
         gold["member_vote_record"] = as_view(member_vote_record(gold), "member_vote_record")
-        return {**silver, **latest, **gold}
+        return gold
+
+    def refresh(self) -> Tables:
+        """The same tables as ``transform``, from the batches landed since the last refresh and the latest captures it left.
+
+        A refresh reads only new bronze, adds a part to each silver table, and writes the latest captures anew beside the old ones;
+        gold follows from these. What was applied is written last: a refresh that fails before is done again by the next one, and
+        the parts that it left are never read. The list has a row for each batch, so it is small.
+        """
+        steps = Snapshots(self.spark, f"{self.work}/applied")
+        applied = steps.read()
+        done = sorted(applied.collect(), key=lambda r: r.number) if applied is not None else []
+        new = {zone: [b for b in batches(self.spark, f"{self.work}/bronze/{zone}") if (zone, b) not in {(r.zone, r.batch) for r in done}] for zone in ZONES}
+        part, last = uuid.uuid4().hex, done[-1].part if done else None
+        bronze = {zone: landed(self.spark, f"{self.work}/bronze/{zone}", ddl, new[zone]) for zone, ddl in ZONES.items()}
+        rows = {name: build(bronze[source]) for name, (source, build) in SILVER.items()}
+        at = lambda p, name: f"{self.work}/latest/{p}/{name}"
+        names = [f"int_{name[4:]}" for name in rows]
+        latest = {f"int_{name[4:]}": self.spark.read.schema(df.schema).parquet(at(last, f"int_{name[4:]}")) for name, df in rows.items()} if last else {}
+        if any(new.values()):
+            silver = {}
+            for name, df in rows.items():
+                df.write.parquet(f"{self.work}/silver/{name}/part={part}")
+                silver[name] = self._silver(name, df, [part])
+
+            def store(name: str, df: DataFrame) -> DataFrame:
+                df.write.parquet(at(part, name))
+                return self.spark.read.schema(df.schema).parquet(at(part, name))
+
+            latest = advance(latest, silver, store)
+        gold = self._gold(latest if latest else latest_captures(rows))
+        if any(new.values()):
+            step = [(zone, b, part, (done[-1].number if done else 0) + 1) for zone, found in new.items() for b in found]
+            steps.write(self.spark.createDataFrame([*map(tuple, done), *step], "zone string, batch string, part string, number long").coalesce(1))
+            older = {r.part for r in done} - {last}  # readers may still have the tables of the refresh before
+            for p in older:
+                remove(self.spark, f"{self.work}/latest/{p}")
+        parts = sorted({r.part for r in done} | ({part} if any(new.values()) else set()))
+        silver = {name: self._silver(name, df, parts) for name, df in rows.items()}
+        return {**silver, **{name: latest[name] for name in names if name in latest}, **gold}
+
+    def _silver(self, name: str, like: DataFrame, parts: list[str]) -> DataFrame:
+        base = f"{self.work}/silver/{name}"
+        return self.spark.read.schema(like.schema).parquet(*(f"{base}/part={p}" for p in parts)) if parts else like
 
     def check(self, tables: dict[str, DataFrame]) -> DataFrame:
         t = tables
@@ -65,5 +115,4 @@ class Run:
     def reset(self) -> None:
         """Forget everything that was written; the next run replays the landing zones from the start."""
         Layers(self.spark, self.prefix).reset("silver", "gold")
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.work)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.work)

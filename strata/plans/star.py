@@ -33,6 +33,14 @@ def latest_captures(silver: Tables, store: Callable[[str, DataFrame], DataFrame]
     return out
 
 
+def advance(latest: Tables, silver: Tables, store: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Tables:
+    """The latest captures after further silver rows. Whether a capture wins depends on the winner so far and the new ones only, so no
+    older silver is read; late captures that lose change nothing. An empty ``latest`` starts from the rows alone.
+    """
+    rows = {name: latest[f"int_{name[4:]}"].unionByName(df) if latest else df for name, df in silver.items()}
+    return latest_captures(rows, store)
+
+
 def int_history_to_meeting(agenda_items: DataFrame) -> DataFrame:
     """One meeting per history id, the lowest id as text, so a link can't multiply rows."""
     return lowest_parent(agenda_items, "history_id", "meeting_id").select("history_id", sk("meeting_id").alias("meeting_sk"))

@@ -61,16 +61,26 @@ def land(spark: SparkSession, source: str, ddl: str, key: str, target: str, chec
     return out
 
 
-def _folders(spark: SparkSession, path: str) -> list[str]:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+def _folders(spark: SparkSession, path: str, holding: str = "") -> list[str]:
+    """The folders below ``path`` that hold a file of that name."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    p = hadoop(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and (not holding or fs.exists(hadoop(s.getPath(), holding)))] if fs.exists(p) else []
 
 
-def landed(spark: SparkSession, target: str, ddl: str) -> DataFrame:
-    """The landed table: records with lineage, without the batch column."""
+def batches(spark: SparkSession, target: str) -> list[str]:
+    """The names of the batches that are written whole."""
+    return sorted(n for n in _folders(spark, target, "_SUCCESS") if n.startswith("batch="))
+
+
+def landed(spark: SparkSession, target: str, ddl: str, only: list[str] | None = None) -> DataFrame:
+    """The landed table, or only the named batches of it: records with lineage, without the batch column."""
     full = schema(ddl).add("source_file", "string").add("loaded_at", "timestamp").add("ingest_date", "date").add("batch", "string")
-    return spark.read.schema(full).parquet(target).drop("batch")
+    if only is not None and not only:
+        return spark.createDataFrame([], full).drop("batch")
+    paths = [target] if only is None else [f"{target}/{name}" for name in only]
+    return spark.read.schema(full).option("basePath", target).parquet(*paths).drop("batch")
 
 
 def land_all(spark: SparkSession, streams: dict[str, dict]) -> dict[str, Landed]:
