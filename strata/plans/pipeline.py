@@ -62,34 +62,33 @@ class Run:
         steps = Snapshots(self.spark, f"{self.work}/applied")
         applied = steps.read()
         done = sorted(applied.collect(), key=lambda r: r.number) if applied is not None else []
-        new = {zone: [b for b in batches(self.spark, f"{self.work}/bronze/{zone}") if (zone, b) not in {(r.zone, r.batch) for r in done}] for zone in ZONES}
-        part, last = uuid.uuid4().hex, done[-1].part if done else None
+        known, last = {(r.zone, r.batch) for r in done}, done[-1] if done else None
+        new = {zone: [b for b in batches(self.spark, f"{self.work}/bronze/{zone}") if (zone, b) not in known] for zone in ZONES}
         bronze = {zone: landed(self.spark, f"{self.work}/bronze/{zone}", ddl, new[zone]) for zone, ddl in ZONES.items()}
         rows = {name: build(bronze[source]) for name, (source, build) in SILVER.items()}
+        part = uuid.uuid4().hex if any(new.values()) else None
         at = lambda p, name: f"{self.work}/latest/{p}/{name}"
-        names = [f"int_{name[4:]}" for name in rows]
-        latest = {f"int_{name[4:]}": self.spark.read.schema(df.schema).parquet(at(last, f"int_{name[4:]}")) for name, df in rows.items()} if last else {}
-        if any(new.values()):
-            silver = {}
-            for name, df in rows.items():
-                df.write.parquet(f"{self.work}/silver/{name}/part={part}")
-                silver[name] = self._silver(name, df, [part])
-
-            def store(name: str, df: DataFrame) -> DataFrame:
-                df.write.parquet(at(part, name))
-                return self.spark.read.schema(df.schema).parquet(at(part, name))
-
-            latest = advance(latest, silver, store)
-        gold = self._gold(latest if latest else latest_captures(rows))
-        if any(new.values()):
-            step = [(zone, b, part, (done[-1].number if done else 0) + 1) for zone, found in new.items() for b in found]
+
+        def stored(df: DataFrame, path: str) -> DataFrame:
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        of = lambda name: f"int_{name[4:]}"
+        latest = {of(name): self.spark.read.schema(df.schema).parquet(at(last.part, of(name))) for name, df in rows.items()} if last else {}
+        if part:
+            silver = {name: stored(df, f"{self.work}/silver/{name}/part={part}") for name, df in rows.items()}
+            latest = advance(latest, silver, lambda name, df: stored(df, at(part, name)))
+        elif not last:
+            latest = latest_captures(rows)
+        gold = self._gold(latest)
+        if part:
+            number = last.number + 1 if last else 1
+            step = [(zone, b, part, number) for zone, found in new.items() for b in found]
             steps.write(self.spark.createDataFrame([*map(tuple, done), *step], "zone string, batch string, part string, number long").coalesce(1))
-            older = {r.part for r in done} - {last}  # readers may still have the tables of the refresh before
-            for p in older:
-                remove(self.spark, f"{self.work}/latest/{p}")
-        parts = sorted({r.part for r in done} | ({part} if any(new.values()) else set()))
-        silver = {name: self._silver(name, df, parts) for name, df in rows.items()}
-        return {**silver, **{name: latest[name] for name in names if name in latest}, **gold}
+            for old in {r.part for r in done if r.number < last.number}:  # readers may still have the tables of the refresh before
+                remove(self.spark, f"{self.work}/latest/{old}")
+        parts = sorted({r.part for r in done} | ({part} if part else set()))
+        return {**{name: self._silver(name, df, parts) for name, df in rows.items()}, **latest, **gold}
 
     def _silver(self, name: str, like: DataFrame, parts: list[str]) -> DataFrame:
         base = f"{self.work}/silver/{name}"
