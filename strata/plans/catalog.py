@@ -560,8 +560,14 @@ def cross_slice_link(s, d):
     return orders.join(events, ["o_custkey", "k"]).groupBy("o_orderkey").agg(F.min("event_id").alias("event_id"))
 
 
-def _captured(day: str) -> list[Column]:
-    return [F.lit(f"{day}.json").alias("source_file"), F.lit(day).cast("date").alias("ingest_date"), F.lit(day).cast("timestamp_ntz").alias("loaded_at")]
+def _captures(rows: DataFrame, again: Column) -> DataFrame:
+    """Each row as an early capture, and as a late one where ``again`` holds; one pass over the rows makes both."""
+    both = F.when(again, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    return rows.withColumn("late", F.explode(both)).withColumn("day", F.when(F.col("late"), LATE).otherwise(EARLY))
+
+
+def _captured() -> list[Column]:
+    return [F.concat("day", F.lit(".json")).alias("source_file"), F.col("day").cast("date").alias("ingest_date"), F.col("day").cast("timestamp_ntz").alias("loaded_at")]
 
 
 def _matters(s, d) -> DataFrame:
@@ -576,45 +582,48 @@ def _matters(s, d) -> DataFrame:
     nested = flatten.nest(lines, ["l_orderkey"], fields, "lines", order=list(LINE_ORDER)).withColumnRenamed("l_orderkey", "o_orderkey")
     orders = table(s, d, "orders").join(table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left").join(nested, "o_orderkey", "left")
 
-    def action(early):
-        def one(line, i):
-            history = F.when(line["l_quantity"] <= 45, F.concat_ws("-", "o_orderkey", i))
-            value = F.lit("Excused") if early else line["vote"]
-            votes = F.array(F.struct(line["l_suppkey"].cast("string").alias("person_id"), line["s_name"].alias("person_name"), value.alias("vote_value")))
-            body = F.lit("Early Committee") if early else line["body"]
-            return F.struct(line["date"].alias("date"), body.alias("body"), line["action"].alias("action"), F.lit("Pass").alias("result"), history.alias("history_id"), F.lit(None).cast("string").alias("history_url"), votes.alias("votes"))
+    late = F.col("late")
 
-        return F.transform("lines", one).alias("actions")
+    def action(line, i):
+        history = F.when(line["l_quantity"] <= 45, F.concat_ws("-", "o_orderkey", i))
+        value = F.when(late, line["vote"]).otherwise("Excused")
+        votes = F.array(F.struct(line["l_suppkey"].cast("string").alias("person_id"), line["s_name"].alias("person_name"), value.alias("vote_value")))
+        body = F.when(late, line["body"]).otherwise("Early Committee")
+        return F.struct(line["date"].alias("date"), body.alias("body"), line["action"].alias("action"), F.lit("Pass").alias("result"), history.alias("history_id"), F.lit(None).cast("string").alias("history_url"), votes.alias("votes"))
 
-    status = F.when(F.col("o_orderstatus") == "F", " Passed").when(F.col("o_orderstatus") == "O", "30 Day Rule").otherwise("Odd")
+    status = F.when(~late, "New Business").when(F.col("o_orderstatus") == "F", " Passed").when(F.col("o_orderstatus") == "O", "30 Day Rule").otherwise("Odd")
     base = [F.col("o_orderkey").cast("string").alias("file_number"), F.concat(F.lit("https://records.example/Detail.aspx?ID="), "o_orderkey").alias("detail_url"), F.concat(F.lit("Order "), "o_orderkey").alias("name"), F.lit("t").alias("title"), F.col("o_orderpriority").alias("type")]
     rest = [us("o_orderdate").alias("introduced"), *(F.lit(None).cast("string").alias(c) for c in ("on_agenda", "final_action", "enactment_date", "enactment_number")), F.lit("Board").alias("in_control"), F.array("c_name", F.lit("Mayor")).alias("sponsors"), F.array().cast("array<string>").alias("related_files"), F.array(F.struct(F.lit("Leg Ver1").alias("name"), F.concat(F.lit("https://records.example/View.ashx?ID="), F.col("o_orderkey") % 100).alias("url"))).alias("attachments")]
-    early = orders.select(*base, F.lit("New Business").alias("status"), *rest, action(True), *_captured(EARLY))
-    late = orders.where(F.col("o_orderpriority") != ONCE).select(*base, status.alias("status"), *rest, action(False), *_captured(LATE))
-    return early.unionByName(late)
+    captures = _captures(orders, F.col("o_orderpriority") != ONCE)
+    return captures.select(*base, status.alias("status"), *rest, F.transform("lines", action).alias("actions"), *_captured())
 
 
 def _meetings(s, d) -> DataFrame:
     """Bronze meetings out of all events: an early capture that links the second action of the order that has the event's number, and
     for all but errors a later one that links the first. Each has a document.
     """
-    events = table(s, d, "events")
-    none = F.lit(None).cast("string")
+    captures, none, late = _captures(table(s, d, "events"), F.col("event_type") != "error"), F.lit(None).cast("string"), F.col("late")
+    number, link = F.col("event_id").cast("string"), F.concat(F.col("event_id").cast("string"), F.when(late, "-0").otherwise("-1"))
+    item = F.struct(F.lit(0).cast("long").alias("item_seq"), number.alias("matter_file"), none.alias("matter_url"), *(none.alias(c) for c in ("agenda_number", "matter_name", "matter_type", "matter_status", "title", "action_raw", "action_result")), link.alias("history_id"), none.alias("history_url"))
+    file = F.col("event_id") % 150 + F.when(late, 0).otherwise(200)
+    document = F.struct(F.lit("meeting_agenda").alias("document_source"), F.lit("Agenda").alias("document_title"), F.concat(F.lit("https://records.example/View.ashx?ID="), file).alias("document_url"), none.alias("body_text"))
+    return captures.select(number.alias("meeting_id"), none.alias("event_guid"), F.lit("Committee R").alias("body_name"), dates.format_date("ts").alias("meeting_date"), *(none.alias(c) for c in ("meeting_time", "location", "meeting_subtype", "agenda_status", "minutes_status", "agenda_url", "minutes_url", "video_clip_id")), F.array(document).alias("documents"), F.array(item).alias("agenda_items"), *_captured())
+
+
+#: Latest tables that the vote record alone reads more than once; of all gold tables, all are.
+_FOR_VOTES = ("int_matters", "int_meetings", "int_actions", "int_votes")
 
-    def capture(rows, day, seq, file):
-        item = F.struct(F.lit(0).cast("long").alias("item_seq"), F.col("event_id").cast("string").alias("matter_file"), none.alias("matter_url"), *(none.alias(c) for c in ("agenda_number", "matter_name", "matter_type", "matter_status", "title", "action_raw", "action_result")), F.concat(F.col("event_id").cast("string"), F.lit(f"-{seq}")).alias("history_id"), none.alias("history_url"))
-        document = F.struct(F.lit("meeting_agenda").alias("document_source"), F.lit("Agenda").alias("document_title"), F.concat(F.lit("https://records.example/View.ashx?ID="), F.col("event_id") % 150 + file).alias("document_url"), none.alias("body_text"))
-        return rows.select(F.col("event_id").cast("string").alias("meeting_id"), none.alias("event_guid"), F.lit("Committee R").alias("body_name"), dates.format_date("ts").alias("meeting_date"), *(none.alias(c) for c in ("meeting_time", "location", "meeting_subtype", "agenda_status", "minutes_status", "agenda_url", "minutes_url", "video_clip_id")), F.array(document).alias("documents"), F.array(item).alias("agenda_items"), *_captured(day))
 
-    return capture(events, EARLY, 1, 200).unionByName(capture(events.where("event_type <> 'error'"), LATE, 0, 0))
+def _bronze(s, d, root: str) -> dict[str, DataFrame]:
+    return {"matters": stored(_matters(s, d), f"{root}/matters"), "meetings": stored(_meetings(s, d), f"{root}/meetings")}
 
 
-def _gold(s, d):
-    """Bronze and the latest captures are written once: each of them is read by several models."""
+def _gold(s, d, several: tuple[str, ...] | None = None):
+    """Bronze and those latest captures that ``several`` models read (by default all) are written once, the others read as they are needed."""
     root = scratch(s, "medallion")
-    bronze = {"matters": stored(_matters(s, d), f"{root}/matters"), "meetings": stored(_meetings(s, d), f"{root}/meetings")}
+    bronze = _bronze(s, d, root)
     silver = {name: build(bronze[source]) for name, (source, build) in staging.SILVER.items()}
-    return star.build_gold(star.latest_captures(silver, lambda name, df: stored(df, f"{root}/{name}")))
+    return star.build_gold(star.latest_captures(silver, lambda name, df: df if several and name not in several else stored(df, f"{root}/{name}")))
 
 
 _RECORDS = """
@@ -637,14 +646,14 @@ FROM vote v LEFT JOIN supplier s ON v.l_suppkey = s.s_suppkey LEFT JOIN state o
 
 @query(_VOTE_RECORD)
 def medallion_vote_record(s, d):
-    return serve.member_vote_record(_gold(s, d)).drop("vote_sk", "matter_sk", "person_sk", "committee_sk", "meeting_sk")
+    return serve.member_vote_record(_gold(s, d, _FOR_VOTES)).drop("vote_sk", "matter_sk", "person_sk", "committee_sk", "meeting_sk")
 
 
 @query(_VOTE_RECORD)
 def incremental_vote_record(s, d):
     """The star after two weeks, each of which reads its own records and the latest captures of the week before."""
     root = scratch(s, "weeks")
-    bronze, latest_rows = {"matters": _matters(s, d), "meetings": _meetings(s, d)}, {}
+    bronze, latest_rows = _bronze(s, d, root), {}
     for week in (EARLY, LATE):
         silver = {name: build(bronze[source].where(F.col("ingest_date") == week)) for name, (source, build) in staging.SILVER.items()}
         latest_rows = star.advance(latest_rows, silver, lambda name, df: stored(df, f"{root}/{week}/{name}"))  # noqa: B023
@@ -668,7 +677,8 @@ SELECT CAST(v.l_suppkey AS VARCHAR) AS id, CAST(v.l_suppkey AS BIGINT) AS distri
 FROM vote v WHERE l_suppkey < 11 AND day >= DATE '1997-01-01' AND day < DATE '1998-01-01' GROUP BY 1, 2""")
 def rep_tally(s, d):
     """The dashboard's document, read back and counted."""
-    payload = serve.rep_payload(serve.member_vote_record(_gold(s, d)), {str(i): i for i in range(11)}, 1997, "2024-01-08")
+    districts = {str(i): i for i in range(11)}
+    payload = serve.rep_payload(serve.member_vote_record(_gold(s, d, _FOR_VOTES), list(districts), 1997), districts, 1997, "2024-01-08")
     reps = F.from_json("payload", "reps array<struct<id:string,district:bigint,aye:bigint,nay:bigint,absent:bigint,total:bigint,votes:array<struct<date:string>>>>")
     rep = payload.select(F.explode(reps["reps"]).alias("r")).select("r.*")
     return rep.select("id", "district", "aye", "nay", "absent", "total", F.size("votes").cast("long").alias("n_votes"), F.col("votes")[0]["date"].alias("latest"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.codes import VOTES
 from strata.functions.dates import format_date, in_year
+from strata.functions.keys import sk
 
 BUCKETS = tuple(bucket for bucket, _ in VOTES.values())
 
@@ -18,14 +19,19 @@ def denormalise(facts: DataFrame, *dimensions: tuple[DataFrame, str]) -> DataFra
     return facts
 
 
-def member_vote_record(gold: dict[str, DataFrame]) -> DataFrame:
-    """18 columns, one row per vote."""
+def member_vote_record(gold: dict[str, DataFrame], people: list[str] | None = None, year: int | None = None) -> DataFrame:
+    """18 columns, one row per vote: all votes, or those of stated people and of a year, which are picked before they meet the dimensions."""
+    facts = gold["fact_vote"]
+    if people is not None:
+        facts = facts.where(F.col("person_sk").isin(*(sk(F.lit(p)) for p in people)))
+    if year is not None:
+        facts = facts.where(in_year("vote_date", year))
     person = gold["dim_person"].select("person_sk", "person_id", F.col("full_name").alias("member_name"))
     matter = gold["dim_matter"].select(
         "matter_sk", "matter_file", "matter_name", "matter_title", "matter_type", F.col("status").alias("matter_status"), "lifecycle", "final_disposition"
     )
     meeting = gold["dim_meeting"].select("meeting_sk", "meeting_date")
-    wide = denormalise(gold["fact_vote"], (person, "person_sk"), (matter, "matter_sk"), (gold["dim_committee"], "committee_sk"), (meeting, "meeting_sk"))
+    wide = denormalise(facts, (person, "person_sk"), (matter, "matter_sk"), (gold["dim_committee"], "committee_sk"), (meeting, "meeting_sk"))
     return wide.select(
         *("vote_sk", "vote_date", "vote_value", "person_id", "member_name", "matter_file", "matter_name", "matter_title", "matter_type", "matter_status"),
         *("lifecycle", "final_disposition", "committee_name", "meeting_date", "matter_sk", "person_sk", "committee_sk", "meeting_sk"),
