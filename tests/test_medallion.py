@@ -101,6 +101,11 @@ def test_run_lands_latest_and_serves(spark, run):
     with pytest.raises(quality.QualityError, match="unmapped"):
         quality.fail_on(run.check(t), "unmapped_lifecycle")
     assert t["member_vote_record"].columns == "vote_sk vote_date vote_value person_id member_name matter_file matter_name matter_title matter_type matter_status lifecycle final_disposition committee_name meeting_date matter_sk person_sk committee_sk meeting_sk".split()
+    # People and a year picked first give the rows that picking them last gives; an unknown date is in no year.
+    for who, year in ((["p1"], None), (["p2", "nobody"], 2026), ([], None), (None, 2026), (["p1"], 2025)):
+        whole = t["member_vote_record"].where(F.col("person_id").isin(who) if who is not None else F.lit(True)).where(F.year("vote_date") == year if year else F.lit(True))
+        assert sorted(map(str, serve.member_vote_record(t, who, year).collect())) == sorted(map(str, whole.collect()))
+    assert serve.member_vote_record(t, ["p1"]).count() == 2 and serve.member_vote_record(t, None, 2026).count() == 2
 
 
 def test_replay_equals_incremental(spark, run):
