@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language, licences, media, mixing, near_dedup, packing, pii, secrets, substrings
+from . import alignment, centroids, fingerprints, language, licences, media, mixing, near_dedup, packing, pii, secrets, slack, substrings
 
 QUERIES = {
     "op1_near_dedup_omh": near_dedup.op1_near_dedup_omh,
@@ -15,7 +15,11 @@ QUERIES = {
     "op8_secrets_worklist": secrets.op8_secrets_worklist,
     "op9_repeats_difference_cover": substrings.op9_repeats_difference_cover,
     "op10_language_crf": language.op10_language_crf,
+    "op11_pack_min_slack": slack.op11_pack_min_slack,
+    "op12_pca_filtered_kmeans": centroids.op12_pca_filtered_kmeans,
+    "op13_align_tokenizers": alignment.op13_align_tokenizers,
 }
 ORACLE_SQL = {
     "op7_mix_systematic": mixing.ORACLE_SQL,
+    "op12_pca_filtered_kmeans": centroids.ORACLE_SQL,
 }
