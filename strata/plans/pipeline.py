@@ -6,17 +6,21 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from strata.operators import quality
+from strata.sources.buckets import BucketStore
 from strata.sources.schemas import MATTER, MEETING
-from strata.sources.sinks import Layers, Snapshots, as_view, remove
+from strata.sources.sinks import Layers, as_view, remove, stored
 from strata.streaming.landing import Landed, batches, land_all, landed
 
+from .incremental import VERSION, Changes, gold, in_force, latest
 from .serve import member_vote_record
 from .staging import SILVER
-from .star import Tables, advance, build_gold, latest_captures, merged_rows
+from .star import ENTITIES, Tables, build_gold, latest_captures, merged_rows
 
 ZONES = {"matters": MATTER, "meetings": MEETING}
+KEYS = {entity: key for entity, key, _ in ENTITIES}
 
 
 @dataclass
@@ -28,6 +32,7 @@ class Run:
     work: str
     prefix: str = ""
     compat: bool = False
+    buckets: int = 64
     landed: dict[str, Landed] = field(default_factory=dict)
 
     def _paths(self, name: str) -> dict:
@@ -38,61 +43,62 @@ class Run:
         self.landed = land_all(self.spark, {n: {**s, **self._paths(n)} for n, s in streams.items()})
         return self.landed
 
+    def withdraw(self, zone: str, rows: DataFrame) -> None:
+        """Entities that the source no longer has: their key (matter_file or meeting_id), and when and where that was seen (ingest_date,
+        loaded_at, source_file). A capture after that brings one back.
+        """
+        rows.write.parquet(f"{self.work}/withdrawn/{zone}/batch={uuid.uuid4().hex}")
+
+    def _withdrawn(self, silver: Tables, only: dict[str, list[str]] | None = None) -> Tables:
+        out: Tables = {}
+        for zone, key in KEYS.items():
+            base = f"{self.work}/withdrawn/{zone}"
+            names = batches(self.spark, base) if only is None else only[zone]
+            if names:
+                lineage = [f for f in silver[f"stg_{zone}"].schema if f.name in (key, *VERSION)]
+                out[f"stg_{zone}"] = self.spark.read.schema(T.StructType(lineage)).parquet(*(f"{base}/{n}" for n in names))
+        return out
+
     def transform(self) -> dict[str, DataFrame]:
         """Silver and the latest captures are tables, so each is computed once however many models read it."""
         layers = Layers(self.spark, self.prefix)
         bronze = {n: landed(self.spark, f"{self.work}/bronze/{n}", d) for n, d in ZONES.items()}
         silver = {name: layers.materialise(build(bronze[source]), "silver", name, ("ingest_date",)) for name, (source, build) in SILVER.items()}
-        latest = latest_captures(silver, lambda name, df: layers.materialise(df, "silver", name))
-        return {**silver, **latest, **self._gold(latest)}
-
-    def _gold(self, latest: Tables) -> Tables:
-        layers = Layers(self.spark, self.prefix)
+        latest = latest_captures(in_force(silver, self._withdrawn(silver)), lambda name, df: layers.materialise(df, "silver", name))
         gold = {name: layers.materialise(df, "gold", name) for name, df in build_gold(latest, self.compat).items()}
-        gold["member_vote_record"] = as_view(member_vote_record(gold), "member_vote_record")
-        return gold
+        return {**silver, **latest, **gold, "member_vote_record": as_view(member_vote_record(gold), "member_vote_record")}
 
     def refresh(self) -> Tables:
-        """The same tables as ``transform``, from the batches landed since the last refresh and the latest captures it left.
+        """The same tables as ``transform``, from what has landed or been withdrawn since the last refresh.
 
-        A refresh reads only new bronze, adds a part to each silver table, and writes the latest captures anew beside the old ones;
-        gold follows from these. What was applied is written last: a refresh that fails before is done again by the next one, and
-        the parts that it left are never read. The list has a row for each batch, so it is small.
+        A refresh reads only new bronze, adds a part to each silver table, and sends what its captures change through the models
+        (``incremental``): of the latest captures and of gold only those buckets are read and written that hold a key it
+        touches. All tables and the list of what was applied become visible by one commit: a refresh that fails before is
+        done again by the next one. The list has a row for each batch, so it is small.
         """
-        steps = Snapshots(self.spark, f"{self.work}/applied")
-        applied = steps.read()
-        done = sorted(applied.collect(), key=lambda r: r.number) if applied is not None else []
-        known, last = {(r.zone, r.batch) for r in done}, done[-1] if done else None
-        new = {zone: [b for b in batches(self.spark, f"{self.work}/bronze/{zone}") if (zone, b) not in known] for zone in ZONES}
-        bronze = {zone: landed(self.spark, f"{self.work}/bronze/{zone}", ddl, new[zone]) for zone, ddl in ZONES.items()}
+        store = BucketStore(self.spark, f"{self.work}/star", self.buckets)
+        done, parts = store.notes.get("applied", []), store.notes.get("parts", [])
+        found = {f"{base}/{zone}": batches(self.spark, f"{self.work}/{base}/{zone}") for zone in ZONES for base in ("bronze", "withdrawn")}
+        new = {at: [b for b in names if f"{at}/{b}" not in set(done)] for at, names in found.items()}
+        bronze = {zone: landed(self.spark, f"{self.work}/bronze/{zone}", ddl, new[f"bronze/{zone}"]) for zone, ddl in ZONES.items()}
         rows = {name: build(bronze[source]) for name, (source, build) in SILVER.items()}
-        part = uuid.uuid4().hex if any(new.values()) else None
-        at = lambda p, name: f"{self.work}/latest/{p}/{name}"
-
-        def stored(df: DataFrame, path: str) -> DataFrame:
-            df.write.parquet(path)
-            return self.spark.read.schema(df.schema).parquet(path)
-
-        of = lambda name: f"int_{name[4:]}"
-        latest = {of(name): self.spark.read.schema(df.schema).parquet(at(last.part, of(name))) for name, df in rows.items()} if last else {}
-        if part:
+        if any(new.values()) or not parts:
+            part = uuid.uuid4().hex
             silver = {name: stored(df, f"{self.work}/silver/{name}/part={part}") for name, df in rows.items()}
-            latest = advance(latest, silver, lambda name, df: stored(df, at(part, name)))
-        elif not last:
-            latest = latest_captures(rows)
-        gold = self._gold(latest)
-        if part:
-            number = last.number + 1 if last else 1
-            step = [(zone, b, part, number) for zone, found in new.items() for b in found]
-            steps.write(self.spark.createDataFrame([*map(tuple, done), *step], "zone string, batch string, part string, number long").coalesce(1))
-            for old in {r.part for r in done if r.number < last.number}:  # readers may still have the tables of the refresh before
-                remove(self.spark, f"{self.work}/latest/{old}")
-        parts = sorted({r.part for r in done} | ({part} if part else set()))
-        return {**{name: self._silver(name, df, parts) for name, df in rows.items()}, **latest, **gold}
-
-    def _silver(self, name: str, like: DataFrame, parts: list[str]) -> DataFrame:
-        base = f"{self.work}/silver/{name}"
-        return self.spark.read.schema(like.schema).parquet(*(f"{base}/part={p}" for p in parts)) if parts else like
+            changes = f"{self.work}/changes/{part}"
+            Changes(store, lambda name, df: stored(df, f"{changes}/{name}"), self.compat).apply(silver, self._withdrawn(silver, {z: new[f"withdrawn/{z}"] for z in ZONES}))
+            parts, tables = [*parts, part], self._gold(store)
+            store.commit(applied=[*done, *(f"{at}/{b}" for at, names in new.items() for b in names)], parts=parts)
+            remove(self.spark, changes)
+            store.vacuum()
+        else:
+            tables = self._gold(store)
+        silver = {name: self.spark.read.schema(df.schema).parquet(*(f"{self.work}/silver/{name}/part={p}" for p in parts)) for name, df in rows.items()}
+        return {**silver, **latest(store), **tables}
+
+    def _gold(self, store: BucketStore) -> Tables:
+        tables = gold(store)
+        return {**tables, "member_vote_record": as_view(member_vote_record(tables), "member_vote_record")}
 
     def check(self, tables: dict[str, DataFrame]) -> DataFrame:
         t = tables

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.codes import disposition, first_is, lifecycle
@@ -16,8 +16,8 @@ from strata.operators.quality import merged, report
 Tables = dict[str, DataFrame]
 #: Where a person's key comes from, and how the key of one without id begins.
 FROM_VOTES, FROM_SPONSORS, NAME_KEY = "vote", "sponsor_only", "NAME:"
-_MATTER_CHILDREN = ("actions", "votes", "sponsors", "attachments")
-_MEETING_CHILDREN = ("agenda_items", "meeting_documents")
+#: Entities with their key and the tables of their child rows.
+ENTITIES = (("matters", "matter_file", ("actions", "votes", "sponsors", "attachments")), ("meetings", "meeting_id", ("agenda_items", "meeting_documents")))
 
 
 def latest_captures(silver: Tables, store: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Tables:
@@ -26,7 +26,7 @@ def latest_captures(silver: Tables, store: Callable[[str, DataFrame], DataFrame]
     ``store(name, df)`` may write a table and return it as read back; the entities are stored before their children join them.
     """
     out: Tables = {}
-    for entity, key, children in (("matters", "matter_file", _MATTER_CHILDREN), ("meetings", "meeting_id", _MEETING_CHILDREN)):
+    for entity, key, children in ENTITIES:
         entities = out[f"int_{entity}"] = store(f"int_{entity}", latest_wins(silver[f"stg_{entity}"], [key]))
         for child in children:
             out[f"int_{child}"] = store(f"int_{child}", keep_latest_children(silver[f"stg_{child}"], entities, [key]))
@@ -74,19 +74,26 @@ def dim_committee(actions: DataFrame, meetings: DataFrame, matters: DataFrame) -
     return names.select(sk("name").alias("committee_sk"), F.col("name").alias("committee_name"))
 
 
-def two_populations(identified: DataFrame, named: DataFrame, id_col: str, name: str, compat: bool = False) -> DataFrame:
-    """key, id, name, id_source: those with an id, then names that none of them has.
-
-    An id has one row: its latest name by action_date where the table has one, else the greatest name. In compat mode it has
-    a row for each name.
+def identified(people: DataFrame, id_col: str, name: str, compat: bool = False) -> DataFrame:
+    """key, id, name, id_source of those with an id. An id has one row: its latest name by action_date where the table has one, else
+    the greatest name. In compat mode it has a row for each name.
     """
-    known = identified.where(F.col(id_col).isNotNull()).select(id_col, F.col(name).alias("full_name"), *[c for c in ("action_date",) if c in identified.columns])
+    known = people.where(F.col(id_col).isNotNull()).select(id_col, F.col(name).alias("full_name"), *[c for c in ("action_date",) if c in people.columns])
     order = [F.col("action_date").desc_nulls_last()] if "action_date" in known.columns else []
-    one = known.select(id_col, "full_name").distinct() if compat else dedup_by_key(known, [id_col], [*order, F.col("full_name").desc_nulls_last()]).select(id_col, "full_name")
-    only = named.select(F.col(named.columns[0]).alias("full_name")).distinct().join(known.select("full_name").distinct(), "full_name", "left_anti")
-    first = one.select(sk(id_col).alias("person_sk"), id_col, "full_name", F.lit(FROM_VOTES).alias("id_source"))
-    second = only.select(F.xxhash64(F.concat(F.lit(NAME_KEY), "full_name")).alias("person_sk"), F.lit(None).cast("string").alias(id_col), "full_name", F.lit(FROM_SPONSORS).alias("id_source"))
-    return first.unionByName(second)
+    one = known.select(id_col, "full_name").distinct() if compat else dedup_by_key(known, [id_col], [*order, F.col("full_name").desc_nulls_last()])
+    return one.select(sk(id_col).alias("person_sk"), id_col, "full_name", F.lit(FROM_VOTES).alias("id_source"))
+
+
+def named_only(names: DataFrame, id_col: str) -> DataFrame:
+    """The same columns for different names (full_name) that nobody with an id has."""
+    return names.select(F.xxhash64(F.concat(F.lit(NAME_KEY), "full_name")).alias("person_sk"), F.lit(None).cast("string").alias(id_col), "full_name", F.lit(FROM_SPONSORS).alias("id_source"))
+
+
+def two_populations(people: DataFrame, named: DataFrame, id_col: str, name: str, compat: bool = False) -> DataFrame:
+    """key, id, name, id_source: those with an id, then names that none of them has."""
+    known = people.where(F.col(id_col).isNotNull()).select(F.col(name).alias("full_name")).distinct()
+    only = named.select(F.col(named.columns[0]).alias("full_name")).distinct().join(known, "full_name", "left_anti")
+    return identified(people, id_col, name, compat).unionByName(named_only(only, id_col))
 
 
 def dim_person(votes: DataFrame, sponsors: DataFrame, compat: bool = False) -> DataFrame:
@@ -108,9 +115,13 @@ def dim_meeting(meetings: DataFrame) -> DataFrame:
     return meetings.select(sk("meeting_id").alias("meeting_sk"), "meeting_id", sk("body_name").alias("committee_sk"), "body_name", *kept)
 
 
+def action_key() -> Column:
+    return coalesced_key("history_id", "matter_file", "action_date", "action_type")
+
+
 def fact_matter_action(actions: DataFrame, history: DataFrame) -> DataFrame:
     """Key: history_id, else matter, date and type; equal keys leave the earliest action."""
-    keyed = actions.withColumn("matter_action_sk", coalesced_key("history_id", "matter_file", "action_date", "action_type"))
+    keyed = actions.withColumn("matter_action_sk", action_key())
     one = dedup_by_key(keyed, ["matter_action_sk"], ["action_date", "matter_file", "action_seq"])
     return one.join(history, "history_id", "left").select(
         "matter_action_sk",
@@ -129,12 +140,21 @@ def merged_rows(latest: Tables) -> DataFrame:
     return report(merged(votes, ["history_id", "person_id"], "fact_vote", "vote_sk"), merged(actions, ["history_id", *rest], "fact_matter_action", "matter_action_sk"))
 
 
-def fact_vote(votes: DataFrame, actions: DataFrame, history: DataFrame) -> DataFrame:
-    """One row per history id and person; the vote's body is its action's."""
-    keyed = votes.withColumn("vote_sk", sk("history_id", "person_id"))
-    one = dedup_by_key(keyed, ["vote_sk"], ["action_date", "matter_file", "action_seq", "vote_value_raw"])
+def with_body(votes: DataFrame, actions: DataFrame) -> DataFrame:
+    """Votes with the body of their action."""
     body = dedup_by_key(actions.select("matter_file", "action_seq", "body"), ["matter_file", "action_seq"], ["body"])
-    return one.join(body, ["matter_file", "action_seq"], "left").join(history, "history_id", "left").select(
+    return votes.join(body, ["matter_file", "action_seq"], "left")
+
+
+def first_votes(votes: DataFrame) -> DataFrame:
+    """One row per history id and person."""
+    keyed = votes.withColumn("vote_sk", sk("history_id", "person_id"))
+    return dedup_by_key(keyed, ["vote_sk"], ["action_date", "matter_file", "action_seq", "vote_value_raw"])
+
+
+def vote_facts(votes: DataFrame, history: DataFrame) -> DataFrame:
+    """Votes that have their key and body, with their meeting."""
+    return votes.join(history, "history_id", "left").select(
         "vote_sk",
         sk("matter_file").alias("matter_sk"),
         sk("person_id").alias("person_sk"),
@@ -146,6 +166,11 @@ def fact_vote(votes: DataFrame, actions: DataFrame, history: DataFrame) -> DataF
     )
 
 
+def fact_vote(votes: DataFrame, actions: DataFrame, history: DataFrame) -> DataFrame:
+    """One row per history id and person; the vote's body is its action's."""
+    return vote_facts(with_body(first_votes(votes), actions), history)
+
+
 def bridge_matter_sponsor(sponsors: DataFrame, person: DataFrame, compat: bool = False) -> DataFrame:
     """A sponsor listed twice counts once, by its first position (compat: 'co' before 'primary')."""
     resolved = conform(sponsors, "sponsor_name", person.groupBy("full_name").agg(F.min("person_sk").alias("person_sk")), "full_name", "person_sk")
