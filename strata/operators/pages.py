@@ -1,7 +1,7 @@
-"""Records from HTML pages, as expressions over a page table: labelled fields, grids of rows, anchors, roll calls.
+"""Records from HTML pages: labelled fields, grids of rows, anchors, roll calls.
 
-All of it is built-in functions over whole columns: script, style and comments go first, then tables, rows and cells are
-found by pattern and reshaped with array functions, so a malformed page costs its own row at most.
+A page is read once into a tree of labels, anchors and tables (``tags``), whatever case, quotes or end tags it uses;
+everything else picks from that struct with built-in functions, so a malformed page costs its own row at most.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from strata.functions.keys import url_id
 from strata.functions.text import absolute_url, normalised, split_names, split_suffix, unescaped
 
 from .flatten import optional_structs, renest
+from .tags import with_tree
 
 #: Roll-call literals known without a person link.
 VOTE_LITERALS = ("Aye", "No", "Excused", "Absent")
@@ -35,27 +36,28 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def labelled(html: Column, name: str) -> Column:
-    """Text of the element whose id is ``name`` or ends with it."""
-    return plain(found(html, rf'(?s)<(\w+)\b[^>]*\bid="[^"]*{name}"[^>]*>(.*?)</\1>', 2))
+def first(items: Column) -> Column:
+    return F.try_element_at(items, F.lit(1))
 
 
-def link_of(html: Column, name: str) -> Column:
-    """href of the anchor whose id ends with ``name``."""
-    return F.coalesce(found(html, rf'<a\b[^>]*\bid="[^"]*{name}"[^>]*\bhref="([^"]*)"'), found(html, rf'<a\b[^>]*\bhref="([^"]*)"[^>]*\bid="[^"]*{name}"'))
+def labelled(tree: Column, name: str, what: str = "text") -> Column:
+    """Text (or href) of the first element whose id ends with ``name``."""
+    return first(F.filter(tree["labels"], lambda x: x["id"].endswith(name)))[what]
 
 
-def grid(html: Column, marker: str = "rgMasterTable") -> Column:
-    """Inside of the first table whose tag carries the marker (an id or class); null if there is none."""
-    return found(html, rf"(?s)<table\b[^>]*{marker}[^>]*>(.*?)</table>")
+def link_of(tree: Column, name: str) -> Column:
+    """Link of the first anchor whose id ends with ``name``."""
+    return first(F.filter(tree["labels"], lambda x: x["id"].endswith(name) & x["href"].isNotNull()))["href"]
 
 
-def rows(fragment: Column) -> Column:
-    """Array of structs (markup, cells) of a grid's rows. Cells are split here once; what follows only picks from them."""
-    body = F.coalesce(found(fragment, r"(?s)<tbody\b[^>]*>(.*?)</tbody>"), fragment)
-    each = F.regexp_extract_all(body, F.lit(r"(?s)<tr\b[^>]*>(.*?)</tr>"), 1)
-    split = F.transform(each, lambda r: F.struct(r.alias("markup"), F.regexp_extract_all(r, F.lit(r"(?s)<td\b[^>]*>(.*?)</td>"), 1).alias("cells")))
-    return F.coalesce(split, F.array().cast("array<struct<markup:string,cells:array<string>>>"))
+def grid(tree: Column, marker: str = "rgMasterTable") -> Column:
+    """The first table whose tag carries the marker (in an id or class); null if there is none."""
+    return first(F.filter(tree["tables"], lambda t: t["attributes"].contains(marker)))
+
+
+def rows(table: Column) -> Column:
+    """Array of structs (attributes, cells) of a table's own rows; empty without a table."""
+    return F.coalesce(table["rows"], F.array().cast("array<struct<attributes:string,cells:array<struct<text:string,links:array<string>,attributes:string>>>>"))
 
 
 def n_cells(row: Column) -> Column:
@@ -63,31 +65,32 @@ def n_cells(row: Column) -> Column:
 
 
 def cell(row: Column, i: int) -> Column:
-    """Markup of the i-th cell, from 0; negative counts from the end."""
+    """The i-th cell, from 0; negative counts from the end."""
     return F.try_element_at(row["cells"], F.lit(i + 1 if i >= 0 else i))
 
 
 def text_cell(row: Column, i: int) -> Column:
-    return plain(cell(row, i))
+    return cell(row, i)["text"]
 
 
-def href(fragment: Column, contains: str = "") -> Column:
-    return unescaped(found(fragment, rf'(?i)<a\b[^>]*\bhref="([^"]*{contains}[^"]*)"'))
+def href(at: Column, pattern: str = "") -> Column:
+    """The first link of a cell that the pattern is found in."""
+    return first(F.filter(at["links"], lambda x: x.rlike(pattern)))
 
 
-def opened(fragment: Column) -> Column:
-    """Target of a pop-up handler: radopen('target'...)."""
-    return unescaped(found(fragment, r"(?i)radopen\('([^']*)'"))
+def opened(row: Column) -> Column:
+    """Target of a pop-up handler anywhere in a row: radopen('target'...)."""
+    return found(row["attributes"], r"""(?i)radopen\(\s*['"]([^'"]*)['"]""")
 
 
-def clip(fragment: Column) -> Column:
-    return found(fragment, r"ID1=(\d+)")
+def clip(at: Column) -> Column:
+    return found(at["attributes"], r"ID1=(\d+)")
 
 
 def calendar_rows(pages: DataFrame, base: str, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """One row per meeting of a calendar grid. Rows with too few cells or without a detail link that has id and guid are skipped."""
-    row = F.explode(F.filter(rows(grid(visible(html))), lambda r: n_cells(r) >= MIN_CELLS)).alias("row")
-    each = pages.select(*keep, row)
+    row = F.explode(F.filter(rows(grid(F.col("tree"))), lambda r: n_cells(r) >= MIN_CELLS)).alias("row")
+    each = with_tree(pages, html, keep).select(*keep, row)
     r = F.col("row")
     detail = href(cell(r, 5), r"MeetingDetail\.aspx")
     place, kind = split_suffix(text_cell(r, 4))
@@ -119,12 +122,12 @@ def without_drafts(meetings: DataFrame, status: str = "minutes_status") -> DataF
 
 def meeting_pages(pages: DataFrame, base: str, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Header fields and agenda_items of meeting pages; item_seq counts all rows of the grid, skipped ones too."""
-    h = visible(html)
+    h = F.col("tree")
     place, kind = split_suffix(labelled(h, "lblLocation"))
     link = lambda name: absolute_url(link_of(h, name), base)
 
     def item(r: Column, i: Column) -> Column:
-        target = opened(r["markup"])
+        target = opened(r)
         return F.struct(
             i.cast("long").alias("item_seq"),
             text_cell(r, 0).alias("matter_file"),
@@ -142,7 +145,7 @@ def meeting_pages(pages: DataFrame, base: str, html: str = "html", keep: tuple[s
         )
 
     items = F.filter(F.transform(rows(grid(h)), item), lambda x: x["n_cells"] >= MIN_CELLS)
-    return pages.select(
+    return with_tree(pages, html, keep).select(
         *keep,
         labelled(h, "hypName").alias("body_name"),
         labelled(h, "lblDate").alias("meeting_date"),
@@ -153,7 +156,7 @@ def meeting_pages(pages: DataFrame, base: str, html: str = "html", keep: tuple[s
         labelled(h, "lblMinutesStatus").alias("minutes_status"),
         link("hypAgenda").alias("agenda_url"),
         link("hypMinutes").alias("minutes_url"),
-        clip(F.col(html)).alias("video_clip_id"),
+        clip(h).alias("video_clip_id"),
         F.transform(items, lambda x: x.dropFields("n_cells")).alias("agenda_items"),
         F.when(grid(h).isNull(), F.lit("no agenda grid")).alias("error"),
     )
@@ -174,7 +177,7 @@ def meeting_documents(meetings: DataFrame, transcript_base: str) -> DataFrame:
     return meetings.withColumn("documents", documents)
 
 
-def roll_call(html: Column) -> Column:
+def roll_call(tree: Column) -> Column:
     """Array of votes: a row counts if it links a person, or else if its last cell is a known literal; the value is the
     last cell, as it stands, and ``known`` says whether it is one of the literals.
     """
@@ -184,32 +187,34 @@ def roll_call(html: Column) -> Column:
         counts = (n_cells(r) >= 2) & value.isNotNull() & (linked.isNotNull() | (person.isNotNull() & value.isin(*VOTE_LITERALS)))
         return F.when(counts, F.struct(url_id(linked).alias("person_id"), F.coalesce(person, F.lit("")).alias("person_name"), value.alias("vote_value"), value.isin(*VOTE_LITERALS).alias("known")))
 
-    return F.array_compact(F.transform(rows(grid(html)), vote))
+    return F.array_compact(F.transform(rows(grid(tree)), vote))
 
 
 def roll_call_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """history_id (from the page's URL) and votes."""
-    return pages.select(url_id(url).alias("history_id"), roll_call(visible(html)).alias("votes"))
+    calls = with_tree(pages, html, (url,))
+    # A null page has no votes, not an empty list of them.
+    return calls.select(url_id(url).alias("history_id"), F.when(F.col("tree").isNotNull(), roll_call(F.col("tree"))).alias("votes"))
 
 
 def entity_pages(pages: DataFrame, base: str, html: str = "html", url: str = "url") -> DataFrame:
     """The nested matter record of each detail page, its actions without votes. A page without grid has no actions and says so."""
-    h = visible(html)
+    h = F.col("tree")
     label = {
         "file_number": "lblFile2", "name": "lblName2", "title": "lblTitle2", "type": "lblType2", "status": "lblStatus2", "introduced": "lblIntroduced2",
         "on_agenda": "lblOnAgenda2", "final_action": "lblPassed2", "enactment_date": "lblEnactmentDate2", "enactment_number": "lblEnactmentNumber2", "in_control": "hypInControlOf2",
     }
-    anchors = F.regexp_extract_all(h, F.lit(r'(?s)(<a\b[^>]*\bhref="[^"]*View\.ashx\?M=F[^"]*"[^>]*>.*?</a>)'), 1)
-    attachments = F.transform(anchors, lambda a: F.struct(plain(a).alias("name"), absolute_url(href(a), base).alias("url")))
+    files = F.filter(h["anchors"], lambda a: a["href"].contains("View.ashx?M=F"))
+    attachments = F.transform(files, lambda a: F.struct(a["text"].alias("name"), absolute_url(a["href"], base).alias("url")))
     history = grid(h, "gridLegislation")
 
     def action(r: Column) -> Column:
-        target = opened(r["markup"])
+        target = opened(r)
         texts = {"date": 0, "body": 2, "action": 3, "result": 4}
         return F.struct(*(F.coalesce(text_cell(r, i), F.lit("")).alias(k) for k, i in texts.items()), url_id(target).alias("history_id"), absolute_url(target, base).alias("history_url"))
 
     actions = F.transform(F.filter(rows(history), lambda r: n_cells(r) >= 5), action)
-    return pages.select(
+    return with_tree(pages, html, (url,)).select(
         F.col(url).alias("detail_url"),
         *(labelled(h, name).alias(column) for column, name in label.items()),
         split_names(labelled(h, "lblSponsors2")).alias("sponsors"),
@@ -251,7 +256,8 @@ def assert_complete(items: DataFrame, reported: DataFrame, keys: list[str], iden
 
 def anchors(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """pos, href of each anchor in page order."""
-    return pages.select(*keep, F.posexplode(F.regexp_extract_all(visible(html), F.lit(r'<a [^>]*href="([^"]*)"'), 1)).alias("pos", "href"))
+    links = F.regexp_extract_all(visible(html), F.lit(r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), 1)
+    return pages.select(*keep, F.posexplode(F.transform(links, lambda x: F.regexp_replace(x, r"^[\"']|[\"']$", ""))).alias("pos", "href"))
 
 
 @dataclass(frozen=True)

@@ -767,6 +767,19 @@ def _cells(*values) -> Column:
     return F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td> "), t, F.lit("</td>")) for t in texts), F.lit("</tr>"))
 
 
+def _shaped(html: Column, kind: Column) -> Column:
+    """A page as different writers would write it: 0 as it is, 1 upper case, 2 the other quotes, 3 no quotes and no end tags, 4 a table in each cell."""
+    upper = html
+    for tag in ("table", "tbody", "tr", "td", "a", "span", "script"):
+        for was in (f"<{tag}>", f"<{tag} ", f"</{tag}>"):
+            upper = F.replace(upper, F.lit(was), F.lit(was.upper()))
+    for name in ("class", "id", "href", "onclick"):
+        upper = F.replace(upper, F.lit(f" {name}="), F.lit(f" {name.upper()} = "))
+    bare = F.regexp_replace(F.regexp_replace(html, r"""(\w)=(["'])([^"'\s>]+)\2""", "$1=$3"), "</t[dr]>", "")
+    inner = F.replace(html, F.lit("<td>"), F.lit("<td><table class='x'><tbody><tr><td></td><td></td></tr></tbody></table>"))
+    return F.when(kind == 1, upper).when(kind == 2, F.translate(html, "\"'", "'\"")).when(kind == 3, bare).when(kind == 4, inner).otherwise(html)
+
+
 _LINES = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, l_extendedprice) - 1 AS seq FROM lineitem"
 
 
@@ -791,8 +804,11 @@ def roll_call_votes(s, d):
 @query(f"""
 SELECT l_orderkey AS page_id, 'Board & ' || l_orderkey AS body_name, seq + 1 AS item_seq, CAST(l_partkey AS VARCHAR) AS matter_file, CAST(l_suppkey AS VARCHAR) AS history_id FROM ({_LINES})""")
 def meeting_page_items(s, d):
-    """Orders as meeting pages, read back; the first row of each grid is too short and only counts for the sequence."""
-    nested = _nested(s, d)
+    """Orders as meeting pages, read back; the first row of each grid is too short and only counts for the sequence. Orders of
+    different priority are written in different shapes.
+    """
+    shape = table(s, d, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("shape"))
+    nested = _nested(s, d).join(shape, "o_orderkey", "left")
 
     def row(line):
         popup = F.concat(F.lit("<a onclick=\"radopen('HistoryDetail.aspx?ID="), line["l_suppkey"].cast("string"), F.lit("&amp;GUID=A-1', 'x')\">d</a>"))
@@ -800,7 +816,8 @@ def meeting_page_items(s, d):
 
     items = F.concat(F.lit("<tr><td>short</td></tr>"), F.array_join(F.transform("lines", row), ""))
     label = F.concat(F.lit('<span id="x_hypName">Board &amp; '), F.col("o_orderkey").cast("string"), F.lit("</span>"))
-    got = pages.meeting_pages(nested.select(F.col("o_orderkey").alias("page_id"), F.concat(label, _grid(items)).alias("html")), "https://records.example")
+    html = _shaped(F.concat(label, _grid(items)), F.col("shape") - 1)
+    got = pages.meeting_pages(nested.select(F.col("o_orderkey").alias("page_id"), html.alias("html")), "https://records.example")
     return flatten.unnest(got, "agenda_items", "i").select("page_id", "body_name", *flatten.fields("i", item_seq="item_seq", matter_file="matter_file", history_id="history_id"))
 
 
@@ -808,11 +825,12 @@ def meeting_page_items(s, d):
 SELECT CAST(event_id AS VARCHAR) AS meeting_id, 'AB-' || event_id AS event_guid, event_type AS body_name, 'Room ' || user_id AS location, 'Special' AS meeting_subtype, event_type = 'view' AS has_minutes
 FROM events WHERE event_type <> 'error'""")
 def calendar_page_rows(s, d):
-    """Days as calendar pages, read back; error events have no detail link, so they are no meetings."""
+    """Days as calendar pages, read back; error events have no detail link, so they are no meetings. Each month has a shape of its own."""
     link = F.when(F.col("event_type") != "error", F.concat(F.lit('<a href="MeetingDetail.aspx?ID='), F.col("event_id").cast("string"), F.lit("&amp;GUID=ab-"), F.col("event_id").cast("string"), F.lit('">d</a>'))).otherwise(F.lit("none"))
     minutes = F.when(F.col("event_type") == "view", F.lit('<a href="View.ashx?M=M">Minutes</a>')).otherwise(F.lit("Not&nbsp;available"))
     rows = table(s, d, "events").select(F.col("ts").cast("date").alias("day"), _cells(F.col("event_type"), "1/1/2024", "", "", F.concat(F.lit("Room "), F.col("user_id").cast("string"), F.lit(" special  Meeting")), link, "", minutes).alias("r"))
     sheets = rows.groupBy(F.col("day").alias("page_id")).agg(_grid(F.array_join(F.collect_list("r"), "")).alias("html"))
+    sheets = sheets.withColumn("html", _shaped(F.col("html"), F.month("page_id") % 5))
     return pages.calendar_rows(sheets, "https://records.example").select("meeting_id", "event_guid", "body_name", "location", "meeting_subtype", "has_minutes")
 
 
