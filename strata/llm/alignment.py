@@ -6,8 +6,8 @@ in the second one finds it there too; both halves go on alike, and an interval w
 last tokens of both in a group end together, which links them.
 
 Both vocabularies end a token before a single space after a visible character, whatever stands around (no piece of the second one has
-a space after another character). Those cuts are taken first, so each different stretch between them is tokenised and
-divided once and remembered (the memory is emptied when full). Then:
+a space after another character). Those cuts are taken first, so each different stretch between them is tokenised and divided
+once in a chunk of documents, all stretches as one text. Then:
 
 1. One pass puts documents into chunks of about ``CHUNK_CHARS`` characters: what is known of each document, which
    stretches it has, which links each stretch has, and how often each different link occurs in the chunk.
@@ -25,9 +25,11 @@ rows, and other columns aren't read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
-from bisect import bisect_left
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,14 +40,15 @@ from pyspark.sql import functions as F
 from .common import documents, id_and_text, keep, ship, slices
 
 FIRST = "byte_bpe_50k.json"
+FIRST_RANKS = "byte_bpe_50k.tiktoken"
 SECOND = "piece_bpe_32k.model"
 CHUNK_CHARS = 2_000_000
-#: Different stretches that a task remembers, and the longest one that is remembered.
-MEMORY_STRETCHES = 200_000
-MEMORY_CHARS = 64
+#: Stretches that the second tokenizer gets at once.
+BLOCK = 500
 #: A link is the first vocabulary's id times this plus the second one's.
 SHIFT = 32
 _UNEVEN = re.compile(r"\s | \Z|\A ")
+_LONG_RUN = re.compile(r"\s{64}|\S{2000}")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 _state: dict = {}
 
@@ -60,75 +63,122 @@ def byte_characters() -> dict[str, int]:
 class Vocabularies:
     """Both tokenizers with the bytes of each of their tokens."""
 
-    def __init__(self, first: str = FIRST, second: str = SECOND):
+    def __init__(self, first: str = FIRST, ranks: str = FIRST_RANKS, second: str = SECOND):
         import public_tokenizers as P
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.first = Tokenizer.from_file(P.path(first))
         self.first.encode_special_tokens = True
+        by_bytes = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(ranks), "rb"))}
+        self.ranks = tiktoken.Encoding(first, pat_str=P.PATTERN, mergeable_ranks=by_bytes, special_tokens={})
         self.second = sentencepiece.SentencePieceProcessor(model_file=P.path(second))
         byte = byte_characters()
-        self.bytes_a = {i: bytes(byte[c] for c in t) for t, i in self.first.get_vocab(with_added_tokens=False).items() if all(c in byte for c in t)}
+        vocabulary = self.first.get_vocab(with_added_tokens=False)
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.bytes_a[i] = bytes(byte[c] for c in t) if all(c in byte for c in t) else b""
         pieces = map(self.second.id_to_piece, range(self.second.get_piece_size()))
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := _BYTE.match(p)) else p.replace("▁", " ").encode() for p in pieces]
-        self.known: dict[str, tuple | None] = {}
-
-    def ids(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both: of a space and the text by the first, of the text by the second, which adds the space."""
-        a = self.first.encode_batch([f" {t}" for t in texts], add_special_tokens=False)
-        return [(x.ids, y) for x, y in zip(a, self.second.encode(texts, num_threads=1))]
-
-    def aligned(self, texts: list[str]) -> dict[str, tuple | None]:
-        """n_a, n_b, groups as text, and links of each stretch; None where the bytes differ."""
-        if len(self.known) > MEMORY_STRETCHES:
-            self.known = {}
-        new = [t for t in texts if t not in self.known]
-        found = {t: self.groups(t, a, b) for t, (a, b) in zip(new, self.ids(new))}
-        self.known |= {t: x for t, x in found.items() if len(t) <= MEMORY_CHARS}
-        return {t: found[t] if t in found else self.known[t] for t in texts}
-
-    def groups(self, text: str, a: list[int], b: list[int]) -> tuple | None:
-        bytes_a, bytes_b, whole = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b], f" {text}".encode()
-        if not text or b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
+        self.sizes_a, self.sizes_b = (np.array([len(t) for t in x]) for x in (self.bytes_a, self.bytes_b))
+        self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+
+    def ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both for parts that are one text with a space between any two: of a space and the text by the first, of each part by
+        the second, which adds the space itself (and is slow for long texts).
+
+        The first vocabulary's ranks give the ids of its file, and faster; long runs of one kind, which their pattern can't take, go through the file.
+        """
+        text = "".join([f" {p}" for p in parts])
+        a = self.first.encode(text, add_special_tokens=False).ids if _LONG_RUN.search(text) else self.ranks.encode_ordinary(text)
+        return np.array(a, np.int64), np.array(list(chain.from_iterable(self.second.encode(parts, num_threads=1))), np.int64)
+
+    def aligned(self, *parts: str) -> Aligned | None:
+        """The groups of a whole text, or of one in parts between which both end a token; nothing where the bytes differ."""
+        a, b = self.ids(list(parts))
+        whole = "".join([f" {p}" for p in parts]).encode()
+        if not all(parts) or any(b"".join(map(of.__getitem__, x.tolist())) != whole for of, x in ((self.bytes_a, a), (self.bytes_b, b))):
             return None
-        out, links, i, k = [], [], 0, 0
-        for j, m in common_ends(np.cumsum([len(x) for x in bytes_a]).tolist(), np.cumsum([len(x) for x in bytes_b]).tolist()):
-            out.append(f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}")
-            links.append((a[j - 1] << SHIFT) + b[m - 1])
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        after_a, after_b = common_ends(ends_a, ends_b)
+        links = (a[after_a - 1] << SHIFT) + b[after_b - 1]
+        names_a, names_b = ([self.names[i] for i in x.tolist()] for x in (a, b))
+        groups, i, k = [], 0, 0
+        for j, m in zip(after_a.tolist(), after_b.tolist()):
+            groups.append(f"{names_a[i]}|{names_b[k]}" if j - i == m - k == 1 else f"{','.join(names_a[i:j])}|{','.join(names_b[k:m])}")
             i, k = j, m
-        return len(a), len(b), ";".join(out), links
-
-
-def common_ends(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """How many tokens of both lie before each common end, in order; both lists rise and have their last end in common."""
-    found, left = [], [(0, len(a), 0, len(b))]
-    while left:
-        i, j, k, m = left.pop()
-        near = _near_middle(a, b, i, j, k, m)
-        if near is None:
-            found.append((j, m))
-        else:
-            x, y = near
-            left += [(x, j, y, m), (i, x, k, y)]
-    return found
-
-
-def _near_middle(a: list[int], b: list[int], i: int, j: int, k: int, m: int) -> tuple[int, int] | None:
-    """Token numbers after the common end nearest the middle of a[i:j] and b[k:m], their last ends left out."""
-    if j - i < 2 or m - k < 2:
-        return None
-    start = a[i - 1] if i else 0
-    up = bisect_left(a, (start + a[j - 1]) // 2, i, j - 1)
-    down = up - 1
-    while down >= i or up < j - 1:
-        for at in (up, down):
-            if i <= at < j - 1:
-                y = bisect_left(b, a[at], k, m - 1)
-                if y < m - 1 and b[y] == a[at]:
-                    return at + 1, y + 1
-        up, down = up + 1, down - 1
-    return None
+        return Aligned(ends_a[after_a - 1], after_a, after_b, groups, links)
+
+    def stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list[np.ndarray]]:
+        """n_a, n_b, groups as text and links of each stretch; n_a is 0 where the bytes differ.
+
+        Stretches that begin and end visibly are one text between single spaces, cut again where they end.
+        """
+        n_a, n_b, groups, links = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [""] * len(texts), [np.zeros(0, np.int64)] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t and t[0] != " " and not t[-1].isspace() and "▁" not in t and not (len(t) >= 64 and _LONG_RUN.search(t))]
+        blocks = [" ".join([texts[i] for i in plain[at : at + BLOCK]]) for at in range(0, len(plain), BLOCK)]
+        whole = self.aligned(*blocks) if plain else None
+        if whole is not None:
+            ends = np.cumsum([len(texts[i].encode()) + 1 for i in plain])
+            last = np.searchsorted(whole.ends, ends)
+            assert (whole.ends[last] == ends).all(), "both vocabularies end a token where a stretch ends"
+            bounds = np.concatenate(([0], last + 1))
+            own = np.array(plain)
+            n_a[own], n_b[own] = (np.diff(np.concatenate(([0], x[last]))) for x in (whole.after_a, whole.after_b))
+            for i, x, y in zip(plain, bounds.tolist(), bounds[1:].tolist()):
+                groups[i], links[i] = ";".join(whole.groups[x:y]), whole.links[x:y]
+        done = set(plain) if whole is not None else set()
+        for i, t in enumerate(texts):
+            if i not in done and (one := self.aligned(t)) is not None:
+                n_a[i], n_b[i], groups[i], links[i] = one.after_a[-1], one.after_b[-1], ";".join(one.groups), one.links
+        return n_a, n_b, groups, links
+
+
+class Aligned(NamedTuple):
+    """Of each group: where it ends in bytes, how many tokens of both lie up to there, its text, its link."""
+
+    ends: np.ndarray
+    after_a: np.ndarray
+    after_b: np.ndarray
+    groups: list[str]
+    links: np.ndarray
+
+
+def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of both lie before each common end, in order; both rise and have their last end in common.
+
+    All intervals of one depth are divided at once. An interval is its token numbers [i, j) and [k, m); their last ends are its
+    own end.
+    """
+    i, j, k, m = (np.array([x]) for x in (0, len(a), 0, len(b)))
+    after_a, after_b = [], []
+    while len(i):
+        x, y = _near_middle(a, b, i, j, k, m)
+        leaf = x < 0
+        after_a.append(j[leaf])
+        after_b.append(m[leaf])
+        i, j, k, m, x, y = (v[~leaf] for v in (i, j, k, m, x, y))
+        i, j, k, m = np.concatenate((i, x)), np.concatenate((x, j)), np.concatenate((k, y)), np.concatenate((y, m))
+    return np.sort(np.concatenate(after_a)), np.sort(np.concatenate(after_b))
+
+
+def _near_middle(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers after the common end nearest the middle of each interval, its own end left out; -1 where there is none."""
+    x, y = np.full(len(i), -1), np.full(len(i), -1)
+    start = np.where(i > 0, a[i - 1], 0)
+    middle = np.clip(np.searchsorted(a, (start + a[j - 1]) // 2), i, j - 1)
+    left, away = np.flatnonzero((j - i > 1) & (m - k > 1)), 0
+    while len(left):
+        for at in (middle[left] + away, middle[left] - 1 - away):
+            inside = (at >= i[left]) & (at < j[left] - 1) & (x[left] < 0)
+            own, end = left[inside], a[at[inside]]
+            there = np.searchsorted(b, end)
+            both = b[there] == end
+            x[own[both]], y[own[both]] = at[inside][both] + 1, there[both] + 1
+        away += 1
+        left = left[(x[left] < 0) & ((middle[left] + away < j[left] - 1) | (middle[left] - 1 - away >= i[left]))]
+    return x, y
 
 
 def vocabularies() -> Vocabularies:
@@ -140,7 +190,7 @@ def vocabularies() -> Vocabularies:
 def stretches(text: str) -> list[str]:
     """A text cut at its single spaces between visible characters."""
     parts = text.split(" ")
-    if not _UNEVEN.search(text):
+    if parts == text.split() or not _UNEVEN.search(text):
         return parts
     out = [[parts[0]]]
     for before, part in zip(parts, parts[1:]):
@@ -170,26 +220,23 @@ def _read(blob: bytes) -> pa.Table:
 def chunk_of(ids: list, texts: list[str | None], both: Vocabularies) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
     """Documents and stretches as Arrow streams, different links and how often the chunk has each."""
     cuts = [stretches(t) if t else [] for t in texts]
-    number = {s: i for i, s in enumerate(dict.fromkeys(s for c in cuts for s in c))}
-    found = list(both.aligned(list(number)).values())
-    rows, times = [], np.zeros(len(found), np.int64)
-    for doc_id, c in zip(ids, cuts):
-        own = list(map(number.__getitem__, c))
-        parts = [found[i] for i in own]
-        if not parts or None in parts:
-            rows.append((doc_id, 0, 0, 0, 0, "", []))
-            continue
-        np.add.at(times, own, 1)
-        n = sum(len(p[3]) for p in parts)
-        rows.append((doc_id, sum(p[0] for p in parts), sum(p[1] for p in parts), n, n, hashlib.sha256(";".join([p[2] for p in parts]).encode()).hexdigest(), own))
-    many = np.array([len(f[3]) if f else 0 for f in found], np.int64)
-    links = np.array([x for f in found if f for x in f[3]], np.int64)
-    different, which = np.unique(links, return_inverse=True)
-    counts = np.bincount(which, np.repeat(times, many), len(different)).astype(np.int64)
+    number = {s: i for i, s in enumerate(dict.fromkeys(chain.from_iterable(cuts)))}
+    n_a, n_b, groups, links = both.stretches(list(number))
+    own = np.fromiter(map(number.__getitem__, chain.from_iterable(cuts)), np.int32)
+    bounds = np.concatenate(([0], np.cumsum([len(c) for c in cuts]))).astype(np.int32)
+    many = np.array([len(x) for x in links], np.int64)
+    total = lambda values: np.diff(np.concatenate(([0], np.cumsum(values[own])))[bounds])
+    sound = (total((n_a == 0).astype(np.int64)) == 0) & (np.diff(bounds) > 0)
+    own = own[np.repeat(sound, np.diff(bounds))]
+    bounds = np.concatenate(([0], np.cumsum(np.diff(bounds) * sound))).astype(np.int32)
+    names, at = own.tolist(), bounds.tolist()
+    digests = [hashlib.sha256(";".join([groups[i] for i in names[x:y]]).encode()).hexdigest() if y > x else "" for x, y in zip(at, at[1:])]
+    different, which = np.unique(np.concatenate([*links, np.zeros(0, np.int64)]), return_inverse=True)
+    counts = np.bincount(which, np.repeat(np.bincount(own, minlength=len(many)), many), len(different)).astype(np.int64)
     offsets = np.concatenate(([0], np.cumsum(many)))
     by_stretch = pa.table([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(which, pa.int32()))], schema=STRETCH)
-    by_document = pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), DOCUMENT)], schema=DOCUMENT)
-    return _stored(by_document), _stored(by_stretch), different, counts
+    columns = [pa.array(ids, pa.int64()), *(pa.array(total(x)) for x in (n_a, n_b, many, many)), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(own))]
+    return _stored(pa.table(columns, schema=DOCUMENT)), _stored(by_stretch), different, counts
 
 
 def chunked(docs: DataFrame, chars: int = CHUNK_CHARS) -> DataFrame:
