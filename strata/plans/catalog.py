@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from strata.functions import codes, dates, keys, text
 from strata.operators import flatten, latest, pages, quality, scd, search
 from strata.operators.upsert import merge, upsert
-from strata.plans import serve, staging, star
+from strata.plans import incremental, serve, staging, star
+from strata.sources.buckets import BucketStore
 from strata.sources.ingest import read_documents, split_broken
 from strata.sources.schemas import table
 from strata.sources.sinks import Layers, Snapshots, as_view, entity_files, overwrite, payload, scratch, stored
-from strata.streaming.landing import land, land_all, landed
+from strata.streaming.landing import compact, land, land_all, landed
+from strata.streaming.log import BatchLog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -660,6 +662,68 @@ def incremental_vote_record(s, d):
     return serve.member_vote_record(star.build_gold(latest_rows)).drop("vote_sk", "matter_sk", "person_sk", "committee_sk", "meeting_sk")
 
 
+#: Of the three weeks of changes: orders of this priority have their first capture come in last, those of this status and events of this
+#: type are withdrawn last.
+OVERDUE, WITHDRAWN_STATUS, WITHDRAWN_EVENT = "5-LOW", "P", "signup"
+
+_WEEKS = _RECORDS.replace("FROM lineitem JOIN orders ON l_orderkey = o_orderkey)", "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P')").replace("AS document FROM events)", "AS document, CAST(event_id AS VARCHAR) AS meeting_id FROM events WHERE event_type <> 'signup')").replace("AS status FROM orders)", "AS status, CAST(o_orderkey AS VARCHAR) AS matter_file, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P')")
+
+
+@query(_WEEKS + """,
+action AS (SELECT * FROM act QUALIFY row_number() OVER (PARTITION BY coalesce(history_id, concat_ws('|', matter_file, day, l_linestatus)) ORDER BY day, matter_file, seq) = 1),
+url AS (SELECT o_orderkey % 100 AS n, 'Leg Ver1' AS title FROM state UNION ALL SELECT document, 'Agenda' FROM meet)
+SELECT 'matter' AS kind, matter_file AS a, status AS b, CASE status WHEN ' Passed' THEN 'passed' WHEN 'Odd' THEN 'UNMAPPED' ELSE 'in_progress' END AS c, (SELECT CAST(min(day) AS VARCHAR) FROM act WHERE act.l_orderkey = state.o_orderkey) AS d, NULL AS e, count(*) AS n FROM state GROUP BY ALL
+UNION ALL SELECT 'committee', name, NULL, NULL, NULL, NULL, 1 FROM (SELECT body AS name FROM act UNION SELECT 'Committee R' FROM meet UNION SELECT 'Board' FROM state)
+UNION ALL SELECT 'person', CAST(l_suppkey AS VARCHAR), max(s_name), 'vote', NULL, NULL, 1 FROM act LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_suppkey
+UNION ALL SELECT 'person', NULL, name, 'sponsor_only', NULL, NULL, 1 FROM (SELECT c_name AS name FROM state UNION SELECT 'Mayor' FROM state) WHERE name IS NOT NULL
+UNION ALL SELECT 'document', CAST(n AS VARCHAR), max(title), NULL, NULL, NULL, 1 FROM url GROUP BY n
+UNION ALL SELECT 'meeting', meeting_id, 'Committee R', CAST(meeting_date AS VARCHAR), NULL, NULL, 1 FROM meet
+UNION ALL SELECT 'action', coalesce(x.history_id, ''), x.matter_file || '/' || x.l_linestatus, CAST(x.day AS VARCHAR), x.body, m.meeting_id, count(*) FROM action x LEFT JOIN meet m ON x.history_id = m.history_id GROUP BY ALL
+UNION ALL SELECT 'vote', coalesce(v.history_id, ''), v.matter_file || '/' || v.l_suppkey || '/' || v.vote_value, CAST(v.day AS VARCHAR), v.body, m.meeting_id, count(*) FROM vote v LEFT JOIN meet m ON v.history_id = m.history_id GROUP BY ALL
+UNION ALL SELECT 'sponsor', matter_file, c_name, 'primary', NULL, NULL, 1 FROM state UNION ALL SELECT 'sponsor', matter_file, 'Mayor', 'co', NULL, NULL, 1 FROM state
+UNION ALL SELECT 'matter file', matter_file, CAST(o_orderkey % 100 AS VARCHAR), NULL, NULL, NULL, 1 FROM state
+UNION ALL SELECT 'meeting file', meeting_id, CAST(document AS VARCHAR), NULL, NULL, NULL, 1 FROM meet""")
+def incremental_gold(s, d):
+    """All gold tables after three weeks of changes, natural keys instead of hashes: new and changed captures, first captures that come
+    after later ones, and withdrawals, some of them before the withdrawn record's first capture comes in.
+    """
+    root = scratch(s, "changes")
+    bronze, store = _bronze(s, d, root), BucketStore(s, f"{root}/star", 32)
+    overdue = lambda df: F.col("type") == OVERDUE if "type" in df.columns else F.col("body_name").isNull()
+    lineage = [F.lit("withdrawn").alias("source_file"), F.lit("2024-01-15").cast("date").alias("ingest_date"), F.lit("2024-01-15").cast("timestamp_ntz").alias("loaded_at")]
+    gone = {
+        "stg_matters": table(s, d, "orders").where(F.col("o_orderstatus") == WITHDRAWN_STATUS).select(F.col("o_orderkey").cast("string").alias("matter_file"), *lineage),
+        "stg_meetings": table(s, d, "events").where(F.col("event_type") == WITHDRAWN_EVENT).select(F.col("event_id").cast("string").alias("meeting_id"), *lineage),
+    }
+    for week in range(3):
+        arrived = lambda df: df.where(F.when(F.col("ingest_date") == LATE, 1).when(overdue(df), 2).otherwise(0) == week)  # noqa: B023, E731
+        silver = {name: build(arrived(bronze[source])) for name, (source, build) in staging.SILVER.items()}
+        # The week's withdrawals come with it, some weeks before the first capture of what they withdraw.
+        incremental.Changes(store, lambda name, df: stored(df, f"{root}/week{week}/{name}")).apply(silver, gone if week == 1 else None)  # noqa: B023
+        store.commit()
+    g = incremental.gold(store)
+    people, committees = g["dim_person"].select("person_sk", "person_id", "full_name"), g["dim_committee"]
+    meetings, matters = g["dim_meeting"].select("meeting_sk", "meeting_id"), g["dim_matter"].select("matter_sk", "matter_file")
+    documents = g["dim_document"].select("document_sk", "document_id")
+    none, text_of = F.lit(None).cast("string"), lambda c: F.col(c).cast("string")
+    facts = lambda name: g[name].join(matters, "matter_sk", "left").join(committees, "committee_sk", "left").join(meetings, "meeting_sk", "left")
+    parts = {
+        "matter": (g["dim_matter"], "matter_file", "status", "lifecycle", text_of("first_committee_date"), none),
+        "committee": (committees, "committee_name", none, none, none, none),
+        "person": (g["dim_person"], "person_id", "full_name", "id_source", none, none),
+        "document": (g["dim_document"], "document_id", "document_title", none, none, none),
+        "meeting": (g["dim_meeting"], "meeting_id", "body_name", text_of("meeting_date"), none, none),
+        "action": (facts("fact_matter_action"), F.coalesce("history_id", F.lit("")), F.concat_ws("/", "matter_file", "action_type_code"), text_of("action_date"), "committee_name", "meeting_id"),
+        "vote": (facts("fact_vote").join(people, "person_sk", "left"), F.coalesce("history_id", F.lit("")), F.concat_ws("/", "matter_file", "person_id", "vote_value"), text_of("vote_date"), "committee_name", "meeting_id"),
+        "sponsor": (g["bridge_matter_sponsor"].join(matters, "matter_sk", "left").join(people, "person_sk", "left"), "matter_file", "full_name", "sponsor_type", none, none),
+        "matter file": (g["bridge_matter_document"].join(matters, "matter_sk", "left").join(documents, "document_sk", "left"), "matter_file", "document_id", none, none, none),
+        "meeting file": (g["bridge_meeting_document"].join(meetings, "meeting_sk", "left").join(documents, "document_sk", "left"), "meeting_id", "document_id", none, none, none),
+    }
+    columns = lambda values: [(F.col(v) if isinstance(v, str) else v).alias(name) for name, v in zip("abcde", values)]
+    rows = [df.select(F.lit(kind).alias("kind"), *columns(values)) for kind, (df, *values) in parts.items()]
+    return quality.report(*rows).groupBy("kind", *"abcde").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(_RECORDS + """
 SELECT 'dim_matter' AS name, count(*) AS n FROM orders UNION ALL SELECT 'dim_committee', count(*) FROM (SELECT DISTINCT body FROM act UNION SELECT 'Committee R' FROM meet UNION SELECT 'Board' FROM orders)
 UNION ALL SELECT 'dim_person', (SELECT count(DISTINCT l_suppkey) FROM act) + (SELECT count(DISTINCT c_name) FROM orders JOIN customer ON o_custkey = c_custkey) + 1
@@ -695,6 +759,30 @@ def stream_land_counts(s, d):
     return landed(s, f"{root}/bronze", "event_id long, value double").groupBy("ingest_date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query("SELECT event_type AS file, count(*) AS n, count(DISTINCT event_id) AS different, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def landing_after_failure(s, d):
+    """Events in files by type. Some land; a batch of a second query dies after its write, as its rows without log entry show; a third
+    query with a new checkpoint lands what the log doesn't have. Then all small folders are packed, twice. Each event is there once.
+    """
+    root, ddl = scratch(s, "failure"), "event_id long, event_type string, value double"
+    events = table(s, d, "events").select("event_id", "event_type", "value", F.lit("2024-01-08").alias("ingest_date"))
+    part = lambda *kinds: events.where(F.col("event_type").isin(*kinds)).repartition("event_type").write.mode("append").partitionBy("ingest_date").json(f"{root}/raw")
+    settings = {"source": f"{root}/raw", "ddl": ddl, "key": "event_id", "target": f"{root}/bronze", "multi_line": False}
+    part("view")
+    land(s, **settings, checkpoint=f"{root}/c1")
+    part("click", "error")
+    died = read_documents(s, f"{root}/raw", ddl, multi_line=False)
+    split_broken(died.where("event_type <> 'view'"), "event_id")[0].write.partitionBy("ingest_date").parquet(f"{root}/bronze/batch=died-0")
+    land(s, **settings, checkpoint=f"{root}/c3")
+    part("purchase", "signup")
+    land(s, **settings, checkpoint=f"{root}/c3", files_per_batch=1)
+    for _ in range(2):
+        compact(s, f"{root}/bronze", ddl)
+        BatchLog(s, f"{root}/bronze").vacuum()
+    rows = landed(s, f"{root}/bronze", ddl)
+    return rows.groupBy(F.col("event_type").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("different"), F.round(F.sum("value"), 2).alias("total"))
+
+
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1998-07-01' AND o_orderdate < TIMESTAMP '1998-01-01' UNION ALL SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'O' THEN o_totalprice + 1 ELSE o_totalprice END FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'")
 def upsert_snapshots(s, d):
     """The same merge through the table writer, run twice; the second run changes nothing."""

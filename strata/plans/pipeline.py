@@ -12,7 +12,8 @@ from strata.operators import quality
 from strata.sources.buckets import BucketStore
 from strata.sources.schemas import MATTER, MEETING
 from strata.sources.sinks import Layers, as_view, remove, stored
-from strata.streaming.landing import Landed, batches, land_all, landed
+from strata.streaming.landing import Landed, batches, compact, land_all, landed
+from strata.streaming.log import BatchLog
 
 from .incremental import VERSION, Changes, gold, in_force, latest
 from .serve import member_vote_record
@@ -36,18 +37,27 @@ class Run:
     landed: dict[str, Landed] = field(default_factory=dict)
 
     def _paths(self, name: str) -> dict:
-        return {"source": f"{self.raw}/{name}", "target": f"{self.work}/bronze/{name}", "checkpoint": f"{self.work}/checkpoints/{name}"}
+        return {"source": f"{self.raw}/{name}", "target": f"{self.work}/bronze/{name}", "checkpoint": f"{self.work}/checkpoints/{name}", "quarantine": f"{self.work}/quarantine/{name}"}
 
     def ingest(self) -> dict[str, Landed]:
         streams = {"matters": {"ddl": MATTER, "key": "file_number"}, "meetings": {"ddl": MEETING, "key": "meeting_id"}}
         self.landed = land_all(self.spark, {n: {**s, **self._paths(n)} for n, s in streams.items()})
         return self.landed
 
+    def compact(self) -> dict[str, int]:
+        """Packs the small files that landing leaves, and removes what earlier packing and failed batches left; not while ``ingest`` runs."""
+        packed = {zone: compact(self.spark, f"{self.work}/bronze/{zone}", ddl) for zone, ddl in ZONES.items()}
+        for zone in ZONES:
+            BatchLog(self.spark, f"{self.work}/bronze/{zone}").vacuum()
+        return packed
+
     def withdraw(self, zone: str, rows: DataFrame) -> None:
         """Entities that the source no longer has: their key (matter_file or meeting_id), and when and where that was seen (ingest_date,
         loaded_at, source_file). A capture after that brings one back.
         """
-        rows.write.parquet(f"{self.work}/withdrawn/{zone}/batch={uuid.uuid4().hex}")
+        name, target = f"batch={uuid.uuid4().hex}", f"{self.work}/withdrawn/{zone}"
+        written = stored(rows, f"{target}/{name}")
+        BatchLog(self.spark, target).record(name, written.select("source_file").distinct())
 
     def _withdrawn(self, silver: Tables, only: dict[str, list[str]] | None = None) -> Tables:
         out: Tables = {}

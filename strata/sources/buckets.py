@@ -77,24 +77,27 @@ class BucketStore:
         """The buckets that the key columns of some rows fall into."""
         return sorted(r[0] for r in keys.select(self._bucket(name)).distinct().collect())
 
-    def matching(self, name: str, keys: DataFrame) -> DataFrame:
-        """Rows that agree with one of ``keys`` in all its columns, which include those the table is bucketed by."""
-        return meeting(self.read(name, self.touched(name, keys)), keys, "left_semi")
+    def matching(self, name: str, keys: DataFrame, touched: list[int] | None = None) -> DataFrame:
+        """Rows that agree with one of ``keys`` in all its columns, which include those the table is bucketed by. Here and below,
+        who knows the touched buckets already can say so.
+        """
+        return meeting(self.read(name, self.touched(name, keys) if touched is None else touched), keys, "left_semi")
 
-    def replace(self, name: str, gone: DataFrame, rows: DataFrame) -> None:
+    def replace(self, name: str, gone: DataFrame, rows: DataFrame, touched: list[int] | None = None) -> None:
         """Without the rows that agree with one of ``gone`` in all its columns, and with ``rows``."""
         columns = self._tables[name][2].names
         rows = rows.select(*columns)
         by = self._tables[name][0]
-        touched = self.touched(name, gone.select(*by).unionByName(rows.select(*by)))
+        if touched is None:
+            touched = self.touched(name, gone.select(*by).unionByName(rows.select(*by)))
         self._write(name, touched, meeting(self.read(name, touched), gone, "left_anti").unionByName(rows))
 
-    def add(self, name: str, changes: DataFrame) -> None:
+    def add(self, name: str, changes: DataFrame, touched: list[int] | None = None) -> None:
         """Counted rows: those equal in all columns but ``n`` are summed, and what sums to nothing goes."""
         schema = self._tables[name][2]
         columns = [c for c in schema.names if c != "n"]
         changes = changes.select(*schema.names)
-        touched = self.touched(name, changes)
+        touched = self.touched(name, changes) if touched is None else touched
         merged = self.read(name, touched).unionByName(changes).groupBy(*columns).agg(F.sum("n").alias("n")).where("n > 0")
         self._write(name, touched, merged.select(*schema.names))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from strata.sources.ingest import is_broken, lineage, split_broken
 from strata.sources.schemas import CORRUPT, schema
 
+from .log import BatchLog
+
 
 @dataclass
 class Landed:
@@ -22,12 +25,14 @@ class Landed:
 def land(spark: SparkSession, source: str, ddl: str, key: str, target: str, checkpoint: str, files_per_batch: int = 10_000, quarantine: str | None = None, multi_line: bool = True) -> Landed:
     """Appends the records of files not seen before to ``target``, by ingest_date, and stops when none is left.
 
-    A batch writes below a folder of its own, named by the query (which the checkpoint identifies) and its number, and overwrites
-    it, so a batch that is run again after a failure lands once. A new checkpoint is a new query: it overwrites nothing, and
-    files that other queries have landed are left out. Broken records go to ``quarantine`` if that is given, else they are
-    only counted. A batch is parsed once, and once more only where broken records are to be kept.
+    A batch writes below a folder of its own, named by the query (which the checkpoint identifies) and its number, and then enters its
+    files in the target's log. A batch that is run again after a failure overwrites its folder, so it lands once; one that
+    never came to its end isn't in the log, so whoever finds its files next lands them. A new checkpoint is a new
+    query: files that the log has from other queries are left out. Broken records go to ``quarantine`` if that is given,
+    else they are only counted. A batch is parsed once, and once more only where broken records are to be kept.
     """
     out = Landed()
+    log = BatchLog(spark, target)
     query_id: list[str] = []
     stream = (
         spark.readStream.schema(schema(ddl, corrupt=True))
@@ -43,17 +48,19 @@ def land(spark: SparkSession, source: str, ddl: str, key: str, target: str, chec
         if not query_id:
             query_id.append(json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"])
         name = f"batch={query_id[0]}-{batch_id}"
-        others = [f"{target}/{n}" for n in _folders(spark, target) if n.startswith("batch=") and not n.startswith(f"batch={query_id[0]}-")]
-        if others:
-            df = df.join(df.sparkSession.read.schema("source_file string").parquet(*others), "source_file", "left_anti").select(*df.columns)
+        others = log.rows().where(~F.col("batch").startswith(f"batch={query_id[0]}-") & F.col("source_file").isNotNull())
+        df = df.join(others.select("source_file"), "source_file", "left_anti").select(*df.columns)
         seen = Observation()  # counts come from the write itself
         counted = df.observe(seen, F.count_if(~is_broken(key)).alias("good"), F.count_if(is_broken(key)).alias("broken"))
         split_broken(counted, key)[0].write.mode("overwrite").partitionBy("ingest_date").parquet(f"{target}/{name}")
+        files = spark.read.schema("source_file string").parquet(f"{target}/{name}").select("source_file")
+        if quarantine and seen.get["broken"]:
+            split_broken(df, key)[1].write.mode("overwrite").json(f"{quarantine}/{name}")
+            files = files.unionByName(spark.read.schema("source_file string").json(f"{quarantine}/{name}"))
+        log.record(name, files.distinct())
         out.rows += seen.get["good"]
         out.quarantined += seen.get["broken"]
         out.batches += 1
-        if quarantine and seen.get["broken"]:
-            split_broken(df, key)[1].write.mode("overwrite").json(f"{quarantine}/{name}")
 
     # Lineage is stamped on the stream itself, where the file's metadata is at hand.
     query = lineage(stream).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -61,26 +68,33 @@ def land(spark: SparkSession, source: str, ddl: str, key: str, target: str, chec
     return out
 
 
-def _folders(spark: SparkSession, path: str, holding: str = "") -> list[str]:
-    """The folders below ``path`` that hold a file of that name."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    p = hadoop(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and (not holding or fs.exists(hadoop(s.getPath(), holding)))] if fs.exists(p) else []
-
-
 def batches(spark: SparkSession, target: str) -> list[str]:
     """The names of the batches that are written whole."""
-    return sorted(n for n in _folders(spark, target, "_SUCCESS") if n.startswith("batch="))
+    return sorted(BatchLog(spark, target).folders())
 
 
 def landed(spark: SparkSession, target: str, ddl: str, only: list[str] | None = None) -> DataFrame:
     """The landed table, or only the named batches of it: records with lineage, without the batch column."""
+    where = BatchLog(spark, target).folders()
+    wanted = where if only is None else {b: where[b] for b in only if b in where}
+    rows = _folders(spark, target, ddl, sorted({folder for folder, _ in wanted.values()}))
+    # A packed folder may hold other batches too.
+    return (rows if only is None else rows.where(F.col("batch").isin(list(wanted)))).drop("batch")
+
+
+def _folders(spark: SparkSession, target: str, ddl: str, folders: list[str]) -> DataFrame:
+    """Rows of these folders with the batch they came in."""
     full = schema(ddl).add("source_file", "string").add("loaded_at", "timestamp").add("ingest_date", "date").add("batch", "string")
-    if only is not None and not only:
-        return spark.createDataFrame([], full).drop("batch")
-    paths = [target] if only is None else [f"{target}/{name}" for name in only]
-    return spark.read.schema(full).option("basePath", target).parquet(*paths).drop("batch")
+    # The name of a batch is a partition of its own folder, and a column of a packed one.
+    reader = lambda names: spark.read.schema(full).option("basePath", target).parquet(*(f"{target}/{n}" for n in names)).select(*(f"`{c}`" for c in full.names))
+    kinds = [[f for f in folders if f.startswith(kind)] for kind in ("batch=", "pack=")]
+    parts = [reader(names) for names in kinds if names]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], full)
+
+
+def compact(spark: SparkSession, target: str, ddl: str, target_bytes: int = 128 << 20) -> int:
+    """Packs small batches of a landed table into larger files; returns how many folders were packed. Readers see the same rows."""
+    return BatchLog(spark, target).compact(lambda names: _folders(spark, target, ddl, names), target_bytes)
 
 
 def land_all(spark: SparkSession, streams: dict[str, dict]) -> dict[str, Landed]:
