@@ -3,7 +3,7 @@
 Each source gets a target number of words: the weights share the words of all sources, no target passes ``cap`` times
 its source, and what a capped source can't take is shared among the others by weight (water filling). Within a source
 every document has the same expected number of copies, target / source size. Documents are put in an order by size
-(then by a hash of their id); the running sum of expected copies plus one random offset crosses integers, and a document
+(then by a hash of their id and text); the running sum of expected copies plus one random offset crosses integers, and a document
 is taken once per integer crossed. Ordering by size makes the words taken follow the target closely.
 
 The running sum never needs a source in one task: rows are ranked inside small cells (source, size class, hash bin) and
@@ -11,7 +11,8 @@ the cells' counts, at most ``bins`` times the number of size classes per source,
 follows the number of rows, so a cell doesn't grow even where a whole table is of one source and size.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; an empty table gives no rows;
-a repeated row is another document; a source without words has target 0; ties of the order are between equal ids.
+a repeated row is another document; a source without words has target 0; ties of the order are between rows of one id and
+text, so reruns agree; other columns are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -39,15 +40,19 @@ def _unit(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def _cells(docs: DataFrame, bins: int) -> DataFrame:
-    """Adds _key (source, nulls apart), _class (32 size classes an octave), _bin and _hash."""
-    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return docs.withColumns(
+def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """row (the columns as a struct, so that no name clashes), source, size, and hash, which tells rows apart by id and text."""
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    return docs.select(F.struct(*columns).alias("row"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text)).alias("hash"))
+
+
+def _cells(sized: DataFrame, bins: int) -> DataFrame:
+    """Adds _key (source, nulls apart), _class (32 size classes an octave) and _bin."""
+    return sized.withColumns(
         {
             "_key": F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null")),
-            "_class": F.floor(F.log2(F.col("_size") + F.lit(1)) * 32).cast("int"),
-            "_hash": h,
-            "_bin": F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(bins)).cast("int"),
+            "_class": F.floor(F.log2(F.col("size") + F.lit(1)) * 32).cast("int"),
+            "_bin": F.pmod(F.conv(F.substring("hash", 1, 8), 16, 10).cast("long"), F.lit(bins)).cast("int"),
         }
     )
 
@@ -68,22 +73,37 @@ def source_targets(cells: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     return per.select("_key", "source_size", F.least(F.col("_most").cast("double"), F.col("_level") * F.col("_w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, bins: int | None = None) -> DataFrame:
-    """All columns of ``docs`` with _size, _source_size, _target and _copies (0 to ``cap``). Without ``bins`` there are one for each
-    BIN_ROWS rows of the table, but at least BINS.
-    """
-    bins = bins or max(BINS, -(-docs.count() // BIN_ROWS))
-    rows = _cells(docs.withColumn("_size", word_count(F.col("text"))), bins)
-    cells = cut(rows.groupBy("_key", "_class", "_bin").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_words"), F.min("source").alias("source")))
+def _taken(sized: DataFrame, weights, cap: int, seed: str, bins: int | None) -> DataFrame:
+    """row, size, source_size, target, copies."""
+    bins = bins or max(BINS, -(-sized.count() // BIN_ROWS))
+    rows = _cells(sized, bins)
+    cells = cut(rows.groupBy("_key", "_class", "_bin").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"), F.min("source").alias("source")))
     targets = source_targets(cells, weights, cap)
     order = Window.partitionBy("_key").orderBy("_class", "_bin").rowsBetween(Window.unboundedPreceding, -1)
     placed = cells.select("_key", "_class", "_bin", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before")).join(targets, "_key")
-    inside = Window.partitionBy("_key", "_class", "_bin").orderBy("_hash", "doc_id")
+    inside = Window.partitionBy("_key", "_class", "_bin").orderBy("hash")
     ranked = rows.join(placed, ["_key", "_class", "_bin"]).withColumn("_rank", F.col("_before") + F.row_number().over(inside))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = _unit(F.concat(F.lit(seed), F.col("_key")))
     crossed = F.floor(offset + each * F.col("_rank")) - F.floor(offset + each * (F.col("_rank") - 1))
-    return ranked.withColumns({"_copies": F.least(crossed, F.lit(cap)).cast("long"), "_source_size": F.col("source_size"), "_target": F.col("target")}).select(*docs.columns, "_size", "_source_size", "_target", "_copies")
+    return ranked.select("row", "size", "source_size", "target", F.least(crossed, F.lit(cap)).cast("long").alias("copies"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, bins: int | None = None) -> DataFrame:
+    """All columns of ``docs`` with _size, _source_size, _target and _copies (0 to ``cap``), which take the place of columns so named.
+    Without ``bins`` there are one for each BIN_ROWS rows of the table, but at least BINS.
+    """
+    own = ("_size", "_source_size", "_target", "_copies")
+    found = _taken(_sized(docs, docs.columns), weights, cap, seed, bins)
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in own]
+    return found.select(*kept, *(F.col(c[1:]).alias(c) for c in own))
+
+
+def sampled(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, bins: int | None = None) -> DataFrame:
+    """The mix itself: the rows of ``docs`` with all their columns, each as often as it is taken."""
+    found = _taken(_sized(docs, docs.columns), weights, cap, seed, bins).where("copies > 0")
+    each = found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return each.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def emit_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
@@ -95,7 +115,7 @@ ORACLE_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'null' ELSE 's:' || source END AS k,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h
   FROM documents),
 per AS (SELECT k, min(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY k),
 weighted AS (
@@ -110,7 +130,7 @@ targets AS (SELECT k, source_size, least(CAST(3 * source_size AS DOUBLE), (SELEC
 ranked AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, t.k,
          row_number() OVER (PARTITION BY s.k ORDER BY CAST(floor(log2(s.size + 1) * 32) AS BIGINT),
-                            CAST('0x' || substr(s.h, 1, 8) AS BIGINT) % (SELECT greatest(64, (count(*) + 999999) // 1000000) FROM documents), s.h, s.doc_id) AS r
+                            CAST('0x' || substr(s.h, 1, 8) AS BIGINT) % (SELECT greatest(64, (count(*) + 999999) // 1000000) FROM documents), s.h) AS r
   FROM sized s JOIN targets t ON s.k = t.k),
 placed AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS c,
@@ -124,6 +144,7 @@ FROM placed
 
 
 def op7_mix_systematic(spark, sf_dir):
+    """The texts are read once: their sizes and hashes are kept, and both passes are over these."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    mixed = mix(docs)
-    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_copies").alias("copies"))
+    found = _taken(cut(_sized(docs, ["doc_id"])), WEIGHTS, CAP, SEED, None)
+    return found.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
