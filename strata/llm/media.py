@@ -20,6 +20,7 @@ an unreadable payload is null; long texts only mean more frames.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -129,7 +130,7 @@ def _tags(data: bytes) -> tuple[int, int, dict[str, str], list[str]]:
         at, stop = start + 10, start + 10 + size
         while at + 10 <= stop and data[at : at + 4].strip(b"\0"):
             n = sum((b & 0x7F) << s for b, s in zip(data[at + 4 : at + 8], (21, 14, 7, 0))) if data[start + 3] == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-            if data[at : at + 4] == b"TXXX" and n > 1 and data[at + 10] == 0:
+            if data[at : at + 4] == b"TXXX" and n > 1 and data[at + 10 : at + 11] == b"\0":
                 key, _, value = data[at + 11 : at + 10 + n].decode("latin-1").partition("\0")
                 fields[key] = value
             at += 10 + n
@@ -194,7 +195,7 @@ def parse(data: bytes) -> dict:
                 out["seek"] = [x * (out["table_bytes"] or end - at) // 256 + at for x in data[p : p + 100]]
             at = stop
             continue
-        if h.layer == 3 and not offsets and out["table_frames"] is None and data[at + 36 : at + 40] == b"VBRI":
+        if h.layer == 3 and not offsets and out["table_frames"] is None and data[at + 36 : at + 40] == b"VBRI" and at + 62 <= end:
             out["table_bytes"], out["table_frames"], n, scale, size, step = struct.unpack(">IIHHHH", data[at + 46 : at + 62])
             sizes = [int.from_bytes(data[p : p + size], "big") * scale for p in range(at + 62, min(at + 62 + n * size, stop), size)] if size else []
             out["seek"] = [stop + sum(sizes[:i]) for i in range(len(sizes))]
@@ -215,8 +216,9 @@ def parse(data: bytes) -> dict:
     payload = None
     if "payload" in fields:
         n, _, crc = fields["payload"].partition(":")
-        joined = b"".join(body)[: int(n)]
-        payload = joined if len(joined) == int(n) and f"{zlib.crc32(joined):08x}" == crc else None
+        size = int(n) if re.fullmatch("[0-9]{1,18}", n) else -1
+        joined = b"".join(body)[: max(size, 0)]
+        payload = joined if len(joined) == size and f"{zlib.crc32(joined):08x}" == crc else None
     return out | {"offsets": offsets, "tags": tags, "payload": payload, "duration_us": out["samples"] * 1_000_000 // out["rate"] if out["rate"] else 0}
 
 
