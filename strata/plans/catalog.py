@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import codes, dates, keys, text
 from strata.operators import flatten, latest, pages, quality, scd, search
+from strata.operators.index import TextIndex
 from strata.operators.upsert import merge, upsert
 from strata.plans import incremental, serve, staging, star
 from strata.sources.buckets import BucketStore
@@ -562,6 +563,21 @@ def keyword_search(s, d):
     return search.keyword_search(table(s, d, "documents"), "doc_id", "text", ["license", "licensed"], 25)
 
 
+@query(f"""
+WITH w AS (SELECT doc_id AS id, coalesce({_TOKENS}, []) AS words FROM documents),
+d AS (SELECT id, len(words) AS dl, len(list_filter(words, lambda x: x = 'license')) AS a, len(list_filter(words, lambda x: x = 'the')) AS b FROM w),
+s AS (SELECT count(*) AS n, sum(dl) / count(*) AS mean, count(*) FILTER (WHERE a > 0) AS na, count(*) FILTER (WHERE b > 0) AS nb FROM d),
+r AS (SELECT id, coalesce(CASE WHEN a > 0 THEN ln(1 + (n - na + 0.5) / (na + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / mean)) END, 0) + coalesce(CASE WHEN b > 0 THEN ln(1 + (n - nb + 0.5) / (nb + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / mean)) END, 0) AS score FROM d, s WHERE a + b > 0)
+SELECT id, round(score, 6) AS score FROM r ORDER BY round(score, 9) DESC, id LIMIT 20""")
+def search_bm25(s, d):
+    """The twenty best documents for two words, from an index of two segments."""
+    found = TextIndex(s, scratch(s, "index"))
+    docs = table(s, d, "documents").select("doc_id", "text", F.coalesce(F.col("lang") == "en", F.lit(False)).alias("english"))
+    for english in (True, False):
+        found.add(docs.where(F.col("english") == english), "doc_id", "text")
+    return found.search(["License", "the"], 20).withColumn("score", F.round("score", 6))
+
+
 @query("SELECT doc_id, sha256(text) <> sha256(CASE WHEN lang = 'fr' THEN text || ' ' ELSE text END) AS changed FROM documents")
 def text_change(s, d):
     docs = table(s, d, "documents").select("doc_id", "text", "lang")
