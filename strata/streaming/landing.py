@@ -79,7 +79,7 @@ def landed(spark: SparkSession, target: str, ddl: str, only: list[str] | None =
     wanted = where if only is None else {b: where[b] for b in only if b in where}
     rows = _folders(spark, target, ddl, sorted({folder for folder, _ in wanted.values()}))
     # A packed folder may hold other batches too.
-    return (rows if only is None else rows.where(F.col("batch").isin(list(wanted)))).drop("batch")
+    return (rows if only is None else rows.where(F.col("batch").isin([b.removeprefix("batch=") for b in wanted]))).drop("batch")
 
 
 def _folders(spark: SparkSession, target: str, ddl: str, folders: list[str]) -> DataFrame:
