@@ -15,6 +15,8 @@ rows; the walk is linear in the text.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -220,11 +222,15 @@ def chain(runs) -> list[tuple[str, int, int, float]]:
                 if covered >= (COVERED if size >= SHORT else 1.0) * size:
                     found.append((covered, first, start + n, name[0], min(1.0, covered / size)))
             best = [b for b in best if b[2] + MAX_GAP >= start] + made
-    kept = []
+    # Those kept so far don't overlap, so in their order only two can be in the way of another.
+    firsts: list[int] = []
+    kept: list[tuple[str, int, int, float]] = []
     for covered, first, end, label, share in sorted(found, key=lambda f: (-f[0], *f[1:])):
-        if all(end <= f or first >= e for _, f, e, _ in kept):
-            kept.append((label, first, end, share))
-    return sorted(kept, key=lambda k: k[1:])
+        at = bisect_right(firsts, first)
+        if (not at or kept[at - 1][2] <= first) and (at == len(kept) or firsts[at] >= end):
+            firsts.insert(at, first)
+            kept.insert(at, (label, first, end, share))
+    return kept
 
 
 def licence_spans(docs: DataFrame) -> DataFrame:
