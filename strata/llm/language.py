@@ -1,22 +1,24 @@
 """Language identification word by word with a linear-chain conditional random field.
 
-Words (runs of letters, lower-cased) are labelled with languages. The score of a label at a word adds learned weights of
+Words (runs of letters and the marks that combine with them, lower-cased) are labelled with languages. The score of a label at a word adds learned weights of
 affixes (the first and last one to three characters, marked as such), character n-grams of two to four, and the word itself
 where the lexicon of frequent training words has it; learned transition weights tie neighbouring labels. Forward-backward
 gives each word's label probabilities, which a document averages over all its words: the language with the largest share
 is its prediction, the share its score. In code-switched text the words keep labels of their own (``word_labels``).
 
-A chain is at most ``CHAIN`` consecutive words; longer texts are several chains, all of which count.
+A chain is at most ``CHAIN`` consecutive words; longer texts are several chains, each of which begins and ends ``CONTEXT`` words
+beyond those that it labels, so that no word is judged without its neighbours. Every word is labelled by one chain.
 
-Training: a bounded sample of the documents with a language. The languages come from all of them, the ``MOST_LANGUAGES`` most
-frequent ones; each gives an equal part of ``SAMPLE_ROWS`` different documents (``LEAST_ROWS`` at least, if it has them), those
-with the smallest hash of id and text, and of each its first ``SAMPLE_CHARS`` characters. They fit on the driver (a few MB),
+Training: a bounded sample of the documents with a language. The languages come from all of them; more than ``MOST_LANGUAGES``
+raise, since weights and sample grow with them, so none is left out unsaid. Each gives an equal part of ``SAMPLE_ROWS`` different
+documents (``LEAST_ROWS`` at least, if it has them), those with the smallest hash of id and text, and of each one window of
+``SAMPLE_CHARS`` characters, which the hash picks from all windows of its whole text. They fit on the driver (a few MB),
 every word of theirs labelled with its document's language. Further chains are spliced from documents of two languages, so
 that transitions between languages are learned too. Weights start at the log-odds of features and are then trained by gradient
 steps on the chains' likelihood. The weights are broadcast: their size is fixed by ``BUCKETS``, whatever the corpus.
 
 Defined cases: a text that is null or has no letter is 'und' with score 0; languages are those of the sample; a sample
-without any language predicts 'und' everywhere; an empty table gives no rows; repeated rows give equal rows.
+without any language predicts 'und' everywhere; marks without a letter are no word; an empty table gives no rows; repeated rows give equal rows.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,21 +41,23 @@ MOST_LANGUAGES = 100
 BUCKETS = 1 << 16
 LEXICON = 2000
 CHAIN = 64
+CONTEXT = 8
 EPOCHS = 3
 BATCH = 64
 RATE = 0.5
 UNKNOWN = "und"
 REMEMBER = 200_000
-_WORD = re.compile(r"[^\W\d_]+")
+_ASCII = re.compile("[a-z]+")
+_WORD = regex.compile(r"[\p{L}\p{M}]+")
 _ORDERS = (2, 3, 4)
 
 
 def split_words(text: str) -> list[str]:
-    """Runs of letters. The pattern also takes numbers such as ½, ² and Ⅷ, which aren't letters."""
+    """Runs of letters and combining marks with a letter among them."""
+    if text.isascii():
+        return _ASCII.findall(text.lower())
     words = _WORD.findall(text.lower())
-    if "".join(words).isalpha():
-        return words
-    return [part for w in words for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+    return words if "".join(words).isalpha() else [w for w in words if any(map(str.isalpha, w))]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -133,6 +138,18 @@ def chains(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(starts, np.int64), np.array(sizes, np.int64)
 
 
+def overlapping(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of chains that overlap, and from which word to which each of them labels."""
+    step, rows, at = CHAIN - 2 * CONTEXT, [], 0
+    for n in counts:
+        begins = range(0, max(1, n - 2 * CONTEXT), step) if n else ()
+        for a in begins:
+            size = min(CHAIN, n - a)
+            rows.append((at + a, size, CONTEXT if a else 0, size if a == begins[-1] else CHAIN - CONTEXT))
+        at += n
+    return tuple(np.array(rows, np.int64).reshape(-1, 4).T)
+
+
 def spliced(docs: list[tuple[list[str], list[int]]], many: int) -> list[tuple[list[str], list[int]]]:
     """``many`` chains of runs of 3 to 20 words, in turn from two documents of different languages."""
     rng, out = np.random.default_rng(11), []
@@ -234,14 +251,14 @@ class Labeller:
         docs = [split_words(t) for t in texts]
         ids = self.word_ids([w for d in docs for w in d])
         counts = [len(d) for d in docs]
-        starts, sizes = chains(counts)
-        out = np.zeros((len(ids), len(self.model.languages)))
+        starts, sizes, since, until = overlapping(counts)
+        out, places = np.zeros((len(ids), len(self.model.languages))), np.arange(CHAIN)[None, :]
         for a in range(0, len(starts), 1024):
-            s, n = starts[a : a + 1024], sizes[a : a + 1024]
-            live = np.arange(CHAIN)[None, :] < n[:, None]
-            at = np.where(live, s[:, None] + np.arange(CHAIN), s[:, None])
-            post, _ = forward_backward(self.scores[ids[at]], n, self.model.transitions)
-            out[at[live]] = post[live]
+            s, n, first, end = (x[a : a + 1024, None] for x in (starts, sizes, since, until))
+            at = np.where(places < n, s + places, s)
+            post, _ = forward_backward(self.scores[ids[at]], n[:, 0], self.model.transitions)
+            labels = (places >= first) & (places < end)
+            out[at[labels]] = post[labels]
         return np.split(out, np.cumsum(counts)[:-1])
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
@@ -264,19 +281,22 @@ class Labeller:
         return [(w, self.model.languages[int(y)]) for w, y in zip(split_words(text), post.argmax(1))] if len(post) else []
 
 
-def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """The bounded sample: (text, language) of different documents of each language, those with the smallest hash of id and text.
+def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """The bounded sample: (window of the text, language) of different documents of each language, those with the smallest hash of id and text.
 
     The number of different hashes of a language gives the share of the hash range where about a third more than its part
     lie; only those leave their tasks, and copies of one document are one, so what reaches the driver is bounded.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(11)), F.lit(1 << 40))
-    known = known.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), place.alias("place"))
-    found = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("place").alias("different"))
-    languages = found.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", place.alias("place"))
+    windows = F.greatest(F.ceil(F.length("text") / chars), F.lit(1))
+    known = known.select("lang", F.col("text").substr((F.pmod(F.col("place"), windows) * chars + 1).cast("int"), F.lit(chars)).alias("text"), "place")
+    found = known.groupBy("lang").agg(F.approx_count_distinct("place").alias("different"))
+    languages = found.orderBy("lang").limit(most_languages + 1).collect()
     if not languages:
         return []
+    if len(languages) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: pass a larger most_languages, or map rare ones together")
     each = max(LEAST_ROWS, rows // len(languages))
     most = {r["lang"]: int(min(1.0, (each * 4 / 3 + 20) / max(1, r["different"])) * (1 << 40)) for r in languages}
     limit = F.create_map(*(F.lit(x) for pair in most.items() for x in pair))[F.col("lang")]
@@ -287,8 +307,8 @@ def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str,
     return [(text, lang) for lang in sorted(by) for _, text in sorted(by[lang])[:each]]
 
 
-def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    return fit(training_sample(docs, rows))
+def train(docs: DataFrame, rows: int = SAMPLE_ROWS, **bounds) -> Model:
+    return fit(training_sample(docs, rows, **bounds))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -303,6 +303,36 @@ def test_rare_languages_are_learned_and_long_texts_cut(spark):
     assert sum(lang == "es" for _, lang in sample) == 3 and max(len(t) for t, _ in sample) <= language.SAMPLE_CHARS
 
 
+def test_training_windows_come_from_the_whole_text(spark):
+    rows = [(i, "anfang " * 2000 + "ende " * 4000, "de") for i in range(60)]
+    sample = [text for text, _ in language.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))]
+    assert any("anfang" in t for t in sample) and any("ende" in t for t in sample) and max(map(len, sample)) <= language.SAMPLE_CHARS
+
+
+def test_too_many_languages_raise(spark):
+    docs = spark.createDataFrame([(i, f"word{i}", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    assert len(language.training_sample(docs, most_languages=5)) == 5
+    with pytest.raises(ValueError, match="most_languages"):
+        language.training_sample(docs, most_languages=4)
+
+
+def test_words_keep_combining_marks():
+    assert language.split_words("नमस्ते दुनिया") == ["नमस्ते", "दुनिया"] and language.split_words("สวัสดีครับ") == ["สวัสดีครับ"]
+    assert language.split_words("cafe\u0301 \u0301\u0302 x1\u0301") == ["cafe\u0301", "x"]
+
+
+@pytest.mark.parametrize("n", [0, 1, 48, 63, 64, 65, 112, 113, 500])
+def test_each_word_is_labelled_by_one_chain_with_context(n):
+    seen = np.zeros(n + 3, int)
+    for start, size, since, until in zip(*language.overlapping([0, n, 3, 0])):
+        assert size <= language.CHAIN and 0 <= since < until <= size
+        seen[start + since : start + until] += 1
+        if start < n:
+            assert (since == 0) == (start == 0) and (until == size) == (start + size == n)
+            assert since in (0, language.CONTEXT) and size - until in (0, language.CONTEXT)
+    assert (seen == 1).all()
+
+
 def test_words_of_spliced_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL AND text IS NOT NULL")
     model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
