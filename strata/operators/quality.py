@@ -58,6 +58,11 @@ def parses(df: DataFrame, raw: str, parsed: str, table: str) -> DataFrame:
     return _result(F.count_if(F.col(raw).isNotNull() & (F.trim(raw) != "") & F.col(parsed).isNull()), f"parses_{raw}", table, df)
 
 
+def drifted(records: DataFrame, table: str, rest: str = "_rest") -> DataFrame:
+    """Records with fields or values that their schema has no place for; a record landed before these were kept has none."""
+    return _result(F.count_if(F.coalesce(F.size(rest), F.lit(0)) > 0), "drifted", table, records)
+
+
 def not_empty(df: DataFrame, table: str) -> DataFrame:
     return _result(F.when(F.count(F.lit(1)) == 0, 1).otherwise(0), "not_empty", table, df)
 

@@ -17,6 +17,7 @@ from strata.operators import flatten, latest, pages, quality, scd, search
 from strata.operators.index import TextIndex
 from strata.operators.upsert import merge, upsert
 from strata.plans import incremental, serve, staging, star
+from strata.sources import drift
 from strata.sources.buckets import BucketStore
 from strata.sources.ingest import read_documents, split_broken
 from strata.sources.schemas import table
@@ -556,6 +557,22 @@ def keyword_tags(s, d):
     return search.keyword_tags(table(s, d, "documents"), "doc_id", "text", {"function": ("the", "les"), "insult": ("idiot", "loser", "worthless")})
 
 
+@query(f"""
+WITH b AS (SELECT item_id, {_TOKENS} AS w FROM benchmark),
+p AS (SELECT DISTINCT 'opening' AS tag, array_to_string(w[1:2], ' ') AS phrase, len(w[1:2]) AS n FROM b WHERE len(w) > 0
+  UNION SELECT DISTINCT 'sentence', array_to_string(w[1:5], ' '), len(w[1:5]) FROM b WHERE len(w) > 0),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_TOKENS} AS w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT r, doc_id, i - 1 AS i, w[i:i+4] AS w FROM t),
+m AS (SELECT s.r, s.doc_id, s.i, p.tag, p.n FROM s, (VALUES (1), (2), (3), (4), (5)) v(n), p WHERE p.n = v.n AND len(s.w) >= v.n AND array_to_string(s.w[1:v.n], ' ') = p.phrase)
+SELECT doc_id, tag, CAST(count(*) AS BIGINT) AS n, min(i) AS first FROM (SELECT *, rank() OVER (PARTITION BY r, i ORDER BY n DESC) AS k FROM m) WHERE k = 1 GROUP BY doc_id, tag""")
+def phrase_tags(s, d):
+    """Where documents take up the first two words of a benchmark item, and where the first five: phrases from a table, the longest one at a word."""
+    words = search.tokens(F.col("text"))
+    first = lambda tag, n: table(s, d, "benchmark").select(F.lit(tag).alias("tag"), F.concat_ws(" ", F.slice(words, 1, n)).alias("phrase"))
+    return search.phrase_tags(table(s, d, "documents"), "doc_id", "text", first("opening", 2).unionByName(first("sentence", 5)))
+
+
 @query(f"""
 SELECT doc_id, CAST(len(list_filter({_TOKENS}, lambda x: x = 'license' OR x = 'licensed')) AS BIGINT) AS score FROM documents
 WHERE len(list_filter({_TOKENS}, lambda x: x = 'license' OR x = 'licensed')) > 0 ORDER BY score DESC, doc_id LIMIT 25""")
@@ -1098,6 +1115,46 @@ def tolerant_reread(s, d):
     return quality.report(*(df.agg(F.lit(ok).alias("good"), F.count(F.lit(1)).alias("n")) for ok, df in ((True, good), (False, broken))))
 
 
+DRIFTING = "event_id long, value double, items array<struct<name string>>"
+_DRIFT_PATH = "CASE event_type WHEN 'view' THEN 'items[].rank' WHEN 'click' THEN 'clicked_by' WHEN 'error' THEN 'value' WHEN 'purchase' THEN 'items' END"
+_DRIFT_PROBLEM = "CASE WHEN event_type IN ('view', 'click') THEN 'unknown' WHEN event_type IN ('error', 'purchase') THEN 'retyped' END"
+
+
+def _drifting(s, d) -> DataFrame:
+    """line, ingest_date: events as records of a source whose fields have changed since its schema was written, each kind in its own way."""
+    kind, user = F.col("event_type"), F.col("user_id")
+    value = F.when(kind == "error", F.format_string('"broken-%d"', "event_id")).otherwise(F.to_json(F.struct("value")).substr(F.lit(10), F.length(F.to_json(F.struct("value"))) - 10))
+    items = F.when(kind == "purchase", F.lit('"none"')).when(kind == "view", F.format_string('[{"name": "%s", "rank": %d}]', kind, user)).otherwise(F.format_string('[{"name": "%s"}]', kind))
+    more = F.when(kind == "click", F.format_string(', "clicked_by": %d', user)).otherwise(F.lit(""))
+    line = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "value": '), value, F.lit(', "items": '), items, more, F.lit("}"))
+    return table(s, d, "events").select(line.alias("line"), F.col("ts").cast("date").alias("ingest_date"))
+
+
+@query(f"""
+SELECT event_id, CASE WHEN event_type <> 'error' THEN value END AS value, CASE WHEN event_type <> 'purchase' THEN event_type END AS name, {_DRIFT_PATH} AS path, {_DRIFT_PROBLEM} AS problem,
+  CASE WHEN event_type IN ('view', 'click') THEN CAST(user_id AS VARCHAR) WHEN event_type = 'error' THEN 'broken-' || event_id WHEN event_type = 'purchase' THEN 'none' END AS kept FROM events""")
+def drift_rows(s, d):
+    """Every record with what its schema holds, and beside it what the schema has no place for."""
+    root = scratch(s, "drift")
+    _drifting(s, d).select("line").write.text(f"{root}/ingest_date=2024-01-08")
+    good = split_broken(drift.read_with_rest(s, root, DRIFTING, "*.txt", multi_line=False), "event_id")[0]
+    rest = good.select("event_id", "value", F.try_element_at("items", F.lit(1))["name"].alias("name"), F.explode_outer(drift.REST).alias("_e"))
+    return rest.select("event_id", "value", "name", "_e.path", "_e.problem", F.col("_e.value").cast("string").alias("kept"))
+
+
+@query(f"""
+SELECT CAST(ts AS DATE) AS ingest_date, {_DRIFT_PATH} AS path, {_DRIFT_PROBLEM} AS problem, count(*) AS n_records, count(*) AS n_values FROM events
+WHERE event_type <> 'signup' GROUP BY 1, 2, 3""")
+def drift_landed(s, d):
+    """The same records landed by the stream with their rest, packed, and what drifted counted by day of capture."""
+    root, bronze = scratch(s, "drift-landing"), f"{DRIFTING}, {drift.REST} {drift.REST_TYPE}"
+    lines = _drifting(s, d).select(F.col("line").alias("value"), "ingest_date")
+    lines.write.partitionBy("ingest_date").option("compression", "none").text(f"{root}/text")
+    land(s, f"{root}/text", DRIFTING, "event_id", f"{root}/bronze", f"{root}/checkpoint", multi_line=False, keep_rest=True, pattern="[!_]*.txt")
+    compact(s, f"{root}/bronze", bronze)
+    return drift.drift_report(landed(s, f"{root}/bronze", bronze), "ingest_date")
+
+
 @query("SELECT event_type <> 'view' AS late, count(*) AS n FROM events GROUP BY 1")
 def streams_in_turn(s, d):
     """Two landing zones drained one after the other; the second zone's new checkpoint on a target that holds data adds to it."""

@@ -6,9 +6,11 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.operators import quality
+from strata.sources import drift
 from strata.sources.buckets import BucketStore
 from strata.sources.schemas import MATTER, MEETING
 from strata.sources.sinks import Layers, as_view, remove, stored
@@ -21,6 +23,8 @@ from .staging import SILVER
 from .star import ENTITIES, Tables, build_gold, latest_captures, merged_rows
 
 ZONES = {"matters": MATTER, "meetings": MEETING}
+#: What lies in bronze: the declared fields, and what they have no place for.
+BRONZE = {zone: f"{ddl}, {drift.REST} {drift.REST_TYPE}" for zone, ddl in ZONES.items()}
 KEYS = {entity: key for entity, key, _ in ENTITIES}
 
 
@@ -41,12 +45,12 @@ class Run:
 
     def ingest(self) -> dict[str, Landed]:
         streams = {"matters": {"ddl": MATTER, "key": "file_number"}, "meetings": {"ddl": MEETING, "key": "meeting_id"}}
-        self.landed = land_all(self.spark, {n: {**s, **self._paths(n)} for n, s in streams.items()})
+        self.landed = land_all(self.spark, {n: {**s, **self._paths(n), "keep_rest": True} for n, s in streams.items()})
         return self.landed
 
     def compact(self) -> dict[str, int]:
         """Packs the small files that landing leaves, and removes what earlier packing and failed batches left; not while ``ingest`` runs."""
-        packed = {zone: compact(self.spark, f"{self.work}/bronze/{zone}", ddl) for zone, ddl in ZONES.items()}
+        packed = {zone: compact(self.spark, f"{self.work}/bronze/{zone}", ddl) for zone, ddl in BRONZE.items()}
         for zone in ZONES:
             BatchLog(self.spark, f"{self.work}/bronze/{zone}").vacuum()
         return packed
@@ -110,6 +114,13 @@ class Run:
         tables = gold(store)
         return {**tables, "member_vote_record": as_view(member_vote_record(tables), "member_vote_record")}
 
+    def _bronze(self, zone: str) -> DataFrame:
+        return landed(self.spark, f"{self.work}/bronze/{zone}", BRONZE[zone])
+
+    def drift(self) -> DataFrame:
+        """zone, path, problem, n_records, n_values of what has landed beside the declared fields."""
+        return quality.report(*(drift.drift_report(self._bronze(z).select(F.lit(z).alias("zone"), drift.REST), "zone") for z in ZONES))
+
     def check(self, tables: dict[str, DataFrame]) -> DataFrame:
         t = tables
         return quality.report(
@@ -124,6 +135,7 @@ class Run:
             quality.orphans(t["bridge_meeting_document"], "document_sk", t["dim_document"], "document_sk", "bridge_meeting_document"),
             quality.unique(t["fact_vote"], ["vote_sk"], "fact_vote"),
             merged_rows(t),
+            *(quality.drifted(self._bronze(zone), zone) for zone in ZONES),
             quality.no_fan_out(t["member_vote_record"], t["fact_vote"], "member_name", "member_vote_record"),
         )
 

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from strata.sources.drift import REST, with_rest
 from strata.sources.ingest import is_broken, lineage, split_broken
 from strata.sources.schemas import CORRUPT, schema
 
@@ -22,7 +23,7 @@ class Landed:
     batches: int = 0
 
 
-def land(spark: SparkSession, source: str, ddl: str, key: str, target: str, checkpoint: str, files_per_batch: int = 10_000, quarantine: str | None = None, multi_line: bool = True) -> Landed:
+def land(spark: SparkSession, source: str, ddl: str, key: str, target: str, checkpoint: str, files_per_batch: int = 10_000, quarantine: str | None = None, multi_line: bool = True, keep_rest: bool = False, pattern: str = "[!_]*.json") -> Landed:
     """Appends the records of files not seen before to ``target``, by ingest_date, and stops when none is left.
 
     A batch writes below a folder of its own, named by the query (which the checkpoint identifies) and its number, and then enters its
@@ -30,19 +31,18 @@ def land(spark: SparkSession, source: str, ddl: str, key: str, target: str, chec
     never came to its end isn't in the log, so whoever finds its files next lands them. A new checkpoint is a new
     query: files that the log has from other queries are left out. Broken records go to ``quarantine`` if that is given,
     else they are only counted. A batch is parsed once, and once more only where broken records are to be kept.
+    With ``keep_rest``, fields that ``ddl`` doesn't declare and values that its types can't hold are landed too, in ``_rest`` (``drift``);
+    a file is then one record, so one with an array on top is broken.
     """
     out = Landed()
     log = BatchLog(spark, target)
     query_id: list[str] = []
-    stream = (
-        spark.readStream.schema(schema(ddl, corrupt=True))
-        .option("multiLine", multi_line)
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("pathGlobFilter", "[!_]*.json")
-        .option("recursiveFileLookup", True)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .json(source)
-    )
+    reader = spark.readStream.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
+    # Lineage is stamped on the stream itself, where the file's metadata is at hand.
+    if keep_rest:
+        stream = with_rest(lineage(reader.text(source, wholetext=multi_line)), ddl)
+    else:
+        stream = lineage(reader.schema(schema(ddl, corrupt=True)).option("multiLine", multi_line).option("columnNameOfCorruptRecord", CORRUPT).json(source))
 
     def batch(df: DataFrame, batch_id: int) -> None:
         if not query_id:
@@ -55,15 +55,14 @@ def land(spark: SparkSession, source: str, ddl: str, key: str, target: str, chec
         split_broken(counted, key)[0].write.mode("overwrite").partitionBy("ingest_date").parquet(f"{target}/{name}")
         files = spark.read.schema("source_file string").parquet(f"{target}/{name}").select("source_file")
         if quarantine and seen.get["broken"]:
-            split_broken(df, key)[1].write.mode("overwrite").json(f"{quarantine}/{name}")
+            split_broken(df, key)[1].drop(REST).write.mode("overwrite").json(f"{quarantine}/{name}")
             files = files.unionByName(spark.read.schema("source_file string").json(f"{quarantine}/{name}"))
         log.record(name, files.distinct())
         out.rows += seen.get["good"]
         out.quarantined += seen.get["broken"]
         out.batches += 1
 
-    # Lineage is stamped on the stream itself, where the file's metadata is at hand.
-    query = lineage(stream).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return out
 
