@@ -31,6 +31,8 @@ LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdat
 #: Order codes as this catalogue maps them; P stays unmapped on purpose.
 STATUS = {"passed": ("f",), "in_progress": ("o",)}
 CUT = "1998-01-01"
+#: Event numbers on one calendar page.
+SHEET = 200
 #: Days of capture, and the priority of the orders that are captured on the first of them only.
 EARLY, LATE, ONCE = "2024-01-01", "2024-01-08", "4-NOT SPECIFIED"
 
@@ -975,12 +977,14 @@ def meeting_page_items(s, d):
 SELECT CAST(event_id AS VARCHAR) AS meeting_id, 'AB-' || event_id AS event_guid, event_type AS body_name, 'Room ' || user_id AS location, 'Special' AS meeting_subtype, event_type = 'view' AS has_minutes
 FROM events WHERE event_type <> 'error'""")
 def calendar_page_rows(s, d):
-    """Days as calendar pages, read back; error events have no detail link, so they are no meetings. Each month has a shape of its own."""
+    """Days as calendar pages of up to SHEET numbers each, read back, so that a busy day is more pages and not a longer one. Error events
+    have no detail link, so they are no meetings. The last digit of a page's number picks its shape.
+    """
     link = F.when(F.col("event_type") != "error", F.concat(F.lit('<a href="MeetingDetail.aspx?ID='), F.col("event_id").cast("string"), F.lit("&amp;GUID=ab-"), F.col("event_id").cast("string"), F.lit('">d</a>'))).otherwise(F.lit("none"))
     minutes = F.when(F.col("event_type") == "view", F.lit('<a href="View.ashx?M=M">Minutes</a>')).otherwise(F.lit("Not&nbsp;available"))
-    rows = table(s, d, "events").select(F.col("ts").cast("date").alias("day"), _cells(F.col("event_type"), "1/1/2024", "", "", F.concat(F.lit("Room "), F.col("user_id").cast("string"), F.lit(" special  Meeting")), link, "", minutes).alias("r"))
-    sheets = rows.groupBy(F.col("day").alias("page_id")).agg(_grid(F.array_join(F.collect_list("r"), "")).alias("html"))
-    sheets = sheets.withColumn("html", _shaped(F.col("html"), F.month("page_id") % 5))
+    rows = table(s, d, "events").select(F.col("ts").cast("date").alias("day"), F.floor(F.col("event_id") / SHEET).alias("sheet"), _cells(F.col("event_type"), "1/1/2024", "", "", F.concat(F.lit("Room "), F.col("user_id").cast("string"), F.lit(" special  Meeting")), link, "", minutes).alias("r"))
+    sheets = rows.groupBy(F.col("day").alias("page_id"), "sheet").agg(_grid(F.array_join(F.collect_list("r"), "")).alias("html"))
+    sheets = sheets.withColumn("html", _shaped(F.col("html"), F.pmod("sheet", F.lit(5))))
     return pages.calendar_rows(sheets, "https://records.example").select("meeting_id", "event_guid", "body_name", "location", "meeting_subtype", "has_minutes")
 
 

@@ -63,3 +63,31 @@ def test_columns_beside_the_page_stay(spark):
     df = spark.createDataFrame([(1, ["a"], "<p id=k>v", 2.5)], "tree2 int, `odd name` array<string>, html string, w double")
     r = tags.with_tree(df).first()
     assert (r["tree2"], r["odd name"], r["w"], r["tree"]["labels"][0]["text"]) == (1, ["a"], 2.5, "v")
+
+
+def test_a_busy_day_is_more_pages_not_a_longer_one(spark, tmp_path, sf_dir, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from strata.plans import catalog
+
+    sheets = {}
+    monkeypatch.setattr(catalog.pages, "calendar_rows", lambda df, *a: sheets.update(df=df) or df.select(*(F.lit(1).alias(c) for c in ("meeting_id", "event_guid", "body_name", "location", "meeting_subtype", "has_minutes"))))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.crossJoin(spark.range(20).withColumnRenamed("id", "copy")).withColumn("event_id", F.col("event_id") + F.col("copy") * events.count()).drop("copy").write.parquet(f"{tmp_path}/events.parquet")
+    longest = lambda: sheets["df"].agg(F.max(F.regexp_count(F.lower("html"), F.lit("<tr")))).first()[0]
+    catalog.calendar_page_rows(spark, str(tmp_path))
+    assert longest() <= 5 * 12 * catalog.SHEET and sheets["df"].count() > 20
+
+
+def test_pages_held_at_a_time_are_bounded_by_their_length():
+    some = ["x" * (tags.CHARACTERS // 2), None, "x" * tags.CHARACTERS, "", *[""] * 100]
+    runs = list(tags.portions(some))
+    assert runs[:2] == [(0, 3), (3, 67)] and runs[-1][1] == len(some) and [a for a, _ in runs[1:]] == [b for _, b in runs[:-1]]
+    assert list(tags.portions([])) == []
+
+
+def test_cells_of_text_alone_read_as_any_others():
+    whole = "<table><tr><td>a &amp; b</td><TD></td><td>x</TD></tr></table><td>loose</td><table><td>no row</td><tr><td>1</td><td id=i>2<table><tr><td>in</td></tr></table></td></tr></table>"
+    apart = whole.replace("<td>", "<td >").replace("<TD>", "<TD >")
+    assert tags.tree(whole) == {**tags.tree(apart), "attributes": tags.tree(whole)["attributes"]}
+    assert [[c["text"] for c in r["cells"]] for t in tags.tree(whole)["tables"] for r in t["rows"]] == [["a & b", None, "x"], ["1", "2 in"], ["in"]]
