@@ -1026,7 +1026,8 @@ def payload_roundtrip(s, d):
 
 def _detail_pages(s, d) -> DataFrame:
     """Orders as detail pages with their lines as history: those with status P carry no file number, those without lines no grid."""
-    nested = table(s, d, "orders").join(_nested(s, d), "o_orderkey", "left")
+    # Merged, so that pages lie in as many tasks as the shuffle makes: broadcast lines left them in the orders' few files.
+    nested = table(s, d, "orders").join(_nested(s, d).hint("merge"), "o_orderkey", "left")
 
     def row(line):
         link = F.concat(F.lit("<a onclick=\"radopen('HistoryDetail.aspx?ID="), F.col("o_orderkey").cast("string"), F.lit("-"), line["l_suppkey"].cast("string"), F.lit("', 'x')\">Details</a>"))

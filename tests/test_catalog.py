@@ -39,3 +39,13 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).limit(1).count() == 1 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_detail_pages_are_spread_by_a_shuffle(spark, sf_dir):
+    """Lines that are small in their file would be broadcast, and the pages read in as few tasks as the orders have files."""
+    from strata.plans import catalog
+
+    for query in (catalog.page_quarantine, catalog.page_drift_signal, catalog.entity_page_records):
+        plan = query(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+        below = plan[plan.index("MapInArrow") :]
+        assert "SortMergeJoin" in below and "BroadcastHashJoin [o_orderkey" not in below
