@@ -49,3 +49,13 @@ def test_detail_pages_are_spread_by_a_shuffle(spark, sf_dir):
         plan = query(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
         below = plan[plan.index("MapInArrow") :]
         assert "SortMergeJoin" in below and "BroadcastHashJoin [o_orderkey" not in below
+
+
+def test_star_broadcasts_nothing_as_large_as_the_votes(spark, sf_dir):
+    """Of the record's tables only the committees may be broadcast; the orders' and events' own are merged, however small their files."""
+    from strata.plans import catalog
+
+    plan = catalog.medallion_vote_record(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    lines = [x for x in plan.splitlines() if "BroadcastHashJoin" in x]
+    assert all("committee_sk" in x for x in lines), lines
+    assert plan.count("SortMergeJoin") >= 5
