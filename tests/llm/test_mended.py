@@ -41,6 +41,40 @@ def test_near_dedup_carries_any_columns(spark):
     assert all(r["_row"] == "r" and r["_rank"] == 4 and r["whole"] == "z" for r in got.collect())
 
 
+@pytest.mark.parametrize("sizes", [near_dedup.ALIGNED, (40, 60)])
+def test_large_groups_are_compared_whole(spark, monkeypatch, sizes):
+    """Texts of one template, some of them alike: all that share a sketch and align are of one class, in one block a group or in many."""
+    r = random.Random(21)
+    passage, rows = [f"p{i}" for i in range(150)], []
+    for k in range(300):
+        own = [f"w{r.randrange(10**6)}" for _ in range(50)]
+        at = r.randrange(51)
+        base = own[:at] + passage + own[at:]
+        rows.append((len(rows), " ".join(base)))
+        if k < 40:
+            w = base[:]
+            for i in r.sample(range(200), 36):
+                w[i] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    words = [t.split() for _, t in rows]
+    sketches = [near_dedup.order_minhash([w.encode() for w in t]) for t in words]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if (sketches[a] == sketches[b]).any() and near_dedup.alike(rows[a][1], rows[b][1]):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    monkeypatch.setattr(near_dedup, "COUNTED", sizes if sizes[0] < 100 else near_dedup.COUNTED)
+    monkeypatch.setattr(near_dedup, "ALIGNED", sizes)
+    got = {x.doc_id: x.class_id for x in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in got} and len(set(got.values())) <= 300
+
+
 def test_mix_agrees_on_rows_of_one_id(spark):
     rng = random.Random(3)
     rows = [(7, "w " * rng.randrange(1, 22), "a") for _ in range(600)] + [(i, "w " * 5, "b") for i in range(200)]
