@@ -15,6 +15,8 @@ from strata.sources.schemas import CORRUPT, schema
 
 from .log import BatchLog
 
+SALTS = 16
+
 
 @dataclass
 class Landed:
@@ -49,7 +51,9 @@ def land(spark: SparkSession, source: str, ddl: str, key: str, target: str, chec
             query_id.append(json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"])
         name = f"batch={query_id[0]}-{batch_id}"
         others = log.rows().where(~F.col("batch").startswith(f"batch={query_id[0]}-") & F.col("source_file").isNotNull())
-        df = df.join(others.select("source_file"), "source_file", "left_anti").select(*df.columns)
+        # Salted, so that the rows of one large file aren't one task.
+        others = others.select("source_file").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(others, ["source_file", "_salt"], "left_anti").select(*df.columns)
         seen = Observation()  # counts come from the write itself
         counted = df.observe(seen, F.count_if(~is_broken(key)).alias("good"), F.count_if(is_broken(key)).alias("broken"))
         split_broken(counted, key)[0].write.mode("overwrite").partitionBy("ingest_date").parquet(f"{target}/{name}")

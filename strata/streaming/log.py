@@ -22,6 +22,8 @@ from strata.sources.sinks import Snapshots, remove
 ENTRY = "batch string, folder string, source_file string, n_bytes long"
 #: Entries that are gathered into a snapshot, so that what a reader lists stays short.
 ENTRIES = 20
+#: Rows that a task sorts and writes into a packed file, at most about: rows that compress well are many more in memory than in a file.
+PACK_ROWS = 500_000
 
 
 class BatchLog:
@@ -88,7 +90,11 @@ class BatchLog:
         moved: dict[str, tuple[str, int]] = {}
         for pack in (p for p in packs if len(p) > 1):
             name = f"pack={uuid.uuid4().hex}"
-            read(pack).hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(f"{self.target}/{name}")
+            rows = read(pack)
+            n = max(1, -(-rows.count() // PACK_ROWS), -(-2 * sum(by_folder[f] for f in pack) // target_bytes))
+            # Ranges cut a partition that has many rows and leave small ones whole.
+            dealt = rows.repartitionByRange(n, *partition_by, F.xxhash64(*(c for c in rows.columns if c not in partition_by and rows.schema[c].dataType.typeName() not in ("map", "variant"))))
+            dealt.write.partitionBy(*partition_by).parquet(f"{self.target}/{name}")
             moved |= dict.fromkeys(pack, (name, self._size(name)))
         if moved:
             to = self.spark.createDataFrame([(f, n, size) for f, (n, size) in moved.items()], "folder string, _to string, _size long")

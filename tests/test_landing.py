@@ -68,3 +68,15 @@ def test_packing_keeps_rows_batches_and_readers(spark, tmp_path, monkeypatch):
     assert compact(spark, target, MATTER) == 0
     assert rows(landed(spark, target, MATTER), "file_number") == [(k,) for k in "123456789"]
     assert compact(spark, f"{tmp_path}/nothing", MATTER) == 0 and landed(spark, f"{tmp_path}/nothing", MATTER).count() == 0
+
+
+def test_many_rows_are_packed_by_several_tasks(spark, tmp_path, monkeypatch):
+    for n in "12345678":
+        zone(tmp_path, n)
+        land(spark, **settings(tmp_path, "c1"))
+    monkeypatch.setattr(log_module, "PACK_ROWS", 2, raising=False)
+    target = f"{tmp_path}/b"
+    assert compact(spark, target, MATTER) == 8
+    pack = next(n for n in os.listdir(target) if n.startswith("pack="))
+    assert sum(f.endswith(".parquet") and f[0] != "." for _, _, names in os.walk(f"{target}/{pack}") for f in names) > 1
+    assert rows(landed(spark, target, MATTER), "file_number") == [(k,) for k in "12345678"]
