@@ -182,12 +182,18 @@ def roll_call(tree: Column) -> Column:
     last cell, as it stands, and ``known`` says whether it is one of the literals.
     """
 
-    def vote(r: Column) -> Column:
-        person, value, linked = text_cell(r, 0), text_cell(r, -1), href(cell(r, 0), r"PersonDetail\.aspx")
-        counts = (n_cells(r) >= 2) & value.isNotNull() & (linked.isNotNull() | (person.isNotNull() & value.isin(*VOTE_LITERALS)))
-        return F.when(counts, F.struct(url_id(linked).alias("person_id"), F.coalesce(person, F.lit("")).alias("person_name"), value.alias("vote_value"), value.isin(*VOTE_LITERALS).alias("known")))
+    # In steps, since each use of an expression inside a lambda evaluates it again.
+    def read(r: Column) -> Column:
+        value = text_cell(r, -1)
+        return F.struct(text_cell(r, 0).alias("person"), value.alias("value"), value.isin(*VOTE_LITERALS).alias("known"), href(cell(r, 0), r"PersonDetail\.aspx").alias("link"), n_cells(r).alias("n"))
 
-    return F.array_compact(F.transform(rows(grid(tree)), vote))
+    def counts(x: Column) -> Column:
+        return (x["n"] >= 2) & x["value"].isNotNull() & (x["link"].isNotNull() | (x["person"].isNotNull() & x["known"]))
+
+    def vote(x: Column) -> Column:
+        return F.struct(url_id(x["link"]).alias("person_id"), F.coalesce(x["person"], F.lit("")).alias("person_name"), x["value"].alias("vote_value"), x["known"].alias("known"))
+
+    return F.transform(F.filter(F.transform(rows(grid(tree)), read), counts), vote)
 
 
 def roll_call_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:

@@ -33,6 +33,8 @@ STATUS = {"passed": ("f",), "in_progress": ("o",)}
 CUT = "1998-01-01"
 #: Event numbers on one calendar page.
 SHEET = 200
+#: Lines whose pages one task writes and reads.
+LINES_PER_TASK = 500_000
 #: Days of capture, and the priority of the orders that are captured on the first of them only.
 EARLY, LATE, ONCE = "2024-01-01", "2024-01-08", "4-NOT SPECIFIED"
 
@@ -947,10 +949,13 @@ def roll_call_votes(s, d):
         return F.concat(F.lit("<tr><td><a href='#' href=\"PersonDetail.aspx?ID="), line["l_suppkey"].cast("string"), F.lit("\">Member</a></td><td></td><td><b>"), value, F.lit("</b></td></tr>"))
 
     lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", F.col("l_returnflag").alias("flag"))
+    # Dealt by rows: by their bytes, which are few, some tasks would get millions.
+    lines = lines.repartition(max(s.sparkContext.defaultParallelism, -(-lines.count() // LINES_PER_TASK)), "o_orderkey")
     nested = flatten.nest(lines, ["o_orderkey"], ["l_suppkey", "flag"], "lines")
     html = _grid(F.concat(F.array_join(F.transform("lines", row), ""), F.lit("<tr><td>Total</td><td>9</td></tr>")))
     calls = pages.roll_call_pages(nested.select(F.concat(F.lit("HistoryDetail.aspx?ID="), F.col("o_orderkey").cast("string")).alias("url"), html.alias("html")))
-    votes = flatten.unnest(calls, "votes", "v").select("history_id", *flatten.fields("v", person_id="person_id", vote_value="vote_value", known="known"))
+    # Outer, or Spark would work out all votes a second time for a filter on their number.
+    votes = flatten.unnest(calls, "votes", "v", outer=True).where("v IS NOT NULL").select("history_id", *flatten.fields("v", person_id="person_id", vote_value="vote_value", known="known"))
     return votes.groupBy("history_id", "person_id", "vote_value", "known").agg(F.count(F.lit(1)).alias("n"))
 
 
