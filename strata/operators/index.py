@@ -19,13 +19,17 @@ import re
 import uuid
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.shipping import ship
 
 TOKEN = re.compile("[a-z0-9]+")
+#: In place of a term: the postings of this one are the documents with their lengths, from which the statistics are summed.
+WHOLE = ""
 BUCKETS = 64
 BLOCK = 1024
 #: Shares of a bucket, so that a term which many documents have is gathered by several tasks.
@@ -37,48 +41,57 @@ _STATS = "segment string, n_docs long, n_words long"
 
 
 def _postings(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """A row for each word of a document, and one of no word for the document itself."""
     names = [f.split()[0] for f in _POSTING.split(", ")]
-    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                rows = []
-                for i, t in zip(*(c.to_pylist() for c in b.slice(at, 256).columns)):
+                part = b.slice(at, 256)
+                terms, tfs, sizes, lengths = [], [], [], []
+                for t in part.column(1).to_pylist():
                     words = TOKEN.findall(t.lower()) if t else []
-                    rows += [(w, i, n, len(words)) for w, n in Counter(words).items()]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    counts = Counter(words)
+                    terms.append(WHOLE)
+                    terms.extend(counts)
+                    tfs.append(len(words))
+                    tfs.extend(counts.values())
+                    sizes.append(len(counts) + 1)
+                    lengths.append(len(words))
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), ids, pa.array(tfs, pa.int32()), pa.array(np.repeat(np.array(lengths, np.int32), sizes))], names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, _POSTING)
 
 
 def _blocks(sorted_postings: DataFrame) -> DataFrame:
-    """Postings that come in order of term and falling frequency, in blocks."""
-    posting = pa.struct([("id", pa.int64()), ("tf", pa.int32()), ("dl", pa.int32())])
-    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(posting)]
+    """Postings that come by term and mostly by falling frequency, in blocks. What a batch leaves open goes on with the next one."""
     names = [f.split()[0] for f in _BLOCK.split(", ")]
+    most = BLOCK
 
-    def run(batches):
-        held, key, out = [], None, []
-
-        def close():
-            if held:
-                out.append((*key, len(held), max(p["tf"] for p in held), min(p["dl"] for p in held), list(held)))
-                held.clear()
+    def blocks(columns: list[pa.Array], starts: np.ndarray, end: int) -> pa.RecordBatch:
+        bucket, term, i, tf, dl = (c.slice(0, end) for c in columns)
+        at = pa.array(starts)
+        postings = pa.ListArray.from_arrays(pa.array(np.append(starts, end), pa.int32()), pa.StructArray.from_arrays([i, tf, dl], ["id", "tf", "dl"]))
+        lengths = pa.array(np.diff(np.append(starts, end)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([bucket.take(at), term.take(at), lengths, pa.array(np.maximum.reduceat(np.asarray(tf), starts)), pa.array(np.minimum.reduceat(np.asarray(dl), starts)), postings], names=names)
 
+    def run(batches):
+        held = None
         for b in batches:
-            for bucket, term, i, tf, dl in zip(*(c.to_pylist() for c in b.columns)):
-                if (bucket, term) != key or len(held) == BLOCK:
-                    close()
-                    key = (bucket, term)
-                held.append({"id": i, "tf": tf, "dl": dl})
-            if len(out) > 256:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-                out.clear()
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+            if not b.num_rows:
+                continue
+            columns = b.columns if held is None else [pa.concat_arrays(c) for c in zip(held, b.columns)]
+            n = len(columns[1])
+            new = np.append(True, np.asarray(pc.not_equal(columns[1].slice(1), columns[1].slice(0, n - 1))))
+            first = np.flatnonzero(new)
+            place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+            starts = np.flatnonzero(place % most == 0)
+            if len(starts) > 1:
+                yield blocks(columns, starts[:-1], int(starts[-1]))
+            held = [c.slice(int(starts[-1])) for c in columns]
+        if held is not None:
+            yield blocks(held, np.array([0]), len(held[1]))
 
     return sorted_postings.mapInArrow(run, _BLOCK)
 
@@ -90,6 +103,13 @@ class TextIndex:
     def _bucket(self, term: str | Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
+    def _place(self) -> Column:
+        """Term, falling frequency and length as one number, which Spark sorts without comparing rows: 32 bits of the term's hash, 12 of
+        the frequency and 20 of the length, capped. Terms that share the 32 bits, and what lies beyond the caps, only make looser blocks.
+        """
+        rare = F.shiftleft((F.lit(4095) - F.least(F.col("tf"), F.lit(4095))).cast("long"), 20)
+        return F.xxhash64("term").bitwiseAND(F.lit(-1 << 32)).bitwiseOR(rare).bitwiseOR(F.least(F.col("dl"), F.lit((1 << 20) - 1)).cast("long"))
+
     def add(self, docs: DataFrame, id_col: str, text: str) -> str:
         """Indexes further documents as a segment; what is there isn't touched."""
         ship(self.spark)
@@ -97,13 +117,17 @@ class TextIndex:
         at = f"{self.path}/postings/segment={segment}"
         dealt = _postings(docs, id_col, text).withColumn("_bucket", self._bucket("term"))
         share = F.pmod(F.xxhash64("id"), F.lit(SHARES))
-        ordered = dealt.repartition(F.col("_bucket"), share).sortWithinPartitions("_bucket", "term", F.desc("tf"), "dl", "id").select("_bucket", "term", "id", "tf", "dl")
+        ordered = dealt.repartition(F.col("_bucket"), share).sortWithinPartitions(self._place()).select("_bucket", "term", "id", "tf", "dl")
         _blocks(ordered).write.partitionBy("_bucket").parquet(at)
-        words = F.regexp_count(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN.pattern)).cast("long")
-        stats = docs.agg(F.lit(segment).alias("segment"), F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(words), F.lit(0)).alias("n_words"))
+        whole = self._stored(at).where((F.col("_bucket") == self._bucket(F.lit(WHOLE))) & (F.col("term") == WHOLE)).select(F.inline("postings"))
+        stats = whole.agg(F.lit(segment).alias("segment"), F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("tf"), F.lit(0)).alias("n_words"))
         stats.coalesce(1).write.mode("append").parquet(f"{self.path}/segments/{segment}")
         return segment
 
+    def _stored(self, *paths: str) -> DataFrame:
+        schema = _BLOCK.split(", ", 1)[1] + ", segment string, _bucket int"
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/postings").parquet(*paths)
+
     def segments(self) -> DataFrame:
         """One row for each segment that is whole."""
         return self.spark.read.schema(_STATS).option("recursiveFileLookup", True).parquet(f"{self.path}/segments")
@@ -112,9 +136,7 @@ class TextIndex:
         """The terms' blocks: a filter on their partitions and on the term."""
         numbers = sorted({r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(self._bucket("term")).collect()})
         whole = [r["segment"] for r in self.segments().select("segment").collect()]
-        schema = _BLOCK.split(", ", 1)[1] + ", segment string, _bucket int"
-        paths = [f"{self.path}/postings/segment={s}" for s in whole]
-        rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/postings").parquet(*paths)
+        rows = self._stored(*(f"{self.path}/postings/segment={s}" for s in whole))
         return rows.where(F.col("_bucket").isin(numbers) & F.col("term").isin(terms))
 
     def search(self, query: list[str], k: int, opened: list | None = None) -> DataFrame:

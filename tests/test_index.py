@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from strata.operators import index
 from strata.operators.index import TextIndex
 
@@ -51,3 +53,39 @@ def test_a_search_reads_its_terms_partitions(spark, tmp_path):
     plan = blocks._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "_bucket" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0] and "EqualTo(term,word7)" in plan
     assert blocks.count() == 1
+
+
+def test_a_segment_reads_its_texts_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(t):
+        seen.add(1)
+        return t
+
+    docs = spark.createDataFrame([(1, "One two, one"), (2, None), (3, ""), (4, "three")], "id long, body string").withColumn("body", F.udf(read, "string")("body"))
+    idx = TextIndex(spark, f"{tmp_path}/i", 4)
+    idx.add(docs, "id", "body")
+    assert seen.value == 4
+    assert [(r.n_docs, r.n_words) for r in idx.segments().collect()] == [(4, 4)]
+    idx.add(docs.limit(0), "id", "body")
+    assert sorted((r.n_docs, r.n_words) for r in idx.segments().collect()) == [(0, 0), (4, 4)]
+    assert [r.id for r in idx.search(["one", "three"], 5).collect()] == [4, 1]
+
+
+def test_blocks_go_on_over_batches(spark, tmp_path, monkeypatch):
+    """Postings of a term come in full blocks, whatever batches they arrive in."""
+    monkeypatch.setattr(index, "BLOCK", 8)
+    monkeypatch.setattr(index, "SHARES", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        idx = TextIndex(spark, f"{tmp_path}/i", 2)
+        idx.add(spark.createDataFrame([(i, "a " * (i % 7) + f"b c{i % 3}") for i in range(50)], "id long, body string"), "id", "body")
+        got = idx.blocks(["a", "b", "c0", "c1", "c2"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = {t: sorted(r.n for r in got if r.term == t) for t in ("a", "b", "c0")}
+    assert sizes == {"a": [2, *[8] * 5], "b": [2, *[8] * 6], "c0": [1, 8, 8]}
+    for r in got:
+        tfs = [p.tf for p in r.postings]
+        assert len(tfs) == r.n and r.max_tf == max(tfs) == tfs[0] and tfs == sorted(tfs, reverse=True) and r.min_dl == min(p.dl for p in r.postings)
+    assert sorted(p.id for r in got if r.term == "b" for p in r.postings) == list(range(50))
