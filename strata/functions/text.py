@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,8 +44,9 @@ def unescaped(text: str | Column) -> Column:
 
 def absolute_url(href: str | Column, base: str) -> Column:
     """Relative links get the base in front; absolute ones stay; entities are unescaped."""
-    link = unescaped(href)
-    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.ltrim(link, F.lit("/"))))
+    front = re.sub(r"([\\$])", r"\\\1", base.rstrip("/") + "/")
+    # One pattern, so that the link, which may be costly, is worked out once.
+    return F.regexp_replace(unescaped(href), r"^(?![A-Za-z][A-Za-z0-9+.-]*:)/*", front)
 
 
 def pager(text: str | Column) -> tuple[Column, Column]:

@@ -26,7 +26,8 @@ def fields(item: str, **names: str) -> list[Column]:
 def nest(df: DataFrame, keys: list[str], items: list[str | Column], name: str, order: list[str] | None = None) -> DataFrame:
     """Rows to one array of structs per key, in the order of the struct's fields (or of ``order``, which comes first)."""
     struct = F.struct(*(order or []), F.struct(*items).alias("_item"))
-    return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(struct)), lambda s: s["_item"]).alias(name))
+    # Not array_sort, whose comparison is a lambda; no struct here is null.
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(struct)).getField("_item").alias(name))
 
 
 def renest(parents: DataFrame, children: DataFrame, keys: list[str], name: str) -> DataFrame:

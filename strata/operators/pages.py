@@ -50,14 +50,18 @@ def link_of(tree: Column, name: str) -> Column:
     return first(F.filter(tree["labels"], lambda x: x["id"].endswith(name) & x["href"].isNotNull()))["href"]
 
 
-def grid(tree: Column, marker: str = "rgMasterTable") -> Column:
+#: What marks the grids of meetings and roll calls, and those of detail pages.
+GRID, HISTORY_GRID = "rgMasterTable", "gridLegislation"
+
+
+def grid(tree: Column, marker: str = GRID) -> Column:
     """The first table whose tag carries the marker (in an id or class); null if there is none."""
     return first(F.filter(tree["tables"], lambda t: t["attributes"].contains(marker)))
 
 
 def rows(table: Column) -> Column:
     """Array of structs (attributes, cells) of a table's own rows; empty without a table."""
-    return F.coalesce(table["rows"], F.array().cast("array<struct<attributes:string,cells:array<struct<text:string,links:array<string>,attributes:string>>>>"))
+    return F.coalesce(table["rows"], F.array())
 
 
 def n_cells(row: Column) -> Column:
@@ -90,7 +94,7 @@ def clip(at: Column) -> Column:
 def calendar_rows(pages: DataFrame, base: str, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """One row per meeting of a calendar grid. Rows with too few cells or without a detail link that has id and guid are skipped."""
     row = F.explode(F.filter(rows(grid(F.col("tree"))), lambda r: n_cells(r) >= MIN_CELLS)).alias("row")
-    each = with_tree(pages, html, keep).select(*keep, row)
+    each = with_tree(pages, html, keep, marker=GRID, without=("labels", "anchors", "attributes", "tables.rows.attributes")).select(*keep, row)
     r = F.col("row")
     detail = href(cell(r, 5), r"MeetingDetail\.aspx")
     place, kind = split_suffix(text_cell(r, 4))
@@ -120,48 +124,76 @@ def without_drafts(meetings: DataFrame, status: str = "minutes_status") -> DataF
     return meetings.where(F.coalesce(F.lower(F.trim(status)) != "draft", F.lit(True)))
 
 
-def meeting_pages(pages: DataFrame, base: str, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """Header fields and agenda_items of meeting pages; item_seq counts all rows of the grid, skipped ones too."""
-    h = F.col("tree")
+#: The cell of each field of an agenda item that is one's text.
+_ITEM_CELLS = {"matter_file": 0, "agenda_number": 2, "matter_name": 3, "matter_type": 4, "matter_status": 5, "title": 6, "action_raw": 7, "action_result": 8}
+
+
+def _item(r: Column, i: Column, base: str) -> dict[str, Column]:
+    target, texts = opened(r), {name: text_cell(r, at) for name, at in _ITEM_CELLS.items()}
+    return {
+        "item_seq": i.cast("long"),
+        "matter_file": texts.pop("matter_file"),
+        "matter_url": absolute_url(href(cell(r, 0), r"LegislationDetail\.aspx"), base),
+        **texts,
+        "history_id": url_id(target),
+        "history_url": absolute_url(target, base),
+    }
+
+
+def _header(h: Column, base: str) -> dict[str, Column]:
     place, kind = split_suffix(labelled(h, "lblLocation"))
     link = lambda name: absolute_url(link_of(h, name), base)
+    return {
+        "body_name": labelled(h, "hypName"),
+        "meeting_date": labelled(h, "lblDate"),
+        "meeting_time": labelled(h, "lblTime"),
+        "location": place,
+        "meeting_subtype": kind,
+        "agenda_status": labelled(h, "lblAgendaStatus"),
+        "minutes_status": labelled(h, "lblMinutesStatus"),
+        "agenda_url": link("hypAgenda"),
+        "minutes_url": link("hypMinutes"),
+        "video_clip_id": clip(h),
+    }
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(name) for name, c in columns.items()]
+
 
-    def item(r: Column, i: Column) -> Column:
-        target = opened(r)
-        return F.struct(
-            i.cast("long").alias("item_seq"),
-            text_cell(r, 0).alias("matter_file"),
-            absolute_url(href(cell(r, 0), r"LegislationDetail\.aspx"), base).alias("matter_url"),
-            text_cell(r, 2).alias("agenda_number"),
-            text_cell(r, 3).alias("matter_name"),
-            text_cell(r, 4).alias("matter_type"),
-            text_cell(r, 5).alias("matter_status"),
-            text_cell(r, 6).alias("title"),
-            text_cell(r, 7).alias("action_raw"),
-            text_cell(r, 8).alias("action_result"),
-            url_id(target).alias("history_id"),
-            absolute_url(target, base).alias("history_url"),
-            n_cells(r).alias("n_cells"),
-        )
-
-    items = F.filter(F.transform(rows(grid(h)), item), lambda x: x["n_cells"] >= MIN_CELLS)
-    return with_tree(pages, html, keep).select(
+_MEETING_PARTS = ("anchors", "tables.rows.cells.attributes")
+
+
+def meeting_pages(pages: DataFrame, base: str, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """Header fields and agenda_items of meeting pages; item_seq counts all rows of the grid, skipped ones too."""
+    h = F.col("tree")
+    made = F.transform(rows(grid(h)), lambda r, i: F.struct(*_named(_item(r, i, base)), n_cells(r).alias("n_cells")))
+    items = F.filter(made, lambda x: x["n_cells"] >= MIN_CELLS)
+    return with_tree(pages, html, keep, marker=GRID, without=_MEETING_PARTS).select(
         *keep,
-        labelled(h, "hypName").alias("body_name"),
-        labelled(h, "lblDate").alias("meeting_date"),
-        labelled(h, "lblTime").alias("meeting_time"),
-        place.alias("location"),
-        kind.alias("meeting_subtype"),
-        labelled(h, "lblAgendaStatus").alias("agenda_status"),
-        labelled(h, "lblMinutesStatus").alias("minutes_status"),
-        link("hypAgenda").alias("agenda_url"),
-        link("hypMinutes").alias("minutes_url"),
-        clip(h).alias("video_clip_id"),
+        *_named(_header(h, base)),
         F.transform(items, lambda x: x.dropFields("n_cells")).alias("agenda_items"),
         F.when(grid(h).isNull(), F.lit("no agenda grid")).alias("error"),
     )
 
 
+def meeting_items(pages: DataFrame, base: str, html: str = "html", keep: tuple[str, ...] = ("page_id",), only: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per agenda item with its page's header fields: what unnesting ``meeting_pages`` gives. Rows become rows first, so no
+    field is worked out inside an array. ``only`` names the fields that are wanted, as in ``entity_pages``.
+    """
+    wanted = lambda columns: {n: c for n, c in columns.items() if only is None or n in only}
+    h, r = F.col("tree"), F.col("_row")
+    header, item = wanted(_header(h, base)), wanted(_item(r, F.col("_i"), base))
+    without = _MEETING_PARTS
+    without += () if "video_clip_id" in header else ("attributes",)
+    without += () if "matter_url" in item else ("tables.rows.cells.links",)
+    without += () if {"history_id", "history_url"} & set(item) else ("tables.rows.attributes",)
+    cells = 1 + max((i for name, i in _ITEM_CELLS.items() if name in item), default=0)
+    each = with_tree(pages, html, keep, marker=GRID, without=without, cells=cells).select(*keep, *_named(header), rows(grid(h)).alias("_rows"))
+    rows_ = each.select(*keep, *header, F.posexplode("_rows").alias("_i", "_row")).where(r["n"] >= MIN_CELLS)
+    return rows_.select(*keep, *header, *_named(item))
+
+
 def meeting_documents(meetings: DataFrame, transcript_base: str) -> DataFrame:
     """Adds documents: one struct each for the agenda, the minutes and the recording's transcript that the meeting has."""
 
@@ -198,13 +230,16 @@ def roll_call(tree: Column) -> Column:
 
 def roll_call_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """history_id (from the page's URL) and votes."""
-    calls = with_tree(pages, html, (url,))
+    calls = with_tree(pages, html, (url,), marker=GRID, without=("labels", "anchors", "attributes", "tables.rows.attributes", "tables.rows.cells.attributes"))
     # A null page has no votes, not an empty list of them.
     return calls.select(url_id(url).alias("history_id"), F.when(F.col("tree").isNotNull(), roll_call(F.col("tree"))).alias("votes"))
 
 
-def entity_pages(pages: DataFrame, base: str, html: str = "html", url: str = "url") -> DataFrame:
-    """The nested matter record of each detail page, its actions without votes. A page without grid has no actions and says so."""
+def entity_pages(pages: DataFrame, base: str, html: str = "html", url: str = "url", only: tuple[str, ...] | None = None) -> DataFrame:
+    """The nested matter record of each detail page, its actions without votes. A page without grid has no actions and says so.
+
+    ``only`` names the columns that are wanted; parts of the page that none of them needs don't leave the reader.
+    """
     h = F.col("tree")
     label = {
         "file_number": "lblFile2", "name": "lblName2", "title": "lblTitle2", "type": "lblType2", "status": "lblStatus2", "introduced": "lblIntroduced2",
@@ -212,34 +247,55 @@ def entity_pages(pages: DataFrame, base: str, html: str = "html", url: str = "ur
     }
     files = F.filter(h["anchors"], lambda a: a["href"].contains("View.ashx?M=F"))
     attachments = F.transform(files, lambda a: F.struct(a["text"].alias("name"), absolute_url(a["href"], base).alias("url")))
-    history = grid(h, "gridLegislation")
+    history = grid(h, HISTORY_GRID)
 
-    def action(r: Column) -> Column:
-        target = opened(r)
-        texts = {"date": 0, "body": 2, "action": 3, "result": 4}
-        return F.struct(*(F.coalesce(text_cell(r, i), F.lit("")).alias(k) for k, i in texts.items()), url_id(target).alias("history_id"), absolute_url(target, base).alias("history_url"))
+    texts = {"date": 0, "body": 2, "action": 3, "result": 4}
 
-    actions = F.transform(F.filter(rows(history), lambda r: n_cells(r) >= 5), action)
-    return with_tree(pages, html, (url,)).select(
+    # In steps, since each use of an expression inside a lambda evaluates it again.
+    def read(r: Column) -> Column:
+        return F.struct(*(F.coalesce(text_cell(r, i), F.lit("")).alias(k) for k, i in texts.items()), opened(r).alias("target"))
+
+    def action(x: Column) -> Column:
+        return F.struct(*(x[k].alias(k) for k in texts), url_id(x["target"]).alias("history_id"), absolute_url(x["target"], base).alias("history_url"))
+
+    def actions() -> Column:
+        made = F.transform(F.transform(F.filter(rows(history), lambda r: n_cells(r) >= 5), read), action)
+        return F.coalesce(made, F.array().cast("array<struct<date:string,body:string,action:string,result:string,history_id:string,history_url:string>>"))
+
+    wanted = lambda name: only is None or name in only
+    without = ("attributes", "tables.rows.cells.attributes", "tables.rows.cells.links")
+    without += () if wanted("actions") else ("tables.rows",)
+    without += () if wanted("attachments") else ("anchors",)
+    columns = [
         F.col(url).alias("detail_url"),
         *(labelled(h, name).alias(column) for column, name in label.items()),
         split_names(labelled(h, "lblSponsors2")).alias("sponsors"),
         split_names(labelled(h, "lblRelatedFiles2")).alias("related_files"),
-        attachments.alias("attachments"),
-        F.coalesce(actions, F.array().cast("array<struct<date:string,body:string,action:string,result:string,history_id:string,history_url:string>>")).alias("actions"),
+        *([attachments.alias("attachments")] if wanted("attachments") else []),
+        *([actions().alias("actions")] if wanted("actions") else []),
         F.when(labelled(h, "lblFile2").isNull(), F.lit("no file number")).when(history.isNull(), F.lit("no history grid")).alias("error"),
-    )
+    ]
+    records = with_tree(pages, html, (url,), marker=HISTORY_GRID, without=without).select(*columns)
+    return records if only is None else records.select(*only)
 
 
 def attach_votes(records: DataFrame, roll_calls: DataFrame, key: str = "detail_url") -> DataFrame:
-    """Each action gets the votes of the page that its history_id names; actions without page get none."""
-    votes = roll_calls.select("history_id", F.transform("votes", lambda v: v.dropFields("known")).alias("votes")).where("history_id IS NOT NULL").dropDuplicates(["history_id"])
-    flat = records.select(key, F.posexplode("actions").alias("pos", "a"))
-    joined = flat.join(votes, flat["a.history_id"] == votes["history_id"], "left")
+    """Each action gets the votes of the page that its history_id names; actions without page get none.
+
+    A record goes along with its first action, so the records, which may come from pages, are worked out once.
+    """
+    votes = roll_calls.select(F.col("history_id").alias("_id"), F.transform("votes", lambda v: v.dropFields("known")).alias("votes")).where("_id IS NOT NULL").dropDuplicates(["_id"])
+    rest = [c for c in records.columns if c not in (key, "actions")]
+    flat = records.select(key, F.struct(*rest).alias("_record"), F.posexplode_outer("actions").alias("_pos", "_a"))
+    flat = flat.withColumn("_record", F.when(F.coalesce(F.col("_pos"), F.lit(0)) == 0, F.col("_record")))
+    joined = flat.join(votes, flat["_a.history_id"] == votes["_id"], "left")
     none = F.array().cast(votes.schema["votes"].dataType)
-    rebuilt = joined.select(key, "pos", "a.*", F.coalesce("votes", none).alias("votes"))
-    out = renest(records.drop("actions"), rebuilt.select(key, "pos", "date", "body", "action", "result", rebuilt["history_id"], "history_url", "votes"), [key], "actions")
-    return out.withColumn("actions", F.transform("actions", lambda a: a.dropFields("pos")))
+    action = F.struct(*(F.col(f"_a.{n}").alias(n) for n in ("date", "body", "action", "result", "history_id", "history_url")), F.coalesce("votes", none).alias("votes"))
+    # The order of records with one key and of their actions is that of their places and fields.
+    item = F.when(F.col("_pos").isNotNull() & F.col(key).isNotNull(), F.struct("_pos", action.alias("_action")))
+    nested = joined.groupBy(key).agg(F.collect_list("_record").alias("_records"), F.transform(F.array_sort(F.collect_list(item)), lambda x: x["_action"]).alias("_actions"))
+    out = nested.select(key, "_actions", F.explode("_records").alias("_record"))
+    return out.select(*(F.col(key) if c == key else F.col(f"_record.{c}") for c in records.columns if c != "actions"), F.col("_actions").alias("actions"))
 
 
 def isolate_errors(records: DataFrame, fatal: tuple[str, ...] = ("no file number",)) -> tuple[DataFrame, DataFrame]:

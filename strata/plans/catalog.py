@@ -975,8 +975,7 @@ def meeting_page_items(s, d):
     items = F.concat(F.lit("<tr><td>short</td></tr>"), F.array_join(F.transform("lines", row), ""))
     label = F.concat(F.lit('<span id="x_hypName">Board &amp; '), F.col("o_orderkey").cast("string"), F.lit("</span>"))
     html = _shaped(F.concat(label, _grid(items)), F.col("shape") - 1)
-    got = pages.meeting_pages(nested.select(F.col("o_orderkey").alias("page_id"), html.alias("html")), "https://records.example")
-    return flatten.unnest(got, "agenda_items", "i").select("page_id", "body_name", *flatten.fields("i", item_seq="item_seq", matter_file="matter_file", history_id="history_id"))
+    return pages.meeting_items(nested.select(F.col("o_orderkey").alias("page_id"), html.alias("html")), "https://records.example", only=("body_name", "item_seq", "matter_file", "history_id"))
 
 
 @query("""
