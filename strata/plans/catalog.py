@@ -1052,7 +1052,8 @@ SELECT CAST(o.o_orderkey AS VARCHAR) AS file_number, 3::BIGINT AS n_sponsors, 'h
 FROM orders o LEFT JOIN line l ON o.o_orderkey = l.l_orderkey WHERE o.o_orderstatus <> 'P' GROUP BY o.o_orderkey""")
 def entity_page_records(s, d):
     """Detail pages read back, with the votes of the roll calls that exist (suppliers in credit) put into their actions."""
-    records, _ = pages.isolate_errors(pages.entity_pages(_detail_pages(s, d), "https://records.example"))
+    fields = ("detail_url", "file_number", "sponsors", "attachments", "actions", "error")
+    records, _ = pages.isolate_errors(pages.entity_pages(_detail_pages(s, d), "https://records.example", only=fields))
     # The pages' history ids are numbers with a dash here, so they are read from the links again.
     with_ids = records.withColumn("actions", F.transform("actions", lambda a: a.withField("history_id", F.regexp_extract(a["history_url"], "ID=([0-9-]+)", 1))))
     calls = table(s, d, "lineitem").join(table(s, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey", "left_semi").select(F.concat_ws("-", "l_orderkey", "l_suppkey").alias("history_id")).distinct()

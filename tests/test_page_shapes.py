@@ -55,3 +55,20 @@ def test_items_are_those_of_the_meeting_pages(spark):
     assert sorted(map(str, items.collect())) == sorted(map(str, want.collect())) and items.count() == 3
     some = pages.meeting_items(made, "https://h", only=("item_seq", "history_id"))
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, items.select("page_id", "item_seq", "history_id").collect()))
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_detail_pages_are_read_once(spark, sf_dir):
+    assert plan(catalog.entity_page_records(spark, sf_dir)).count("MapInArrow") == 1
+
+
+def test_records_of_one_url_share_actions_and_those_without_url_have_none(spark):
+    action = "struct<date:string,body:string,action:string,result:string,history_id:string,history_url:string>"
+    rows = [("u", "1", [("d", "b", "x", "r", "h", "l"), ("d", "b", "y", "r", None, "l")]), ("u", "2", []), ("v", "3", []), ("w", "4", None), (None, "5", [("d", "b", "z", "r", "h", "l")])]
+    records = spark.createDataFrame(rows, f"detail_url string, file_number string, actions array<{action}>")
+    calls = spark.createDataFrame([("h", [("p", "n", "Aye", True)])], "history_id string, votes array<struct<person_id:string,person_name:string,vote_value:string,known:boolean>>")
+    got = {r.file_number: [(a.action, len(a.votes)) for a in r.actions] for r in pages.attach_votes(records, calls).collect()}
+    assert got == {"1": [("x", 1), ("y", 0)], "2": [("x", 1), ("y", 0)], "3": [], "4": [], "5": []}
