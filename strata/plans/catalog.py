@@ -1067,7 +1067,7 @@ def entity_page_records(s, d):
 WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS has_lines FROM orders)
 SELECT 'orders' AS "table", CASE WHEN o_orderstatus = 'P' THEN 'no file number' ELSE 'no history grid' END AS error, count(*) AS n_pages FROM o WHERE o_orderstatus = 'P' OR NOT has_lines GROUP BY 1, 2""")
 def page_drift_signal(s, d):
-    return pages.drift_signal(pages.entity_pages(_detail_pages(s, d), "https://records.example"), "orders")
+    return pages.drift_signal(pages.entity_pages(_detail_pages(s, d), "https://records.example", only=("error",)), "orders")
 
 
 @query("SELECT 'https://records.example/LegislationDetail.aspx?ID=' || o_orderkey AS detail_url, 'no file number' AS error FROM orders WHERE o_orderstatus = 'P'")

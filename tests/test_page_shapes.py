@@ -72,3 +72,15 @@ def test_records_of_one_url_share_actions_and_those_without_url_have_none(spark)
     calls = spark.createDataFrame([("h", [("p", "n", "Aye", True)])], "history_id string, votes array<struct<person_id:string,person_name:string,vote_value:string,known:boolean>>")
     got = {r.file_number: [(a.action, len(a.votes)) for a in r.actions] for r in pages.attach_votes(records, calls).collect()}
     assert got == {"1": [("x", 1), ("y", 0)], "2": [("x", 1), ("y", 0)], "3": [], "4": [], "5": []}
+
+
+def test_drift_takes_no_rows_out_of_the_reader(spark, sf_dir):
+    assert "cells" not in spark_output(catalog.page_drift_signal(spark, sf_dir))
+
+
+def spark_output(df):
+    """The schema of what the page reader gives."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "MapInArrow":
+        node = node.children().apply(0)
+    return node.output().toString() + node.schema().simpleString()
