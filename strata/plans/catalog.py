@@ -1072,7 +1072,7 @@ def page_drift_signal(s, d):
 
 @query("SELECT 'https://records.example/LegislationDetail.aspx?ID=' || o_orderkey AS detail_url, 'no file number' AS error FROM orders WHERE o_orderstatus = 'P'")
 def page_quarantine(s, d):
-    return pages.isolate_errors(pages.entity_pages(_detail_pages(s, d), "https://records.example"))[1].select("detail_url", "error")
+    return pages.isolate_errors(pages.entity_pages(_detail_pages(s, d), "https://records.example", only=("detail_url", "error")))[1]
 
 
 @query("""

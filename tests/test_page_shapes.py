@@ -84,3 +84,7 @@ def spark_output(df):
     while node.nodeName() != "MapInArrow":
         node = node.children().apply(0)
     return node.output().toString() + node.schema().simpleString()
+
+
+def test_quarantine_takes_no_rows_out_of_the_reader(spark, sf_dir):
+    assert "cells" not in spark_output(catalog.page_quarantine(spark, sf_dir))
