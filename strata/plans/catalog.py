@@ -677,20 +677,15 @@ def _meetings(s, d) -> DataFrame:
     return captures.select(number.alias("meeting_id"), none.alias("event_guid"), F.lit("Committee R").alias("body_name"), dates.format_date("ts").alias("meeting_date"), *(none.alias(c) for c in ("meeting_time", "location", "meeting_subtype", "agenda_status", "minutes_status", "agenda_url", "minutes_url", "video_clip_id")), F.array(document).alias("documents"), F.array(item).alias("agenda_items"), *_captured())
 
 
-#: Latest tables that the vote record alone reads more than once; of all gold tables, all are.
-_FOR_VOTES = ("int_matters", "int_meetings", "int_actions", "int_votes")
-
-
 def _bronze(s, d, root: str) -> dict[str, DataFrame]:
     return {"matters": stored(_matters(s, d), f"{root}/matters"), "meetings": stored(_meetings(s, d), f"{root}/meetings")}
 
 
-def _gold(s, d, several: tuple[str, ...] | None = None):
-    """Bronze and those latest captures that ``several`` models read (by default all) are written once, the others read as they are needed."""
+def _gold(s, d):
+    """The latest records are written once; all tables of the latest captures are read from them as they are needed."""
     root = scratch(s, "medallion")
-    bronze = _bronze(s, d, root)
-    silver = {name: build(bronze[source]) for name, (source, build) in staging.SILVER.items()}
-    return star.build_gold(star.latest_captures(silver, lambda name, df: df if several and name not in several else stored(df, f"{root}/{name}")))
+    bronze = {"matters": _matters(s, d), "meetings": _meetings(s, d)}
+    return star.build_gold(star.of_records(star.latest_records(bronze, store=lambda name, df: stored(df, f"{root}/{name}"))))
 
 
 _RECORDS = """
@@ -713,7 +708,7 @@ FROM vote v LEFT JOIN supplier s ON v.l_suppkey = s.s_suppkey LEFT JOIN state o
 
 @query(_VOTE_RECORD)
 def medallion_vote_record(s, d):
-    return serve.member_vote_record(_gold(s, d, _FOR_VOTES)).drop("vote_sk", "matter_sk", "person_sk", "committee_sk", "meeting_sk")
+    return serve.member_vote_record(_gold(s, d)).drop("vote_sk", "matter_sk", "person_sk", "committee_sk", "meeting_sk")
 
 
 @query(_VOTE_RECORD)
@@ -809,7 +804,7 @@ FROM vote v WHERE l_suppkey < 11 AND day >= DATE '1997-01-01' AND day < DATE '19
 def rep_tally(s, d):
     """The dashboard's document, read back and counted."""
     districts = {str(i): i for i in range(11)}
-    payload = serve.rep_payload(serve.member_vote_record(_gold(s, d, _FOR_VOTES), list(districts), 1997), districts, 1997, "2024-01-08")
+    payload = serve.rep_payload(serve.member_vote_record(_gold(s, d), list(districts), 1997), districts, 1997, "2024-01-08")
     reps = F.from_json("payload", "reps array<struct<id:string,district:bigint,aye:bigint,nay:bigint,absent:bigint,total:bigint,votes:array<struct<date:string>>>>")
     rep = payload.select(F.explode(reps["reps"]).alias("r")).select("r.*")
     return rep.select("id", "district", "aye", "nay", "absent", "total", F.size("votes").cast("long").alias("n_votes"), F.col("votes")[0]["date"].alias("latest"))

@@ -31,8 +31,9 @@ def member_vote_record(gold: dict[str, DataFrame], people: list[str] | None = No
         "matter_sk", "matter_file", "matter_name", "matter_title", "matter_type", F.col("status").alias("matter_status"), "lifecycle", "final_disposition"
     )
     meeting = gold["dim_meeting"].select("meeting_sk", "meeting_date")
-    # Those that grow with the votes are merged: by the size of their files they would be broadcast.
-    large = [(df.hint("merge"), key) for df, key in ((person, "person_sk"), (matter, "matter_sk"), (meeting, "meeting_sk"))]
+    # Those that grow with the votes are merged: by the size of their files they would be broadcast. The widest comes last, so that
+    # its columns aren't shuffled again.
+    large = [(df.hint("merge"), key) for df, key in ((meeting, "meeting_sk"), (person, "person_sk"), (matter, "matter_sk"))]
     wide = denormalise(facts, *large, (gold["dim_committee"], "committee_sk"))
     return wide.select(
         *("vote_sk", "vote_date", "vote_value", "person_id", "member_name", "matter_file", "matter_name", "matter_title", "matter_type", "matter_status"),

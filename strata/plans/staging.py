@@ -47,7 +47,7 @@ def stg_actions(matters: DataFrame) -> DataFrame:
 
 
 def stg_votes(matters: DataFrame) -> DataFrame:
-    """The action's position is kept; the vote's isn't."""
+    """The action's position and body are kept; the vote's position isn't."""
     actions = _of_matters(matters, "actions", "action", "action_seq")
     votes = unnest(actions, "action.votes", "vote")
     return votes.select(
@@ -55,6 +55,7 @@ def stg_votes(matters: DataFrame) -> DataFrame:
         "action_seq",
         parse_date("action.date").alias("action_date"),
         F.col("action.history_id").alias("history_id"),
+        F.col("action.body").alias("body"),
         *fields("vote", person_id="person_id", person_name="person_name", vote_value_raw="vote_value"),
         *_lineage(matters),
     )

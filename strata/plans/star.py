@@ -16,10 +16,13 @@ from strata.functions.keys import coalesced_key, sk, url_id
 from strata.operators.latest import conform, dedup_by_key, keep_latest_children, latest_wins, lowest_parent
 from strata.operators.quality import merged, report
 
+from .staging import SILVER
+
 Tables = dict[str, DataFrame]
 #: Where a person's key comes from, and how the key of one without id begins.
 FROM_VOTES, FROM_SPONSORS, NAME_KEY = "vote", "sponsor_only", "NAME:"
 #: Entities with their key and the tables of their child rows.
+RECORD_KEYS = {"matters": "file_number", "meetings": "meeting_id"}
 ENTITIES = (("matters", "matter_file", ("actions", "votes", "sponsors", "attachments")), ("meetings", "meeting_id", ("agenda_items", "meeting_documents")))
 
 
@@ -36,6 +39,21 @@ def latest_captures(silver: Tables, store: Callable[[str, DataFrame], DataFrame]
     return out
 
 
+def latest_records(bronze: Tables, before: Tables | None = None, store: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Tables:
+    """The latest record of each matter and meeting, whole as it was captured, of new records and of the latest so far (``before``).
+
+    All tables that are flattened from these are those of the latest captures (``of_records``), so that no child table has to meet
+    its entities again: records are shuffled once instead of each of their tables.
+    """
+    rows = {zone: before[zone].unionByName(df) if before else df for zone, df in bronze.items()}
+    return {zone: store(zone, latest_wins(df, [RECORD_KEYS[zone]])) for zone, df in rows.items()}
+
+
+def of_records(records: Tables) -> Tables:
+    """int_*: the tables of records that are the latest already."""
+    return {f"int_{name.removeprefix('stg_')}": build(records[source]) for name, (source, build) in SILVER.items()}
+
+
 def advance(latest: Tables, silver: Tables, store: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Tables:
     """The latest captures after further silver rows. Whether a capture wins depends on the winner so far and the new ones only, so no
     older silver is read; late captures that lose change nothing. An empty ``latest`` starts from the rows alone.
@@ -144,7 +162,9 @@ def merged_rows(latest: Tables) -> DataFrame:
 
 
 def with_body(votes: DataFrame, actions: DataFrame) -> DataFrame:
-    """Votes with the body of their action."""
+    """Votes with the body of their action, which they have from silver or else are given here."""
+    if "body" in votes.columns:
+        return votes
     body = dedup_by_key(actions.select("matter_file", "action_seq", "body"), ["matter_file", "action_seq"], ["body"])
     return votes.join(body.hint("merge"), ["matter_file", "action_seq"], "left")
 
