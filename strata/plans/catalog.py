@@ -713,13 +713,13 @@ def medallion_vote_record(s, d):
 
 @query(_VOTE_RECORD)
 def incremental_vote_record(s, d):
-    """The star after two weeks, each of which reads its own records and the latest captures of the week before."""
+    """The star after two weeks, each of which reads its own records and the latest ones of the week before."""
     root = scratch(s, "weeks")
-    bronze, latest_rows = _bronze(s, d, root), {}
+    bronze, records = _bronze(s, d, root), None
     for week in (EARLY, LATE):
-        silver = {name: build(bronze[source].where(F.col("ingest_date") == week)) for name, (source, build) in staging.SILVER.items()}
-        latest_rows = star.advance(latest_rows, silver, lambda name, df: stored(df, f"{root}/{week}/{name}"))  # noqa: B023
-    return serve.member_vote_record(star.build_gold(latest_rows)).drop("vote_sk", "matter_sk", "person_sk", "committee_sk", "meeting_sk")
+        new = {zone: df.where(F.col("ingest_date") == week) for zone, df in bronze.items()}
+        records = star.latest_records(new, records, lambda name, df: stored(df, f"{root}/{week}/{name}"))  # noqa: B023
+    return serve.member_vote_record(star.build_gold(star.of_records(records))).drop("vote_sk", "matter_sk", "person_sk", "committee_sk", "meeting_sk")
 
 
 #: Of the three weeks of changes: orders of this priority have their first capture come in last, those of this status and events of this
