@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strata.functions.keys import url_id
 from strata.functions.text import absolute_url, normalised, split_names, split_suffix, unescaped
 
-from .flatten import optional_structs, renest
+from .flatten import optional_structs
 from .tags import with_tree
 
 #: Roll-call literals known without a person link.
